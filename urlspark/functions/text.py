@@ -38,9 +38,13 @@ def count_sub(text: Column, piece: str) -> Column:
     return removed if len(piece) == 1 else F.floor(removed / len(piece))
 
 
-def count_at(text: Column, zero_width: str) -> Column:
-    """Number of positions where the zero-width regex holds (overlaps counted)."""
-    return F.regexp_count(text, F.lit("(?s)" + zero_width))
+def count_matches(text: Column, pattern: str) -> Column:
+    """Number of matches of ``pattern``.
+
+    To count overlaps use ``first(?=rest)``: one character is consumed, the rest is looked
+    at. (A fully zero-width pattern would also stop inside surrogate pairs.)
+    """
+    return F.regexp_count(text, F.lit("(?s)" + pattern))
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -184,7 +188,7 @@ def window_distinct_mean(text: Column) -> Column:
         earlier = "|".join(
             "." * p + "(.)" + "." * (q - p - 1) + f"\\{p + 1}" for p in range(q)
         )
-        hits = count_at(text, f"(?=(?:{earlier}){tail})")
+        hits = count_matches(text, f"(?=(?:{earlier}){tail}).")
         repeats = hits if repeats is None else repeats + hits
     return F.when(windows > 0, F.lit(float(WINDOW)) - repeats / windows).when(
         text.isNotNull(), F.lit(0.0)

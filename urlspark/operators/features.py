@@ -49,7 +49,7 @@ def _lexical(u, h, d, s, t, p, q, port) -> list[Column]:
     sizes = F.transform(tokens, F.length)
     # the non-empty tokens hold every character that is not a slash
     token_chars = F.length(u) - T.count_sub(u, "/")
-    token_count = T.count_at(u, r"[^/]+")
+    token_count = T.count_matches(u, r"[^/]+")
     return [
         F.length(u), F.length(h), F.length(d), F.length(t), F.length(s), F.length(p), F.length(q),
         F.coalesce(F.array_max(sizes), F.lit(0)), F.coalesce(F.array_min(sizes), F.lit(0)),
@@ -68,7 +68,7 @@ def _ratios(u, h, d, s, p, q) -> list[Column]:
         *[T.ratio(F.length(x), n) for x in (d, s, h, p, q)],
         T.ratio(F.length(p), F.length(d)), T.ratio(F.length(q), F.length(d)), T.ratio(F.length(q), F.length(p)),
         T.ratio(T.count_class(u, T.UPPER), n),
-        T.ratio(T.count_at(s, r"\p{Nd}+"), T.count_at(s, r"[a-z]+|\p{Nd}+")),
+        T.ratio(T.count_matches(s, r"\p{Nd}+"), T.count_matches(s, r"[a-z]+|\p{Nd}+")),
     ]
 
 
@@ -113,13 +113,13 @@ def _transitions(u) -> list[Column]:
     n = F.greatest(F.length(u), F.lit(1))
     letter, digit = f"[{T.LETTER}]", f"[{T.DIGIT}]"
     return [
-        T.count_at(u, f"(?<={letter})(?={digit}{letter})"), T.count_at(u, f"(?<={digit})(?={letter}{digit})"),
-        T.count_at(u, f"(?<={letter})(?={digit})") / n, T.count_at(u, f"(?<={digit})(?={letter})") / n,
-        T.count_at(u, r"(?=(.)\1)"),
+        T.count_matches(u, f"{letter}(?={digit}{letter})"), T.count_matches(u, f"{digit}(?={letter}{digit})"),
+        T.count_matches(u, f"{letter}(?={digit})") / n, T.count_matches(u, f"{digit}(?={letter})") / n,
+        T.count_matches(u, r"(.)(?=\1)"),
         # adjacent pairs of a class = its characters minus its runs
-        T.count_class(u, T.DIGIT) - T.count_at(u, f"{digit}+"),
-        T.count_class(u, T.LETTER) - T.count_at(u, f"{letter}+"),
-        T.longest_match(u, r"(?U)[^\w./-]{2,}"), T.window_distinct_mean(u),
+        T.count_class(u, T.DIGIT) - T.count_matches(u, f"{digit}+"),
+        T.count_class(u, T.LETTER) - T.count_matches(u, f"{letter}+"),
+        T.longest_match(u, rf"[^{T.ALNUM}_./-]{{2,}}"), T.window_distinct_mean(u),
     ]
 
 
@@ -175,12 +175,12 @@ def _diversity(u, h) -> list[Column]:
 
 def _obfuscation(u, q, t, redirect_tld) -> list[Column]:
     slashes = T.count_sub(u, "//")
-    escapes = T.count_at(u, "%[0-9a-fA-F]{2}")
-    plain = T.count_at(u, "(?i)" + "|".join(K.PLAIN_ESCAPES))
+    escapes = T.count_matches(u, "%[0-9a-fA-F]{2}")
+    plain = T.count_matches(u, "(?i)" + "|".join(K.PLAIN_ESCAPES))
     return [
         _flag(u.rlike(r"[^\x00-\x7F]|%")), _flag(u.rlike("(?i)(?:base64|hex)[^a-zA-Z0-9]")),
         _flag(T.contains_any(F.lower(q), K.REDIRECT_MARKERS)), slashes - u.contains("://").cast("int"),
-        T.count_at(u, rf"(?=([^{T.ALNUM}])\1)"), T.ratio(escapes - plain, F.length(u)),
+        T.count_matches(u, rf"([^{T.ALNUM}])(?=\1)"), T.ratio(escapes - plain, F.length(u)),
         _flag((t != "") & (redirect_tld != "") & (redirect_tld != t)),
     ]
 
