@@ -11,6 +11,8 @@ code-point based text handling.
 from __future__ import annotations
 
 import itertools
+import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -130,9 +132,9 @@ def _window_shapes() -> dict[tuple[int, ...], list[str]]:
             shapes.setdefault(sizes, []).append(codes)
     out: dict[tuple[int, ...], list[str]] = {}
     for sizes, partitions in shapes.items():
-        alternatives, group = [], 0
+        alternatives = []
         for codes in partitions:
-            pattern, blocks = "", {}
+            pattern, blocks, group = "", {}, 0
             for code in codes:
                 if code in blocks:
                     pattern += f"\\{blocks[code]}"
@@ -147,49 +149,84 @@ def _window_shapes() -> dict[tuple[int, ...], list[str]]:
 
 
 def _shape_entropy(sizes: tuple[int, ...]) -> float:
-    import math
-
     return math.log2(WINDOW) - sum(s * math.log2(s) for s in sizes) / WINDOW
 
 
+def _spread(elements: str, gaps: int) -> list[str]:
+    """Regexes for characters that recur in the order of ``elements`` ('ABBA'), with ``gaps`` others between them.
+
+    The first use of a letter is a capture, later uses are back-references.
+    """
+    out = []
+    for places in itertools.combinations_with_replacement(range(1, len(elements)), gaps):
+        pattern, groups = "", {}
+        for i, letter in enumerate(elements):
+            pattern += ".?" * places.count(i)
+            if letter in groups:
+                pattern += f"\\{groups[letter]}"
+            else:
+                groups[letter] = len(groups) + 1
+                pattern += "(.)"
+        out.append(pattern)
+    return out
+
+
+def _any_of(patterns: list[str]) -> str:
+    """Alternation followed by one more character (the last window is left out); groups renumbered."""
+    out, used = [], 0
+    for p in patterns:
+        out.append(re.sub(r"\\(\d+)", lambda m, base=used: f"\\{int(m[1]) + base}", p))
+        used += p.count("(.)")
+    return "(?s)(?:" + "|".join(out) + ")."
+
+
 def window_entropy_range(text: Column) -> Column:
     """Max minus min character entropy over sliding 5-character windows.
 
     The last window is left out, as the feature is defined; five or fewer characters
     give 0. A window's entropy depends only on how its characters coincide (seven
-    shapes), so the extremes are found by testing the shapes in entropy order with one
-    regex each, stopping at the first that occurs.
+    shapes), so each extreme is found by asking which shapes occur. Asking first for a
+    character seen three times splits the shapes, and recurrences are searched from
+    their first character, which fails fast.
     """
-    shapes = sorted(_window_shapes().items(), key=lambda kv: _shape_entropy(kv[0]))
+    shapes = _window_shapes()
 
-    def first_present(ordered) -> Column:
-        found = None
-        for sizes, alternatives in ordered:
-            hit = F.regexp_like(text, F.lit(f"(?s)(?:{'|'.join(alternatives)})."))
-            value = F.lit(_shape_entropy(sizes))
-            found = F.when(hit, value) if found is None else found.when(hit, value)
-        return found
+    def has(*patterns: str) -> Column:
+        return F.regexp_like(text, F.lit(_any_of(list(patterns))))
 
-    return F.when(F.length(text) > WINDOW, first_present(shapes[::-1]) - first_present(shapes)).when(
-        text.isNotNull(), F.lit(0.0)
+    def value(*sizes: int) -> Column:
+        return F.lit(_shape_entropy(sizes))
+
+    three = has(*_spread("AAA", 2))
+    with_three = (
+        F.when(~has(*_spread("AAAA", 1), *shapes[(3, 2)]), value(3, 1, 1))
+        .when(has("(.)\\1\\1\\1\\1"), value(5)).when(has(*_spread("AAAA", 1)), value(4, 1)).otherwise(value(3, 2))
     )
+    without = F.when(has(*_spread("AABB", 1), *_spread("ABAB", 1), *_spread("ABBA", 1)), value(2, 2, 1)).when(
+        has("(.).{0,3}\\1"), value(2, 1, 1, 1)
+    ).otherwise(value(1, 1, 1, 1, 1))
+    lowest = F.when(three, with_three).otherwise(without)
+    highest = None
+    for sizes in sorted(shapes, key=_shape_entropy, reverse=True):
+        hit = has(*shapes[sizes])
+        highest = F.when(hit, value(*sizes)) if highest is None else highest.when(hit, value(*sizes))
+    return F.when(F.length(text) > WINDOW, highest - lowest).when(text.isNotNull(), F.lit(0.0))
 
 
 def window_distinct_mean(text: Column) -> Column:
     """Mean number of distinct characters over sliding 5-character windows (last one left out).
 
-    A character lowers the distinct count when an earlier position of the window holds
-    the same one; the windows where that happens are counted per position.
+    A character lowers the count of every window that also holds its previous occurrence.
+    With ``g`` characters in between these are 4 - g windows, all found by one regex that
+    captures the gaps; the windows that would reach over either end (and the last one) are
+    taken off again.
     """
     windows = F.length(text) - WINDOW
-    repeats = None
-    for q in range(1, WINDOW):
-        tail = f".{{{WINDOW - q}}}"
-        earlier = "|".join(
-            "." * p + "(.)" + "." * (q - p - 1) + f"\\{p + 1}" for p in range(q)
-        )
-        hits = count_matches(text, f"(?=(?:{earlier}){tail}).")
-        repeats = hits if repeats is None else repeats + hits
+    gaps = F.regexp_extract_all(text, F.lit(r"(?s)(.)(?=(.{0,3}?)\1)"), F.lit(2))
+    repeats = (WINDOW - 1) * F.size(gaps) - F.length(F.array_join(gaps, ""))
+    ends = [F.left(text, F.lit(m)) for m in range(2, WINDOW)] + [F.right(text, F.lit(m)) for m in range(2, WINDOW + 1)]
+    for piece in ends:
+        repeats = repeats - (F.length(piece) - F.size(F.array_distinct(F.split(piece, ""))))
     return F.when(windows > 0, F.lit(float(WINDOW)) - repeats / windows).when(
         text.isNotNull(), F.lit(0.0)
     )

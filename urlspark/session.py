@@ -8,22 +8,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Long projections of string functions: methods beyond the JVM's compile limit would stay
+# interpreted, so let Spark split them instead of fusing them into one stage method.
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
 BROADCAST_ROWS = 200_000  # narrow lookup rows that may be sent to every executor
 SALTS = 32
 
 
 def local_session(cores: int | str = 8, memory: str = "16g", partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; on a cluster use the session you are given."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("urlspark")
         .config("spark.sql.shuffle.partitions", str(partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    for name, value in SETTINGS.items():
+        builder = builder.config(name, value)
+    return builder.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
