@@ -43,58 +43,62 @@ def ngram_counts(df: DataFrame, text: str = "url", keep: tuple[str, ...] = ("row
     )
 
 
-def contingency(counts: DataFrame, label: str | None = None) -> DataFrame:
-    """(gram, tf[, label], n): number of rows per gram and count value (zero counts left out)."""
-    keys = ["gram", "tf"] + ([label] if label else [])
-    return counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+def contingency(counts: DataFrame, label: str | None = None, classes: list[int] = ()) -> DataFrame:
+    """(gram, tf, n[, n_<class>...]): rows per gram and count value, in all and per class.
+
+    Zero counts are left out; they follow from the class sizes.
+    """
+    per_class = [F.count_if(F.col(label) == c).alias(f"n_{c}") for c in classes]
+    return counts.groupBy("gram", "tf").agg(F.count(F.lit(1)).alias("n"), *per_class)
+
+
+def _mi_term(joint: Column, row_total: Column, col_total: int, n_rows: int) -> Column:
+    """One cell of a mutual information sum, in nats; empty cells add nothing."""
+    p = joint / n_rows
+    return F.when(joint > 0, p * F.ln(p * n_rows * n_rows / (row_total * F.lit(col_total)))).otherwise(0.0)
 
 
-def vocabulary(cells: DataFrame, n_rows: int, min_df: int = K.NGRAM_MIN_DF,
-               max_df: float = K.NGRAM_MAX_DF) -> DataFrame:
-    """(gram, df, variance): grams within the document-frequency limits.
+def gram_statistics(cells: DataFrame, n_rows: int, label_totals: dict[int, int] | None = None) -> DataFrame:
+    """(gram, df, variance[, mi]) of every gram from the contingency table in one aggregation.
 
-    The variance of the count over all rows is the population variance, zeros included.
+    ``variance`` is the population variance of the count, zeros included. ``mi`` is the
+    mutual information (nats) between the count value, zero included, and the label;
+    ``label_totals`` holds the rows per class.
     """
     n, tf = F.col("n"), F.col("tf").cast("long")
-    stats = cells.groupBy("gram").agg(
-        F.sum("n").alias("df"), F.sum(tf * n).alias("_s"), F.sum(tf * tf * n).alias("_ss")
-    )
+    totals = label_totals or {}
+    aggs = [F.sum("n").alias("df"), F.sum(tf * n).alias("_s"), F.sum(tf * tf * n).alias("_ss")]
+    if totals:
+        seen = sum((_mi_term(F.col(f"n_{c}"), n, t, n_rows) for c, t in totals.items()), F.lit(0.0))
+        aggs += [F.sum(seen).alias("_seen"), *[F.sum(f"n_{c}").alias(f"n_{c}") for c in totals]]
+    stats = cells.groupBy("gram").agg(*aggs)
     mean = F.col("_s") / n_rows
-    return stats.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_rows)).select(
-        "gram", "df", (F.col("_ss") / n_rows - mean * mean).alias("variance")
-    )
+    out = [F.col("gram"), F.col("df"), (F.col("_ss") / n_rows - mean * mean).alias("variance")]
+    if totals:
+        zeros = sum((_mi_term(t - F.col(f"n_{c}"), n_rows - F.col("df"), t, n_rows) for c, t in totals.items()),
+                    F.lit(0.0))
+        out.append(F.greatest(F.col("_seen") + zeros, F.lit(0.0)).alias("mi"))
+    return stats.select(*out)
+
+
+def vocabulary(stats: DataFrame, n_rows: int, min_df: int = K.NGRAM_MIN_DF, max_df: float = K.NGRAM_MAX_DF) -> DataFrame:
+    """Grams within the document-frequency limits."""
+    return stats.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_rows))
 
 
 def variance_filter(vocab: DataFrame, threshold: float = K.NGRAM_MIN_VARIANCE) -> DataFrame:
     return vocab.filter(F.col("variance") > threshold)
 
 
-def _mi_term(joint: Column, row_total: Column, col_total: Column, n_rows: int) -> Column:
-    """One cell of a mutual information sum, in nats; empty cells add nothing."""
-    p = joint / n_rows
-    return F.when(joint > 0, p * F.ln(p * n_rows * n_rows / (row_total * col_total))).otherwise(0.0)
-
+def class_totals(rows: DataFrame, label: str = "label") -> dict[int, int]:
+    return {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # one row per class
 
-def mutual_information(cells: DataFrame, label_totals: dict[int, int], label: str = "label") -> DataFrame:
-    """(gram, mi): mutual information between a gram's count value (zero included) and the label.
 
-    ``label_totals`` holds the number of rows per class.
-    """
-    n_rows = sum(label_totals.values())
-    classes = sorted(label_totals)
-    per_value = cells.groupBy("gram", "tf").agg(
-        *[F.coalesce(F.sum(F.when(F.col(label) == c, F.col("n"))), F.lit(0)).alias(f"_n{c}") for c in classes]
-    )
-    value_total = sum((F.col(f"_n{c}") for c in classes), F.lit(0))
-    seen_terms = sum((_mi_term(F.col(f"_n{c}"), value_total, F.lit(label_totals[c]), n_rows) for c in classes),
-                     F.lit(0.0))
-    seen = per_value.groupBy("gram").agg(
-        F.sum(seen_terms).alias("_seen"), *[F.sum(f"_n{c}").alias(f"_n{c}") for c in classes]
-    )
-    zeros = {c: F.lit(label_totals[c]) - F.col(f"_n{c}") for c in classes}
-    zero_total = sum(zeros.values(), F.lit(0))
-    zero_terms = sum((_mi_term(zeros[c], zero_total, F.lit(label_totals[c]), n_rows) for c in classes), F.lit(0.0))
-    return seen.select("gram", F.greatest(F.col("_seen") + zero_terms, F.lit(0.0)).alias("mi"))
+def labelled_statistics(rows: DataFrame, text: str = "url", label: str = "label", key: str = "row_id"):
+    """(statistics of every gram with mi, class totals) of labelled rows."""
+    totals = class_totals(rows, label)
+    cells = contingency(ngram_counts(rows, text, (key, label)), label, sorted(totals))
+    return gram_statistics(cells, sum(totals.values()), totals), totals
 
 
 def gram_vectors(df: DataFrame, grams: DataFrame, text: str = "url", keep: tuple[str, ...] = ("row_id",),
@@ -191,17 +195,15 @@ def select_ngrams(train: DataFrame, text: str = "url", label: str = "label", key
 
     Vocabulary fit, variance filter, mutual information and L1 weights, combined.
     """
-    totals = {r[0]: r[1] for r in train.groupBy(label).count().collect()}  # one row per class
+    stats, totals = labelled_statistics(train, text, label, key)
     n_rows = sum(totals.values())
-    cells = contingency(ngram_counts(train, text, (key, label)), label).persist()
-    vocab = variance_filter(vocabulary(cells, n_rows, min_df))
+    vocab = variance_filter(vocabulary(stats, n_rows, min_df)).select("gram", "mi").persist()
     grams = number_grams(vocab).persist()
-    mi = mutual_information(cells, totals, label).join(grams, "gram", "left_semi")
     vectors = gram_vectors(train, grams, text, (key, label)).persist()
     weights = coefficient_table(fit_l1_logistic(vectors, n_rows, K.NGRAM_L1_C, label, max_iter=max_iter), grams)
-    best = top_grams(combined_score(mi.join(weights, "gram")), k)
+    best = top_grams(combined_score(vocab.join(weights, "gram")), k)
     rows = [(r.gram, r.score, i) for i, r in enumerate(best.collect())]  # at most k
-    for df in (cells, grams, vectors):
+    for df in (vocab, grams, vectors):
         df.unpersist()
     return train.sparkSession.createDataFrame(rows, "gram string, score double, idx int")
 

@@ -22,26 +22,32 @@ def order_hash(key: str | Column, seed: int | Column = K.SEED) -> Column:
     return F.md5(F.concat_ws("|", seed_col.cast("string"), key_col.cast("string")))
 
 
-def hash_cuts(hashed: DataFrame, quotas: DataFrame, prefix: int = PREFIX) -> DataFrame:
+def hash_ranges(hashed: DataFrame, prefix: int = PREFIX) -> DataFrame:
+    """(stratum, range, n): rows per stratum and hash prefix; at most 16^prefix ranges per stratum."""
+    return hashed.groupBy("stratum", F.left("h", F.lit(prefix)).alias("range")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def hash_cuts(hashed: DataFrame, ranges: DataFrame, quotas: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """(stratum, cut, last_hash): the hash of the ``quota``-th row of each stratum.
 
     ``hashed`` has (stratum, h); ``quotas`` has (stratum, cut, quota), a few rows per stratum.
+    The result is computed here and small: one row per quota.
     """
-    ranges = hashed.groupBy("stratum", F.left("h", F.lit(prefix)).alias("range")).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("stratum").orderBy("range")  # at most 16^prefix rows per stratum
-    ranges = ranges.withColumn("upto", F.sum("n").over(upto))
+    spark = hashed.sparkSession
+    upto = Window.partitionBy("stratum").orderBy("range")
     crossing = (
-        ranges.join(F.broadcast(quotas), "stratum")
+        ranges.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(quotas), "stratum")
         .filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
-        .select("stratum", "cut", "range", (F.col("quota") - F.col("upto") + F.col("n")).alias("rank"))
+        .select("stratum", "cut", "range", (F.col("quota") - F.col("upto") + F.col("n")).cast("int").alias("rank"))
     )
+    crossing = spark.createDataFrame(crossing.collect(), crossing.schema)  # one row per quota
     rows = hashed.withColumn("range", F.left("h", F.lit(prefix)))
-    wanted = crossing.select("stratum", "range").distinct()
-    inside = rows.join(F.broadcast(wanted), ["stratum", "range"], "left_semi")
+    inside = rows.join(F.broadcast(crossing.select("stratum", "range").distinct()), ["stratum", "range"], "left_semi")
     ranked = inside.withColumn("rank", F.row_number().over(Window.partitionBy("stratum", "range").orderBy("h")))
-    return ranked.join(F.broadcast(crossing), ["stratum", "range", "rank"]).select(
+    cuts = ranked.join(F.broadcast(crossing), ["stratum", "range", "rank"]).select(
         "stratum", "cut", F.col("h").alias("last_hash")
     )
+    return spark.createDataFrame(cuts.collect(), cuts.schema)
 
 
 def _apportion(sizes: DataFrame, of: str, total: Column, out: str) -> DataFrame:
@@ -76,7 +82,8 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "row_id", s
     by itself; the big table is never shuffled.
     """
     hashed = df.select(F.col(label).alias("stratum"), order_hash(key, seed).alias("h"))
-    sizes = split_sizes(hashed.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")), val, test)
+    ranges = hash_ranges(hashed).persist()
+    sizes = split_sizes(ranges.groupBy("stratum").agg(F.sum("n").alias("n")), val, test)
     quotas = sizes.select(
         "stratum",
         F.explode(F.array(
@@ -84,7 +91,9 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "row_id", s
             F.struct(F.lit("val").alias("cut"), (F.col("n_train") + F.col("n_val")).alias("quota")),
         )).alias("q"),
     ).select("stratum", "q.*")
-    cuts = hash_cuts(hashed, quotas).groupBy(F.col("stratum").alias(label)).agg(
+    found = hash_cuts(hashed, ranges, quotas)
+    ranges.unpersist()
+    cuts = found.groupBy(F.col("stratum").alias(label)).agg(
         F.max(F.when(F.col("cut") == "train", F.col("last_hash"))).alias("_train"),
         F.max(F.when(F.col("cut") == "val", F.col("last_hash"))).alias("_val"),
     )
@@ -100,12 +109,14 @@ def split_distribution(split: DataFrame, label: str = "label") -> DataFrame:
 
 def subsample_cuts(df: DataFrame, runs: int, fraction: float, key: str = "row_id", seed: int = K.SEED) -> DataFrame:
     """(run, last_hash): row belongs to run r iff md5(seed+r, key) <= last_hash; exactly int(fraction*n) rows."""
-    n = df.count()
     seeds = [seed + r for r in range(runs)]
     hashed = df.select(F.explode(F.array(*[
         F.struct(F.lit(r).alias("stratum"), order_hash(key, s).alias("h")) for r, s in enumerate(seeds)
     ])).alias("x")).select("x.*")
-    quota = int(fraction * n)
-    quotas = df.sparkSession.createDataFrame([(r, "sample", quota) for r in range(runs)],
+    ranges = hash_ranges(hashed).persist()
+    n = ranges.filter(F.col("stratum") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    quotas = df.sparkSession.createDataFrame([(r, "sample", int(fraction * n)) for r in range(runs)],
                                              "stratum int, cut string, quota long")
-    return hash_cuts(hashed, quotas).select(F.col("stratum").alias("run"), "last_hash")
+    cuts = hash_cuts(hashed, ranges, quotas)
+    ranges.unpersist()
+    return cuts.select(F.col("stratum").alias("run"), "last_hash")

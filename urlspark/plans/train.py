@@ -11,7 +11,9 @@ from urlspark import constants as K
 from urlspark.operators.boost import fit_focal_boost, predict
 from urlspark.operators.features import DISPLAY_NAMES, FEATURES, url_features
 from urlspark.operators.metrics import binary_metrics, roc_auc
-from urlspark.operators.ngrams import contingency, mutual_information, ngram_counts, select_ngrams, validate_ngrams
+from urlspark.operators.ngrams import (
+    class_totals, contingency, gram_statistics, ngram_counts, select_ngrams, validate_ngrams,
+)
 from urlspark.operators.parse import parse_urls
 from urlspark.operators.scale import fit_vector_scaler, pick_columns
 from urlspark.operators.select import binned_mutual_information, quantile_bins, select_features
@@ -59,10 +61,11 @@ def feature_information(train: DataFrame, grams: DataFrame, label: str = "label"
     by_column = binned_mutual_information(featured, quantile_bins(featured, FEATURES), label)
     names = F.create_map(*[F.lit(x) for c in FEATURES for x in (c, DISPLAY_NAMES[c])])
     dense = by_column.select(names[F.col("feature")].alias("feature"), "mi")
-    totals = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
+    totals = class_totals(train, label)
     counts = ngram_counts(train, "url", (key, label))
     chosen = counts.join(F.broadcast(grams.select("gram")), "gram", "left_semi")  # at most the top-k grams
-    sparse = mutual_information(contingency(chosen, label), totals, label).withColumnRenamed("gram", "feature")
+    stats = gram_statistics(contingency(chosen, label, sorted(totals)), sum(totals.values()), totals)
+    sparse = stats.select(F.col("gram").alias("feature"), "mi")
     return dense.unionByName(sparse)
 
 

@@ -60,6 +60,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when the source has fewer splits than there are cores.
+
+    A big source already has many splits and is left alone (no shuffle); a single small
+    file would otherwise run all its per-row work in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; looks at no more than max_rows + 1 of them."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urlspark.session import spread
 from workload.templates import PHISHING_VARIANTS, TEMPLATES, WEAK_TERMS, pieces
 
 
@@ -14,7 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, url, phishing) of the pages; the label is a weak one, read off the URL."""
-    return from_pages(table(spark, sf_dir, "pages"))
+    return from_pages(page_urls(spark, sf_dir))
+
+
+def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def from_pages(page_rows: DataFrame) -> DataFrame:
@@ -25,7 +34,7 @@ def from_pages(page_rows: DataFrame) -> DataFrame:
 
 def url_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, variant, url, phishing): every page in every shape of the templates."""
-    return make_variants(table(spark, sf_dir, "pages"))
+    return make_variants(page_urls(spark, sf_dir))
 
 
 def make_variants(page_rows: DataFrame) -> DataFrame:
@@ -51,9 +60,8 @@ def make_variants(page_rows: DataFrame) -> DataFrame:
 
 def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, text, label): documents with a quality label."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    return docs.join(labels, "doc_id").select(F.col("doc_id").alias("row_id"), "text", "label")
+    return texts(spark, sf_dir).join(labels, "doc_id").select(F.col("doc_id").alias("row_id"), "text", "label")
 
 
 NUMERIC = ["quantity", "price", "discount", "tax", "line", "net", "flat"]
@@ -65,9 +73,12 @@ def numeric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``net`` is a function of two others and ``flat`` is constant, so that redundancy and
     zero deviation occur.
     """
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_returnflag", "l_quantity",
+        "l_extendedprice", "l_discount", "l_tax",
+    )
     score = F.col("l_extendedprice") * (1 - F.col("l_discount")) / 120000.0
-    return li.select(
+    return spread(li).select(
         F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                     F.date_format("l_shipdate", "yyyyMMdd")).alias("row_id"),
         (F.col("l_returnflag") == "R").cast("int").alias("label"),

@@ -88,7 +88,7 @@ def url_feature_vectors(spark, sf):
 # --- text and n-grams ---------------------------------------------------------------------
 def text_entropy(spark, sf):
     t = F.col("text")
-    docs = data.table(spark, sf, "documents")
+    docs = data.texts(spark, sf)
     return rounded(docs.select("doc_id", X.char_entropy(t).alias("h1"), X.gram_entropy(t, 2).alias("h2"),
                                X.gram_entropy(t, 3).alias("h3")))
 
@@ -97,12 +97,10 @@ def _pages(spark, sf):
     return data.pages(spark, sf).select("row_id", F.col("url").alias("text"), F.col("phishing").alias("label"))
 
 
-def _totals(rows):
-    return {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-
-
 def _vocab(rows, text="text"):
-    return ngrams.vocabulary(ngrams.contingency(ngrams.ngram_counts(rows, text)), rows.count())
+    n_rows = rows.count()
+    stats = ngrams.gram_statistics(ngrams.contingency(ngrams.ngram_counts(rows, text)), n_rows)
+    return ngrams.vocabulary(stats, n_rows)
 
 
 def _kept(pages):
@@ -131,10 +129,8 @@ def ngram_variance(source):
 
 
 def _scores(rows):
-    totals = _totals(rows)
-    cells = ngrams.contingency(ngrams.ngram_counts(rows, "text", ("row_id", "label")), "label")
-    kept = ngrams.variance_filter(ngrams.vocabulary(cells, sum(totals.values())))
-    return ngrams.mutual_information(cells, totals).join(kept, "gram")
+    stats, totals = ngrams.labelled_statistics(rows, "text")
+    return ngrams.variance_filter(ngrams.vocabulary(stats, sum(totals.values())))
 
 
 def ngram_mi(source):
