@@ -133,7 +133,7 @@ def test_big_rule_table_joins_salted(spark, monkeypatch):
 
 
 def test_term_lists_have_the_expected_sizes():
-    assert len(K.SUSPICIOUS_TERMS) == len(set(K.SUSPICIOUS_TERMS)) == 122
+    assert len(K.SUSPICIOUS_TERMS) == len(set(K.SUSPICIOUS_TERMS)) == 130
     assert len(K.RARE_TLDS) == len(set(K.RARE_TLDS)) == 35
 
 

@@ -131,42 +131,42 @@ def fit_focal_boost(train: DataFrame, rounds: int = K.BOOST_ROUNDS, vector: str
     return Ensemble(pd.DataFrame(rows))
 
 
-class _Arrays:
-    """Node arrays of all trees for batch descent; feature slots renumbered to the used ones."""
-
-    def __init__(self, model: Ensemble, used: list[int]):
-        slot = {f: i for i, f in enumerate(used)}
-        self.trees = []
-        for _, t in model.nodes.groupby("tree", sort=True):
-            t = t.sort_values("node")
-            self.trees.append((
-                np.array([slot.get(f, 0) for f in t.feature]), t.threshold.to_numpy(),
-                t.left.to_numpy(), t.right.to_numpy(), t.value.to_numpy(),
-            ))
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        at = np.arange(len(x))
-        for feature, threshold, left, right, value in self.trees:
-            node = np.zeros(len(x), dtype=int)
-            while True:
-                inner = left[node] >= 0
-                if not inner.any():
-                    break
-                goes_left = x[at, feature[node]] <= threshold[node]
-                node = np.where(inner, np.where(goes_left, left[node], right[node]), node)
-            total += value[node]
-        return total
+def _node_arrays(model: Ensemble, used: list[int]) -> list[tuple[np.ndarray, ...]]:
+    """Per tree (feature, threshold, left, right, value), with feature slots renumbered to the used ones."""
+    slot = {f: i for i, f in enumerate(used)}
+    out = []
+    for _, t in model.nodes.groupby("tree", sort=True):
+        t = t.sort_values("node")
+        out.append((
+            np.array([slot.get(f, 0) for f in t.feature]), t.threshold.to_numpy(),
+            t.left.to_numpy(), t.right.to_numpy(), t.value.to_numpy(),
+        ))
+    return out
 
 
 def predict_raw(df: DataFrame, model: Ensemble, vector: str = "features", out: str = "raw") -> DataFrame:
-    """Adds the raw score. The trees travel to each task once; rows are scored in Arrow batches."""
+    """Adds the raw score. The trees travel to each task once; rows are scored in Arrow batches.
+
+    Only the slots that some tree reads are handed to Python. The function sent to the
+    workers holds plain arrays, so they need nothing but numpy and pandas.
+    """
     used = model.used_features
-    arrays = _Arrays(model, used)
+    trees = _node_arrays(model, used)
 
     @F.pandas_udf("double")
     def score(slots: pd.Series) -> pd.Series:
-        return pd.Series(arrays.score(np.vstack(slots)) if len(slots) else np.zeros(0))
+        if not len(slots):
+            return pd.Series([], dtype=float)
+        x = np.vstack(slots)
+        total, at = np.zeros(len(x)), np.arange(len(x))
+        for feature, threshold, left, right, value in trees:
+            node = np.zeros(len(x), dtype=int)
+            while (left[node] >= 0).any():
+                goes_left = x[at, feature[node]] <= threshold[node]
+                below = np.where(goes_left, left[node], right[node])
+                node = np.where(left[node] >= 0, below, node)
+            total += value[node]
+        return pd.Series(total)
 
     staged = df.withColumn("_dense", vector_to_array(F.col(vector)))
     picked = F.array(*[F.get("_dense", F.lit(i)) for i in used]) if used else F.array(F.lit(0.0))

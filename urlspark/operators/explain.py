@@ -42,65 +42,52 @@ def top_ngram_bands(importance: DataFrame, handcrafted: DataFrame, k: int = K.TO
     return best.withColumn("rank", rank).withColumn("band", F.ceil(F.col("rank") / band).cast("int"))
 
 
-class _Paths:
-    """Leaf paths of one tree and, per leaf, the Shapley values for every outcome pattern.
+def _leaf_table(limits: dict, value: float) -> tuple[np.ndarray, ...]:
+    """(features, lower bounds, upper bounds, values[2^m, m]) of one leaf.
 
-    On a path each distinct feature either lets the row through or not. A leaf with m such
-    features has 2^m outcome patterns, so its contributions are tabulated once and a row
-    only looks up its pattern.
+    On the way to a leaf each distinct feature either lets a row through or not. With m
+    features there are 2^m outcomes, so the Shapley values are tabulated per outcome and a
+    row only looks its own up.
     """
-
-    def __init__(self, nodes: pd.DataFrame):
-        t = nodes.sort_values("node").reset_index(drop=True)
-        self.base = 0.0
-        self.leaves = []  # (features, low bounds, high bounds, table[2^m, m])
-        root_cover = max(t.cover[0], 1e-300)
-        stack = [(0, {})]
-        while stack:
-            i, limits = stack.pop()
-            n = t.loc[i]
-            if n["left"] < 0:
-                self.base += n["value"] * n["cover"] / root_cover
-                if limits and n["value"] != 0.0:
-                    self._add(limits, n["value"])
-                continue
-            f = int(n["feature"])
-            lo, hi, share = limits.get(f, (-np.inf, np.inf, 1.0))
-            for child, bounds in (
-                (int(n["left"]), (lo, min(hi, n["threshold"]))), (int(n["right"]), (max(lo, n["threshold"]), hi))
-            ):
-                part = t.cover[child] / n["cover"] if n["cover"] else 0.0
-                stack.append((child, {**limits, f: (*bounds, share * part)}))
-
-    def _add(self, limits: dict, value: float) -> None:
-        feats = list(limits)
-        m = len(feats)
-        z = np.array([limits[f][2] for f in feats])
-        patterns = (np.arange(2 ** m)[:, None] >> np.arange(m)) & 1
-        table = np.zeros((2 ** m, m))
-        weight = [factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)]
-        for i in range(m):
-            # coefficients of prod over the others of (z_j + o_j t): index = size of the coalition
-            poly = np.zeros((2 ** m, m))
-            poly[:, 0] = 1.0
-            for j in range(m):
-                if j != i:
-                    grown = poly * z[j]
-                    grown[:, 1:] += poly[:, :-1] * patterns[:, j:j + 1]
-                    poly = grown
-            table[:, i] = value * (patterns[:, i] - z[i]) * (poly @ weight)
-        self.leaves.append((
-            np.array(feats), np.array([limits[f][0] for f in feats]), np.array([limits[f][1] for f in feats]), table
-        ))
-
-    def add_to(self, x: np.ndarray, slot: dict[int, int], out: np.ndarray) -> None:
-        for feats, lo, hi, table in self.leaves:
-            cols = [slot[f] for f in feats]
-            v = x[:, cols]
-            passed = (v > lo) & (v <= hi)
-            pattern = passed @ (1 << np.arange(len(feats)))
-            for j, c in enumerate(cols):
-                out[:, c] += table[pattern, j]
+    feats = list(limits)
+    m = len(feats)
+    z = np.array([limits[f][2] for f in feats])  # share of rows let through when unknown
+    patterns = (np.arange(2 ** m)[:, None] >> np.arange(m)) & 1
+    weight = [factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)]
+    table = np.zeros((2 ** m, m))
+    for i in range(m):
+        # product over the others of (z_j + o_j t); the power of t is the coalition's size
+        poly = np.zeros((2 ** m, m))
+        poly[:, 0] = 1.0
+        for j in range(m):
+            if j != i:
+                grown = poly * z[j]
+                grown[:, 1:] += poly[:, :-1] * patterns[:, j:j + 1]
+                poly = grown
+        table[:, i] = value * (patterns[:, i] - z[i]) * (poly @ weight)
+    bounds = [np.array([limits[f][k] for f in feats]) for k in (0, 1)]
+    return np.array(feats), *bounds, table
+
+
+def _leaf_tables(nodes: pd.DataFrame) -> tuple[float, list[tuple[np.ndarray, ...]]]:
+    """(expected value, leaf tables) of one tree."""
+    t = nodes.sort_values("node").reset_index(drop=True)
+    base, leaves, stack = 0.0, [], [(0, {})]
+    while stack:
+        i, limits = stack.pop()
+        n = t.loc[i]
+        if n["left"] < 0:
+            base += n["value"] * n["cover"] / max(t.cover[0], 1.0)
+            if limits and n["value"] != 0.0:
+                leaves.append(_leaf_table(limits, n["value"]))
+            continue
+        f = int(n["feature"])
+        lo, hi, share = limits.get(f, (-np.inf, np.inf, 1.0))
+        sides = [(int(n["left"]), lo, min(hi, n["threshold"])), (int(n["right"]), max(lo, n["threshold"]), hi)]
+        for child, low, high in sides:
+            part = t.cover[child] / n["cover"] if n["cover"] else 0.0
+            stack.append((child, {**limits, f: (low, high, share * part)}))
+    return base, leaves
 
 
 def contributions(df: DataFrame, model: Ensemble, names: list[str], vector: str = "features",
@@ -112,16 +99,22 @@ def contributions(df: DataFrame, model: Ensemble, names: list[str], vector: str
     """
     used = model.used_features
     slot = {f: i for i, f in enumerate(used)}
-    paths = [_Paths(t) for _, t in model.nodes.groupby("tree", sort=True)]
-    base = float(sum(p.base for p in paths))
+    trees = [_leaf_tables(t) for _, t in model.nodes.groupby("tree", sort=True)]
+    base = float(sum(b for b, _ in trees))
+    leaves = [
+        (np.array([slot[f] for f in feats]), lo, hi, table) for _, tables in trees for feats, lo, hi, table in tables
+    ]
     named = F.array(*[F.lit(names[i]) for i in used]) if used else F.array(F.lit(""))
 
     def explain(batches):
         for batch in batches:
             x = np.vstack(batch["slots"])
             phi = np.zeros_like(x)
-            for p in paths:
-                p.add_to(x, slot, phi)
+            for cols, lo, hi, table in leaves:
+                v = x[:, cols]
+                outcome = ((v > lo) & (v <= hi)) @ (1 << np.arange(len(cols)))
+                for j, c in enumerate(cols):
+                    phi[:, c] += table[outcome, j]
             yield pd.DataFrame({key: batch[key], "slots": batch["slots"], "phi": list(phi)})
 
     staged = df.select(key, vector_to_array(F.col(vector)).alias("_dense"))

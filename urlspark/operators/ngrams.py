@@ -13,7 +13,6 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from urlspark import constants as K
 from urlspark.functions import text as X
@@ -113,7 +112,7 @@ def gram_vectors(df: DataFrame, grams: DataFrame, text: str = "url", keep: tuple
         words = [r.gram for r in grams.orderBy("idx").collect()]  # at most max_rows
         if not words:
             return df.select(*keep, array_to_vector(F.array().cast("array<double>")).alias("vector"))
-        staged = df.withColumn("_text", normalize(F.col(text)))
+        staged = df.withColumn("_text", F.coalesce(normalize(F.col(text)), F.lit("")))
         pieces = F.concat(*[X.grams(F.col("_text"), k) for k in K.NGRAM_SIZES])
         model = CountVectorizerModel.from_vocabulary(words, inputCol="_grams", outputCol="vector", minTF=1.0)
         return model.transform(staged.select(*keep, pieces.alias("_grams"))).select(*keep, "vector")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlspark.operators.features import DISPLAY_NAMES, FEATURES, url_features
-from urlspark.operators.ngrams import gram_vectors, normalize
+from urlspark.operators.ngrams import gram_vectors
 from urlspark.operators.suffix import SuffixRules
 
 
