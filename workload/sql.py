@@ -513,7 +513,7 @@ def handcrafted_query(names) -> str:
 
 
 def bands_query(names) -> str:
-    return f"""WITH {importance_cte(names)}, b AS (SELECT feature, importance, row_number() OVER (ORDER BY importance DESC, feature) AS rank
+    return f"""WITH {importance_cte(names)}, b AS (SELECT feature, importance, row_number() OVER (ORDER BY importance DESC, feature)::INT AS rank
   FROM imp WHERE NOT list_contains({handcrafted_list()}, feature))
 SELECT feature, importance, rank, ceil(rank / {K.IMPORTANCE_BAND})::INT AS band FROM b WHERE rank <= {K.TOP_IMPORTANCE}"""
 
@@ -528,7 +528,7 @@ SELECT feature, mean_abs FROM a ORDER BY mean_abs DESC, feature LIMIT {K.SUMMARY
 SCATTER = f"WITH {CONTRIB} SELECT row_id, round(value, 6) AS value, round(contribution, 6) + 0.0 AS contribution FROM c WHERE grp = 's1'"
 
 DECISION = f"""WITH {CONTRIB} SELECT row_id, feature, round(contribution, 6) + 0.0 AS contribution,
-  row_number() OVER w AS step,
+  (row_number() OVER w)::INT AS step,
   round(0.5 + sum(contribution) OVER (w ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS cumulative
 FROM c WINDOW w AS (PARTITION BY row_id ORDER BY abs(contribution), feature)"""
 
@@ -536,7 +536,7 @@ WATERFALL = f"""WITH {CONTRIB}, k AS (SELECT *, row_number() OVER (PARTITION BY
   count(*) OVER (PARTITION BY row_id) AS n FROM c),
 b AS (SELECT row_id, rn AS bar, feature, value, contribution, 1 AS features FROM k WHERE n <= 4 OR rn < 4
   UNION ALL SELECT row_id, 4, 'other', NULL, sum(contribution), count(*) FROM k WHERE n > 4 AND rn >= 4 GROUP BY row_id)
-SELECT b.row_id, 0.5::DOUBLE AS base, bar, feature, round(value, 6) AS value, round(contribution, 6) + 0.0 AS contribution, features,
+SELECT b.row_id, 0.5::DOUBLE AS base, bar::INT AS bar, feature, round(value, 6) AS value, round(contribution, 6) + 0.0 AS contribution, features,
   (o_totalprice > 200000)::INT AS prediction, (o_orderstatus = 'F')::INT AS label
 FROM b JOIN orders ON o_orderkey = b.row_id"""
 
@@ -562,6 +562,21 @@ SELECT feature, round(frequency, 6) AS frequency, round(hybrid, 6) AS hybrid,
 FROM hy WHERE frequency >= {K.FREQUENCY_THRESHOLD} OR (SELECT max(frequency) FROM hy) < {K.FREQUENCY_THRESHOLD}"""
 
 
+def greedy_query() -> str:
+    """The walk over the columns as a recursion with the kept positions as its state."""
+    return f"""WITH RECURSIVE pr AS ({correlation_query()}),
+cols AS (SELECT unnest({slist(COLUMNS)}) AS name, unnest(range(0, {len(COLUMNS)})) AS idx),
+pairs AS (SELECT a.idx AS i, b.idx AS j, coalesce(p.r, q.r, 1.0) AS r FROM cols a CROSS JOIN cols b
+  LEFT JOIN pr p ON p.f1 = a.name AND p.f2 = b.name LEFT JOIN pr q ON q.f1 = b.name AND q.f2 = a.name),
+mat AS (SELECT list(rs ORDER BY i) AS m FROM (SELECT i, list(r ORDER BY j) AS rs FROM pairs GROUP BY i)),
+walk AS (SELECT 0 AS i, []::INT[] AS kept UNION ALL
+  SELECT i + 1, CASE WHEN coalesce(list_max(list_transform(kept, lambda k: m[i + 1][k + 1])), 0.0) < {K.CORRELATION_DEFAULT}
+    THEN list_append(kept, i) ELSE kept END FROM walk, mat WHERE i < {len(COLUMNS)}),
+fin AS (SELECT kept FROM walk WHERE i = {len(COLUMNS)})
+SELECT (t.pos - 1)::INT AS position, name AS feature
+FROM (SELECT unnest(kept) AS k, unnest(range(1, len(kept) + 1)) AS pos FROM fin) t JOIN cols ON cols.idx = t.k"""
+
+
 def vector_query() -> str:
     """86 features and grams of the pages in long form: variant 0 of every page is the page's URL."""
     from urlspark.operators.features import FEATURES
@@ -594,7 +609,7 @@ def all_queries(names: list[str], top: int = 500) -> dict[str, str]:
         "scale_standard": scale_query(), "scale_vectors": scale_query(), "column_subset": SUBSET,
         "subsample_runs": subsample_query(3, K.STABILITY_FRACTION), "binned_mi": binned_mi_query(),
         "correlation_pairs": correlation_query(), "merged_rank": merged_query(),
-        "focal_grad_hess": focal_query(), "predict_class": PREDICT,
+        "greedy_prune": greedy_query(), "focal_grad_hess": focal_query(), "predict_class": PREDICT,
         "binary_metrics": METRICS, "roc_auc": AUC, "weighted_f1": WEIGHTED,
         "metrics_text": METRIC_TEXT.format(inner=METRICS),
         "importance_splits": importance_query(names), "importance_handcrafted": handcrafted_query(names),
