@@ -108,6 +108,8 @@ def contributions(df: DataFrame, model: Ensemble, names: list[str], vector: str
 
     def explain(batches):
         for batch in batches:
+            if batch.empty:
+                continue
             x = np.vstack(batch["slots"])
             phi = np.zeros_like(x)
             for cols, lo, hi, table in leaves:

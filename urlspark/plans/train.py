@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlspark import constants as K
 from urlspark.operators.boost import fit_focal_boost, predict
-from urlspark.operators.features import DISPLAY_NAMES, FEATURES, url_features
+from urlspark.operators.features import DISPLAY_NAMES, FEATURES
 from urlspark.operators.metrics import binary_metrics, roc_auc
 from urlspark.operators.ngrams import (
     class_totals, contingency, gram_statistics, ngram_counts, select_ngrams, validate_ngrams,
@@ -54,10 +55,16 @@ class Fit:
     test_features: DataFrame  # row_id, label, scaled
 
 
-def feature_information(train: DataFrame, grams: DataFrame, label: str = "label", key: str = "row_id",
-                        rules: SuffixRules | None = None) -> DataFrame:
-    """(feature, mi) of every feature: binned for the hand-written ones, exact counts for grams."""
-    featured = url_features(train.select(key, label, "url"), rules=rules).persist()
+def feature_information(frame: DataFrame, train: DataFrame, grams: DataFrame, label: str = "label",
+                        key: str = "row_id") -> DataFrame:
+    """(feature, mi) of every feature: binned for the hand-written ones, exact counts for grams.
+
+    ``frame`` has (key, label, features), whose first slots are the hand-written features;
+    ``train`` has the URLs of the same rows.
+    """
+    sliced = pick_columns(frame, list(range(len(FEATURES))), "features", "_hand")
+    sliced = sliced.select(label, vector_to_array("_hand").alias("_hand"))
+    featured = sliced.select(label, *[F.get("_hand", F.lit(i)).alias(c) for i, c in enumerate(FEATURES)])
     by_column = binned_mutual_information(featured, quantile_bins(featured, FEATURES), label)
     names = F.create_map(*[F.lit(x) for c in FEATURES for x in (c, DISPLAY_NAMES[c])])
     dense = by_column.select(names[F.col("feature")].alias("feature"), "mi")
@@ -81,6 +88,10 @@ def train(urls: DataFrame, settings: Settings | None = None, label: str = "phish
     rejected = parsed.filter(F.col("feature_error").isNotNull()).select(key, "url", "feature_error")
     usable = parsed.filter(F.col("feature_error").isNull() & F.col("label").isNotNull()).select(key, "url", "label")
 
+    # Written once: finding the cuts then reads only key and label, and keys cannot change between scans.
+    usable_at = scratch_path(spark, "usable")
+    usable.write.parquet(usable_at)
+    usable = spark.read.parquet(usable_at)
     # The split is reused by every later step: written once, then read per part.
     split_at = scratch_path(spark, "split")
     stratified_split(usable, "label", key).write.partitionBy("split").parquet(split_at)
@@ -96,7 +107,7 @@ def train(urls: DataFrame, settings: Settings | None = None, label: str = "phish
     frames = {p: spark.read.parquet(frames_at).filter(F.col("split") == p).drop("split") for p in ("train", "test")}
 
     names = feature_names(grams)
-    information = feature_information(parts["train"], grams, "label", key, rules)
+    information = feature_information(frames["train"], parts["train"], grams, "label", key)
     selected = select_features(
         frames["train"], names, information, key=key, runs=s.stability_runs, trees=s.importance_trees,
         correlation_threshold=s.correlation_threshold, limit=s.max_features, max_iter=s.max_iter,
