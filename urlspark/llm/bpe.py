@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from urlspark.llm.common import column, fresh_name, sha256_hex, texts
+from urlspark.llm.common import column, fresh_name, map_batches, sha256_hex, texts
 
 CACHED_PIECES = 600_000  # per worker, some 110 MB
 CACHED_CHUNKS = 200_000  # the same for whole words, some 40 MB
@@ -183,7 +183,7 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, key: str = "do
             yield pa.RecordBatch.from_arrays([column(batch, "key"), ids], [key, "ids"])
 
     pairs = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    return pairs.mapInArrow(encode, f"`{key}` {kind}, ids binary")
+    return map_batches(pairs, encode, f"`{key}` {kind}, ids binary")
 
 
 def decode_ids(coded: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -200,7 +200,7 @@ def decode_ids(coded: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", o
             kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != copy]
             yield pa.RecordBatch.from_arrays([*kept, decoded], schema.names)
 
-    return coded.withColumn(copy, coded[ids]).mapInArrow(decode, schema)
+    return map_batches(coded.withColumn(copy, coded[ids]), decode, schema)
 
 
 def round_trip(docs: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", text: str = "text",
@@ -230,4 +230,4 @@ def round_trip(docs: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id",
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     pairs = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return pairs.mapInArrow(run, f"`{key}` {kind}, {fields}")
+    return map_batches(pairs, run, f"`{key}` {kind}, {fields}")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+PACKAGES = str(Path(__file__).resolve().parents[2])
+
+
+def find_packages(spark: SparkSession) -> None:
+    """Lets Python workers look for this package where the driver has it; clusters without that folder are sent it."""
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if PACKAGES not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, PACKAGES])
+
+
+def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    find_packages(df.sparkSession)
+    return df.mapInArrow(work, schema)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urlspark.llm.common import column, fresh_name, sha256_hex, texts, written
+from urlspark.llm.common import column, fresh_name, map_batches, sha256_hex, texts, written
 
 WINDOW = 10
 BLOCK_BYTES = 2_000_000  # of window text in one automaton (at most some 100 MB per worker); more are scanned in blocks
@@ -48,7 +48,7 @@ def benchmark_windows(items: DataFrame, key: str, text: str, size: int = WINDOW)
                                              ["item", "window", "n_words"])
 
     pairs = items.select(items[key].cast("string").alias("item"), items[text].alias("text"))
-    return pairs.mapInArrow(cut, "item string, window string, n_words int").distinct()
+    return map_batches(pairs, cut, "item string, window string, n_words int").distinct()
 
 
 def window_blocks(windows: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, str, int]]]:
@@ -127,7 +127,7 @@ def _scanned(docs: DataFrame, rows: list, text: str, names: tuple[str, str, str]
                        items: pa.array(item_lists, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
 
-    return docs.withColumn(copy, docs[text]).mapInArrow(scan, schema)
+    return map_batches(docs.withColumn(copy, docs[text]), scan, schema)
 
 
 def scan_documents(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id",
@@ -185,8 +185,7 @@ def contamination_report(docs: DataFrame, items: DataFrame, key: str = "doc_id",
             )
 
     shown = F.when(F.octet_length(hits) > 0, F.col("text"))  # only hit texts go on to have their spans found
-    return scanned.select("key", n_words, hits, found, shown.alias("shown")).mapInArrow(
-        digest, f"`{key}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
+    return map_batches(scanned.select("key", n_words, hits, found, shown.alias("shown")), digest, f"`{key}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
         "spans string")
 
 

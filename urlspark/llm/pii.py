@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from urlspark.llm.common import column, fresh_name, sha256_hex, texts
+from urlspark.llm.common import column, fresh_name, map_batches, sha256_hex, texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "localphone")
@@ -151,7 +151,7 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", sett
             yield pa.RecordBatch.from_arrays([keys, *map(pa.array, rest, kinds)], [key, "kind", "start", "end", "score"])
 
     pairs = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    return pairs.mapInArrow(find, f"`{key}` {kind}, kind string, start long, end long, score double")
+    return map_batches(pairs, find, f"`{key}` {kind}, kind string, start long, end long, score double")
 
 
 def personal_data_report(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -179,7 +179,7 @@ def personal_data_report(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     pairs = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     fields = ", ".join(f"n_{k} long" for k in BASE_KINDS)
-    return pairs.mapInArrow(report, f"`{key}` {kind}, {fields}, base_sha256 string, spans string, n_added long")
+    return map_batches(pairs, report, f"`{key}` {kind}, {fields}, base_sha256 string, spans string, n_added long")
 
 
 def mask_documents(docs: DataFrame, text: str = "text", length: str | None = None,
@@ -204,4 +204,4 @@ def mask_documents(docs: DataFrame, text: str = "text", length: str | None = Non
             del arrays[changed]
             yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
 
-    return docs.withColumn(changed, docs[text]).mapInArrow(cover, docs.schema)
+    return map_batches(docs.withColumn(changed, docs[text]), cover, docs.schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 
-from urlspark.llm import bpe, decontaminate, pii, repetition, simhash
-from urlspark.llm.common import table
+from urlspark.llm import bpe, decontaminate, lattice, packing, pii, repetition, simhash
+from urlspark.llm.common import held_out, table
+from urlspark.session import checkpoint_dir
 
 
 def documents(spark, sf_dir):
@@ -32,8 +35,19 @@ def op6_byte_bpe(spark, sf_dir, ranks=public_tokenizers.path("byte_bpe_50k.tikto
     return bpe.round_trip(documents(spark, sf_dir), bpe.vocabulary(ranks), public_tokenizers.PATTERN)
 
 
+def op7_token_file(spark, sf_dir, tokenizer=public_tokenizers.path("word_bpe_49k.json")):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/urlspark-llm/tokens-{uuid.uuid4().hex}"
+    packing.write_tokens(documents(spark, sf_dir), packing.tokenizer_text(tokenizer), path, end_id=2)
+    return packing.read_tokens(spark.read.parquet(path))
+
+
+def op8_lattice_lm(spark, sf_dir, pieces=public_tokenizers.path("piece_bpe_32k.model")):
+    return lattice.score_documents(documents(spark, sf_dir), bpe.vocabulary(pieces), held_out("doc_id", 7, 2))
+
+
 def op9_pii(spark, sf_dir):
     return pii.personal_data_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_repetition, op5_decontamination, op6_byte_bpe, op9_pii)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_repetition, op5_decontamination, op6_byte_bpe, op7_token_file,
+                                  op8_lattice_lm, op9_pii)}

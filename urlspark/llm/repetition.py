@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from urlspark.llm.common import codes, column, fresh_name, per_row, slices, texts, utf8, words
+from urlspark.llm.common import codes, column, fresh_name, map_batches, per_row, slices, texts, utf8, words
 
 SYMBOLS = np.zeros(256, np.uint8)
 SYMBOLS[list(b"#*$%&|<>")] = 1
@@ -216,7 +216,7 @@ def repetition_report(docs: DataFrame, key: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([column(batch, "key"), *map(pa.array, found.values())], [key, *found])
 
     pairs = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    return pairs.mapInArrow(judge, f"`{key}` {kind}, {FIGURES}")
+    return map_batches(pairs, judge, f"`{key}` {kind}, {FIGURES}")
 
 
 def keep_clean(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -227,4 +227,4 @@ def keep_clean(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> D
         for batch in batches:
             yield batch.filter(pa.array(repetition_figures(texts(batch, copy), rules)["kept"])).drop_columns([copy])
 
-    return docs.withColumn(copy, docs[text]).mapInArrow(drop, docs.schema)
+    return map_batches(docs.withColumn(copy, docs[text]), drop, docs.schema)

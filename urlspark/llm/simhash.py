@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urlspark.llm.common import fresh_name, texts, written
+from urlspark.llm.common import fresh_name, map_batches, texts, written
 from urlspark.session import cut_lineage
 
 SEED = 42
@@ -58,7 +58,7 @@ def with_fingerprint(docs: DataFrame, name: str, text: str = "text", size: int =
             yield pa.RecordBatch.from_arrays([*arrays.values(), pa.array(marks, pa.int64())], [*arrays, name])
 
     source = docs.select(*[docs[f.name] for f in kept], docs[text].alias(copy))
-    return source.mapInArrow(add, T.StructType([*kept, T.StructField(name, T.LongType())]))
+    return map_batches(source, add, T.StructType([*kept, T.StructField(name, T.LongType())]))
 
 
 def _bits(begin: int, end: int) -> int:
