@@ -6,7 +6,7 @@ import uuid
 
 import public_tokenizers
 
-from urlspark.llm import bpe, decontaminate, lattice, packing, pii, repetition, simhash
+from urlspark.llm import bpe, decontaminate, lattice, packing, pii, quality, repetition, simhash, toxicity, urltree
 from urlspark.llm.common import held_out, table
 from urlspark.session import checkpoint_dir
 
@@ -15,6 +15,17 @@ def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_quality(spark, sf_dir):
+    docs, away = documents(spark, sf_dir), held_out("doc_id", 3, 1)
+    return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels"), "quality", away), away)
+
+
+def op2_toxicity(spark, sf_dir):
+    docs, away = documents(spark, sf_dir), held_out("doc_id", 3, 1)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", away)
+    return toxicity.score_documents(docs, model, away).drop("matches")
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -49,5 +60,12 @@ def op9_pii(spark, sf_dir):
     return pii.personal_data_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_repetition, op5_decontamination, op6_byte_bpe, op7_token_file,
-                                  op8_lattice_lm, op9_pii)}
+def op10_url_templates(spark, sf_dir):
+    return urltree.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("template")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality, op2_toxicity, op3_simhash, op4_repetition, op5_decontamination, op6_byte_bpe, op7_token_file,
+              op8_lattice_lm, op9_pii, op10_url_templates)
+}

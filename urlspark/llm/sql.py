@@ -67,4 +67,59 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
     coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
-ORACLES = {"op4_repetition": OP4, "op5_decontamination": OP5}
+OP10 = r"""
+WITH p AS (
+    SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+hp AS (
+    SELECT page_id,
+        translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM p
+),
+rows_ AS (
+    SELECT *, CASE
+        WHEN ('.' || host) LIKE '%.www.example.com' AND path LIKE '/en/%' THEN 'www.example.com/en/'
+        WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/en/%' THEN 'example.com/en/'
+        WHEN ('.' || host) LIKE '%.net' AND path LIKE '/es/%' THEN 'net/es/'
+        WHEN ('.' || host) LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/'
+        WHEN ('.' || host) LIKE '%.com' AND path LIKE '/%' THEN 'com/' END AS rule,
+        list_transform(string_split(path, '/'), lambda s: CASE WHEN regexp_matches(s, '[0-9]')
+            THEN '*' || regexp_extract(s, '(\.[A-Za-z]+)$', 1) ELSE s END) AS segs
+    FROM hp
+),
+labelled AS (
+    SELECT *, array_to_string(segs, '/') AS shape,
+        CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS v
+    FROM rows_
+),
+branches AS (
+    SELECT page_id, host, shape, v, depth, array_to_string(segs[1:depth], '/') AS branch
+    FROM (SELECT *, unnest(range(1, least(len(segs), 7) + 1)) AS depth FROM labelled)
+),
+marks AS (
+    SELECT host, depth, branch, CASE WHEN count(*) < 5 THEN '*' WHEN count(v) = 0 THEN '?'
+        ELSE CAST(CAST(least(floor(5 * ((count(*) FILTER (v = 'block') + 1) / (count(v) + 2))), 4) AS INTEGER) AS VARCHAR)
+        END AS mark
+    FROM branches GROUP BY ALL
+),
+templates AS (
+    SELECT page_id, host, shape, v, string_agg(mark, '/' ORDER BY depth) AS template
+    FROM branches JOIN marks USING (host, depth, branch) GROUP BY ALL
+),
+overall AS (
+    SELECT CASE WHEN count(v) = 0 THEN 0.0::DOUBLE ELSE (count(*) FILTER (v = 'block') + 1) / (count(v) + 2) END AS o
+    FROM labelled
+),
+shares AS (
+    SELECT page_id, count(*) FILTER (v = 'block') OVER (PARTITION BY host, template) AS tb,
+        count(v) OVER (PARTITION BY host, template) AS tl,
+        (count(*) FILTER (v = 'block') OVER (PARTITION BY shape) + 10.0::DOUBLE * o)
+            / (count(v) OVER (PARTITION BY shape) + 10.0::DOUBLE) AS prior
+    FROM templates, overall
+)
+SELECT l.page_id, host, path, rule,
+    coalesce(v, CASE WHEN (tb + 10.0::DOUBLE * prior) / (tl + 10.0::DOUBLE) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM labelled l JOIN shares USING (page_id)"""
+
+ORACLES = {"op4_repetition": OP4, "op5_decontamination": OP5, "op10_url_templates": OP10}
