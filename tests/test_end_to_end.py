@@ -46,9 +46,14 @@ def test_stream_scores_equal_batch_scores(fit, spark, tmp_path):
     urls.select("row_id", "url").write.parquet(str(tmp_path / "in"))
     stream = read_url_stream(spark, str(tmp_path / "in"), files_per_batch=1)
     score_stream(stream, result.scorer, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    got = {r.row_id: (r.prediction, round(r.prob_1, 9)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want = {r.row_id: (r.prediction, round(r.prob_1, 9)) for r in score_urls(urls, result.scorer).collect()}
-    assert got == want and len(got) == urls.count() - 50 * 4
+
+    def scores(df):
+        return {r.row_id: (r.feature_error, r.prediction, r.prob_1 and round(r.prob_1, 9)) for r in df.collect()}
+
+    got, want = scores(spark.read.parquet(str(tmp_path / "out"))), scores(score_urls(urls, result.scorer))
+    assert got == want and len(got) == urls.count()
+    rejected = [v for v in got.values() if v[0]]
+    assert len(rejected) == 50 * 4 and all(v[1] is None and v[2] is None for v in rejected)
 
 
 def test_read_csv_latin1(spark, tmp_path):

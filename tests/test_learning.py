@@ -235,3 +235,33 @@ def test_row_views(fitted, spark):
     assert explain.contribution_summary(contribs, 2).count() == 2
     assert explain.scatter(contribs, "a").count() == 600
     assert explain.summary_points(contribs, 1).count() == 600
+
+
+def test_both_gram_branches_give_the_same_features(spark):
+    from urlspark.plans.frames import extract_features
+
+    rows = spark.createDataFrame(
+        [(1, "http://a.com/abab", None), (2, "http://b.com/ba", "x"), (2, "http://b.com/ba", "x"), (3, None, None),
+         (4, "http://[bad", None)], "row_id int, url string, note string")
+    grams = spark.createDataFrame([("ab", 0), ("ba", 1), ("com", 2)], "gram string, idx int")
+    small, big = (
+        sorted((r.row_id, r.note or "", r.url or "", r.feature_error or "", r.features.toArray().tolist() if r.features else [])
+               for r in extract_features(rows, grams, keep=("row_id", "note"), max_rows=m).collect())
+        for m in (10, 1)
+    )
+    assert small == big
+    assert small[0][4][-3:] == [2.0, 1.0, 1.0]
+
+
+def test_vector_scaler_centres_constant_slots(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from urlspark.operators.scale import apply_scaler, fit_scaler, fit_vector_scaler
+
+    def frame(rows):
+        return spark.createDataFrame([(a, b, Vectors.dense(a, b)) for a, b in rows], ["a", "b", "features"])
+
+    train, test = frame([(1.0, 1.0), (1.0, 4.0), (1.0, 5.0)]), frame([(5.0, 2.0)])
+    vector = fit_vector_scaler(train, 3, 2).transform(test).first().scaled.toArray()
+    row = apply_scaler(test, fit_scaler(train, ["a", "b"])).first()
+    assert abs(vector[0] - row.a) < 1e-9 and abs(vector[1] - row.b) < 1e-9 and row.a == 4.0

@@ -105,8 +105,9 @@ def gram_vectors(df: DataFrame, grams: DataFrame, text: str = "url", keep: tuple
     """(keep..., vector): sparse counts of the frozen vocabulary ``grams(gram, idx)``.
 
     A vocabulary within ``max_rows`` goes to every executor and rows are vectorized where
-    they are. A larger one is joined to the counts, which are then regrouped per row
-    (a group is one text's distinct grams).
+    they are. A larger one is joined to the counts of the different texts (a group is one
+    text's distinct grams), and rows get their text's vector; the columns of ``keep`` take no
+    part in that join, so NULLs in them don't matter.
     """
     if fits_broadcast(grams, max_rows):
         words = [r.gram for r in grams.orderBy("idx").collect()]  # at most max_rows
@@ -117,20 +118,24 @@ def gram_vectors(df: DataFrame, grams: DataFrame, text: str = "url", keep: tuple
         model = CountVectorizerModel.from_vocabulary(words, inputCol="_grams", outputCol="vector", minTF=1.0)
         return model.transform(staged.select(*keep, pieces.alias("_grams"))).select(*keep, "vector")
     size = size or grams.agg(F.max("idx")).first()[0] + 1
-    counts = ngram_counts(df, text, keep)
+    texts = df.select(F.col(text).alias("_text_key")).where(F.col("_text_key").isNotNull()).distinct()
+    counts = ngram_counts(texts, "_text_key", ("_text_key",))
     hits = lookup_join(counts, grams.select("gram", "idx"), ["gram"], "inner", max_rows)
-    slots = hits.groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct("idx", "tf"))).alias("_slots"))
-    full = df.select(*keep).join(slots, list(keep), "left")
-    return full.select(*keep, _sparse(size)(F.col("_slots.idx"), F.col("_slots.tf")).alias("vector"))
+    slots = hits.groupBy("_text_key").agg(F.sort_array(F.collect_list(F.struct("idx", "tf"))).alias("_slots"))
+    full = df.join(slots, df[text] == slots["_text_key"], "left")
+    return full.select(*[df[c] for c in keep], _sparse(size)(F.col("_slots.idx"), F.col("_slots.tf")).alias("vector"))
 
 
 def _sparse(size: int):
+    """Sparse vectors from slots and counts, in Arrow batches."""
     from pyspark.ml.linalg import Vectors, VectorUDT
 
     def build(idx, tf):
-        return Vectors.sparse(size, idx or [], [float(v) for v in tf or []])
+        if idx is None or not len(idx):
+            return Vectors.sparse(size, [], [])
+        return Vectors.sparse(size, [int(i) for i in idx], [float(v) for v in tf])
 
-    return F.udf(build, VectorUDT())
+    return F.udf(build, VectorUDT(), useArrow=True)
 
 
 def number_grams(vocab: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorSlicer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
@@ -22,13 +22,11 @@ def apply_scaler(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataF
 
 def fit_vector_scaler(train: DataFrame, n_rows: int, width: int, vector: str = "features",
                       out: str = "scaled") -> PipelineModel:
-    """Vector form: the built-in scaler uses the sample deviation, a constant factor corrects it."""
-    factor = (n_rows / (n_rows - 1)) ** 0.5 if n_rows > 1 else 1.0
-    stages = [
-        StandardScaler(withMean=True, withStd=True, inputCol=vector, outputCol="_sample_scaled"),
-        ElementwiseProduct(scalingVec=Vectors.dense([factor] * width), inputCol="_sample_scaled", outputCol=out),
-    ]
-    return Pipeline(stages=stages).fit(train)
+    """Vector form: centre, then divide by the population deviation; a constant slot is only centred, as in columns."""
+    centred = StandardScaler(withMean=True, withStd=False, inputCol=vector, outputCol="_centred").fit(train)
+    factor = (n_rows / (n_rows - 1)) ** 0.5 if n_rows > 1 else 1.0  # the built-in deviation is that of a sample
+    scales = [factor / d if d > 0 else 1.0 for d in centred.std.toArray()]
+    return PipelineModel([centred, ElementwiseProduct(scalingVec=Vectors.dense(scales), inputCol="_centred", outputCol=out)])
 
 
 def pick_columns(df: DataFrame, indices: list[int], vector: str = "features", out: str = "picked") -> DataFrame:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlspark.operators.features import DISPLAY_NAMES, FEATURES, url_features
 from urlspark.operators.ngrams import gram_vectors
 from urlspark.operators.suffix import SuffixRules
+from urlspark.session import BROADCAST_ROWS
 
 
 def extract_features(df: DataFrame, grams: DataFrame | None = None, url: str = "url", keep: tuple[str, ...] = ("row_id",),
-                     rules: SuffixRules | None = None) -> DataFrame:
+                     rules: SuffixRules | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(keep..., url, feature_error, features): one lazy plan for the 86 features plus selected grams.
 
     Rows whose URL cannot be decomposed have NULL features; filter on ``feature_error``.
@@ -21,7 +22,10 @@ def extract_features(df: DataFrame, grams: DataFrame | None = None, url: str = "
     columns = list(FEATURES)
     out = featured.select(*keep, url, "feature_error", *columns)
     if grams is not None:
-        out = gram_vectors(out, grams, url, (*keep, url, "feature_error", *columns))
+        size = (grams.agg(F.max("idx")).first()[0] or 0) + 1
+        out = gram_vectors(out, grams, url, (*keep, url, "feature_error", *columns), size, max_rows)
+        # the size is known: without the hint a job would look for it
+        out = VectorSizeHint(inputCol="vector", size=size, handleInvalid="optimistic").transform(out)
     valid = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns]
     rest = [*keep, url, "feature_error"] + (["vector"] if grams is not None else [])
     inputs = columns + (["vector"] if grams is not None else [])

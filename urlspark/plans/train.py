@@ -80,12 +80,14 @@ def train(urls: DataFrame, settings: Settings | None = None, label: str = "phish
           rules: SuffixRules | None = None, folder: str | None = None) -> Fit:
     """Fit on (row_id, url, phishing). Writes metrics and artifacts below ``folder`` when given.
 
-    URLs that cannot be decomposed are set aside first, so they take part in no step.
+    URLs that cannot be decomposed and rows without a label are set aside first, with a reason, and take part in no step.
     """
     s = settings or Settings()
     spark = urls.sparkSession
     parsed = parse_urls(urls.select(key, "url", F.col(label).alias("label")))
-    rejected = parsed.filter(F.col("feature_error").isNotNull()).select(key, "url", "feature_error")
+    reason = F.coalesce("feature_error", F.when(F.col("label").isNull(), "no_label"))
+    rejected = parsed.withColumn("feature_error", reason).filter(F.col("feature_error").isNotNull()).select(
+        key, "url", "feature_error")
     usable = parsed.filter(F.col("feature_error").isNull() & F.col("label").isNotNull()).select(key, "url", "label")
 
     # Written once: finding the cuts then reads only key and label, and keys cannot change between scans.

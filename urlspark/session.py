@@ -60,14 +60,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SPREAD_SPLITS = 32  # a source of more splits is big enough to be left alone, whatever the cluster
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when the source has fewer splits than there are cores.
+    """Give every core work when a small source has fewer splits than there are cores.
 
-    A big source already has many splits and is left alone (no shuffle); a single small
-    file would otherwise run all its per-row work in one task.
+    Only sources of a few splits are shuffled, i.e. at most some 4 GB at the default split
+    size; the cost of the shuffle is bounded however many cores there are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    if df.isStreaming or df.rdd.getNumPartitions() >= min(cores, SPREAD_SPLITS):
         return df
     return df.repartition(cores)
 

@@ -17,7 +17,7 @@ from urlspark.operators.features import FAMILIES, FEATURES, url_features
 from urlspark.operators.parse import PARTS, parse_urls, quarantine, split_host_naive
 from urlspark.operators.scale import apply_scaler, fit_scaler, fit_vector_scaler, pick_columns
 from urlspark.plans.frames import extract_features
-from urlspark.session import scratch_path
+from urlspark.session import BROADCAST_ROWS, cut_lineage, scratch_path
 from urlspark.sources.artifacts import metric_lines
 from urlspark.streaming.score import read_url_stream, write_stream
 from workload import data
@@ -77,8 +77,17 @@ def url_stream(spark, sf):
 
 def url_feature_vectors(spark, sf):
     """The 86 features and every vocabulary gram of the pages as one vector per URL, in long form."""
+    return _feature_vectors(spark, sf, BROADCAST_ROWS)
+
+
+def url_feature_vectors_joined(spark, sf):
+    """The same when the vocabulary is too large to be sent to every executor."""
+    return _feature_vectors(spark, sf, 10)
+
+
+def _feature_vectors(spark, sf, max_rows):
     pages = data.pages(spark, sf)
-    frame = extract_features(pages, ngrams.number_grams(_kept(pages)))
+    frame = extract_features(pages, cut_lineage(ngrams.number_grams(_kept(pages))), max_rows=max_rows)
     values = vector_to_array("features")
     return frame.select("row_id", F.posexplode(values).alias("slot", "value")).filter("value <> 0").select(
         "row_id", "slot", (F.round("value", 6) + 0.0).alias("value")
@@ -97,6 +106,10 @@ def _pages(spark, sf):
     return data.pages(spark, sf).select("row_id", F.col("url").alias("text"), F.col("phishing").alias("label"))
 
 
+def _documents(spark, sf):
+    return data.texts(spark, sf).withColumnRenamed("doc_id", "row_id")
+
+
 def _vocab(rows, text="text"):
     n_rows = rows.count()
     stats = ngrams.gram_statistics(ngrams.contingency(ngrams.ngram_counts(rows, text)), n_rows)
@@ -151,7 +164,7 @@ def ngram_top(spark, sf):
 
 def ngram_vectors(spark, sf):
     rows = _pages(spark, sf)
-    grams = ngrams.number_grams(ngrams.variance_filter(_vocab(rows)))
+    grams = cut_lineage(ngrams.number_grams(ngrams.variance_filter(_vocab(rows))))
     vectors = ngrams.gram_vectors(rows, grams, "text")
     return vectors.select("row_id", F.posexplode(vector_to_array("vector")).alias("idx", "tf")).filter("tf > 0")
 
@@ -386,8 +399,7 @@ def _given_contributions(spark, sf):
 
 def contribution_summary(spark, sf):
     grouped = _given_contributions(spark, sf).withColumn("feature", F.col("group"))
-    summary = rounded(explain.contribution_summary(grouped, 1 << 30))
-    return summary.orderBy(F.desc("mean_abs"), "feature").limit(K.SUMMARY_TOP)
+    return rounded(explain.contribution_summary(grouped, K.SUMMARY_TOP))
 
 
 def contribution_scatter(spark, sf):
@@ -413,10 +425,11 @@ QUERIES = {
     "url_host_naive": url_host_naive, "url_quarantine": url_quarantine,
     **{f"url_{name}": family(name) for name in FAMILIES},
     "url_stream": url_stream, "url_feature_vectors": url_feature_vectors,
+    "url_feature_vectors_joined": url_feature_vectors_joined,
     "text_entropy": text_entropy,
-    "ngram_counts": ngram_counts(_pages), "ngram_counts_docs": ngram_counts(data.labelled_texts),
-    "ngram_vocab": ngram_vocab(_pages), "ngram_vocab_docs": ngram_vocab(data.labelled_texts),
-    "ngram_variance": ngram_variance(_pages), "ngram_variance_docs": ngram_variance(data.labelled_texts),
+    "ngram_counts": ngram_counts(_pages), "ngram_counts_docs": ngram_counts(_documents),
+    "ngram_vocab": ngram_vocab(_pages), "ngram_vocab_docs": ngram_vocab(_documents),
+    "ngram_variance": ngram_variance(_pages), "ngram_variance_docs": ngram_variance(_documents),
     "ngram_mi": ngram_mi(_pages), "ngram_mi_docs": ngram_mi(data.labelled_texts),
     "ngram_top": ngram_top, "ngram_vectors": ngram_vectors, "ngram_names": ngram_names,
     "ngram_l1_rank": ngram_l1_rank, "ngram_validation": ngram_validation,

@@ -328,6 +328,7 @@ def quarantine_query() -> str:
 # --- n-grams --------------------------------------------------------------------------------
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2,}"
 TEXTS = "texts AS (SELECT d.doc_id AS row_id, d.text AS txt, l.quality AS label FROM documents d JOIN labels l USING (doc_id))"
+ALL_TEXTS = "texts AS (SELECT doc_id AS row_id, text AS txt, NULL::INT AS label FROM documents)"
 PAGES = f"texts AS (SELECT page_id AS row_id, url AS txt, regexp_matches(url, {s(WEAK_TERMS)})::INT AS label FROM pages)"
 
 
@@ -598,10 +599,11 @@ def all_queries(names: list[str], top: int = 500) -> dict[str, str]:
         "url_host_naive": naive_query(), "url_quarantine": quarantine_query(),
         **{f"url_{f}": family_query(f) for f in FAMILIES},
         "url_stream": family_query("lexical"), "url_feature_vectors": vector_query(),
+        "url_feature_vectors_joined": vector_query(),
         "text_entropy": text_entropy_query(),
-        "ngram_counts": counts_query(PAGES), "ngram_counts_docs": counts_query(TEXTS),
-        "ngram_vocab": vocab_query(PAGES), "ngram_vocab_docs": vocab_query(TEXTS),
-        "ngram_variance": variance_query(PAGES), "ngram_variance_docs": variance_query(TEXTS),
+        "ngram_counts": counts_query(PAGES), "ngram_counts_docs": counts_query(ALL_TEXTS),
+        "ngram_vocab": vocab_query(PAGES), "ngram_vocab_docs": vocab_query(ALL_TEXTS),
+        "ngram_variance": variance_query(PAGES), "ngram_variance_docs": variance_query(ALL_TEXTS),
         "ngram_mi": mi_query(PAGES), "ngram_mi_docs": mi_query(TEXTS),
         "ngram_top": top_query(TEXTS, top), "ngram_vectors": vectors_query(PAGES), "ngram_names": names_query(PAGES),
         "split_stratified": f"WITH {SPLIT} SELECT row_id, label, split FROM sp",
