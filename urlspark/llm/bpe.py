@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from urlspark.llm.common import column, fresh_name, map_batches, sha256_hex, texts
 
-CACHED_PIECES = 600_000  # per worker, some 110 MB
-CACHED_CHUNKS = 200_000  # the same for whole words, some 40 MB
+CACHED_PIECES = 400_000  # per worker, some 70 MB
+CACHED_CHUNKS = 150_000  # the same for whole words, some 30 MB
 CACHED_PAIRS = 1_000_000
 WHOLE_LIST = 1 << 22  # characters; longer texts are cut into pieces a few at a time
 PIECES_AT_ONCE = 1 << 16

@@ -18,6 +18,7 @@ from urlspark.llm.common import codes, column, fresh_name, map_batches, per_row,
 
 SYMBOLS = np.zeros(256, np.uint8)
 SYMBOLS[list(b"#*$%&|<>")] = 1
+BATCH_BYTES = 3_000_000  # of text handled at once; one longer text is handled alone
 BATCH_WORDS = 400_000  # words sorted at once; one longer text is sorted alone
 LEVEL_WORDS = 1_000_000  # longer texts keep no ranks per doubling but walk once through the array
 
@@ -178,7 +179,15 @@ def _duplicate_lines(strings: pa.Array) -> np.ndarray:
 
 
 def repetition_figures(strings: pa.Array, rules: Rules = Rules()) -> dict[str, np.ndarray]:
-    """All figures and verdicts of an array of texts without nulls."""
+    """All figures and verdicts of an array of texts without nulls, some texts at a time."""
+    sizes = np.diff(utf8(strings)[1])
+    parts = [_figures(strings.slice(a, b - a), rules) for a, b in slices(sizes, BATCH_BYTES)]
+    if not parts:
+        return _figures(strings, rules)
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+
+def _figures(strings: pa.Array, rules: Rules) -> dict[str, np.ndarray]:
     raw, offsets = utf8(strings)
     flat, starts = words(strings)
     code, _ = codes(flat)
