@@ -265,3 +265,72 @@ def test_vector_scaler_centres_constant_slots(spark):
     vector = fit_vector_scaler(train, 3, 2).transform(test).first().scaled.toArray()
     row = apply_scaler(test, fit_scaler(train, ["a", "b"])).first()
     assert abs(vector[0] - row.a) < 1e-9 and abs(vector[1] - row.b) < 1e-9 and row.a == 4.0
+
+
+def test_tree_has_at_most_the_wanted_leaves_and_splits_the_best_first(spark, fitted):
+    df = fitted[0]
+    for leaves in (1, 2, 5, 50):
+        nodes = boost.fit_focal_boost(df, rounds=1, max_leaves=leaves, min_child=5).nodes
+        count = int((nodes.leaf >= 0).sum())
+        assert count <= leaves and (leaves > 5 or count == leaves)
+        assert nodes[nodes.leaf >= 0].cover.sum() == nodes.cover[0] == 600
+        assert nodes[nodes.leaf >= 0].leaf.tolist() == list(range(count))
+
+
+def test_trees_equal_brute_force(spark, fitted):
+    """The same trees from sorted columns and plain sums, every leaf looked at after every split."""
+    df, x, _, _ = fitted
+    y = np.array([r.label for r in df.select("row_id", "label").orderBy("row_id").collect()])
+    z, leaves = np.zeros(len(y)), 5
+    edges = boost.feature_edges(df, bins=16)
+    model = boost.fit_focal_boost(df, rounds=3, max_leaves=leaves, min_child=20, bins=16)
+    for tree in range(3):
+        p = 1 / (1 + np.exp(-z))
+        pt = np.where(y == 1, p, 1 - p)
+        h = np.where(y == 1, K.FOCAL_ALPHA, 1 - K.FOCAL_ALPHA) * p * (1 - p) * (1 - pt) ** (K.FOCAL_GAMMA - 1)
+        g = h * (2 * y - 1) * (K.FOCAL_GAMMA * np.log(pt) - (1 - pt) / pt)
+
+        def quality(rows):
+            return max(abs(g[rows].sum()) - K.BOOST_L1, 0) ** 2 / (h[rows].sum() + K.BOOST_L2)
+
+        def best(rows):
+            out = (0.0, None)
+            for f in range(3):
+                for cut in edges[f]:
+                    left, right = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+                    if min(len(left), len(right)) >= 20:
+                        gain = quality(left) + quality(right) - quality(rows)
+                        if gain > out[0] + 1e-9:
+                            out = (gain, (left, right))
+            return out
+
+        groups = [np.arange(len(y))]
+        while len(groups) < leaves:
+            found = [best(rows) for rows in groups]
+            at = max(range(len(groups)), key=lambda i: found[i][0])
+            if found[at][1] is None:
+                break
+            groups[at:at + 1] = found[at][1]
+        nodes = model.nodes[model.nodes.tree == tree]
+        values = []
+        for rows in groups:
+            total = g[rows].sum()
+            value = -K.BOOST_RATE * math.copysign(max(abs(total) - K.BOOST_L1, 0), total) / (h[rows].sum() + K.BOOST_L2)
+            z[rows] += value
+            values.append((len(rows), value))
+        got = nodes[nodes.leaf >= 0]
+        assert got.cover.tolist() == [n for n, _ in values]
+        assert np.allclose(got.value, [v for _, v in values], atol=1e-6)
+
+
+def test_boosting_edge_cases(spark):
+    from pyspark.ml.linalg import Vectors
+
+    schema = VectorAssembler(inputCols=["a"], outputCol="features")
+    empty = schema.transform(spark.createDataFrame([], "row_id long, label int, a double"))
+    assert boost.fit_focal_boost(empty, rounds=2).nodes.value.tolist() == [0.0, 0.0]
+    rows = [(i % 2, Vectors.dense(float("nan") if i % 2 else 1.0, 3.0)) for i in range(100)]
+    rows += [(None, Vectors.dense(1.0, 1.0)), (1, None)]
+    df = spark.createDataFrame(rows, ["label", "features"])
+    nodes = boost.fit_focal_boost(df, rounds=1, min_child=1).nodes
+    assert nodes.cover[0] == 100 and nodes.feature.max() in (-1, 0)

@@ -1,20 +1,20 @@
-"""Boosted trees under focal loss (Newton steps on the built-in regression tree).
+"""Boosted trees under focal loss: histograms of binned rows, trees grown best leaf first.
 
-Each round fits a weighted regression tree to -g/h with weights h, whose split criterion is
-then the usual G^2/H gain, and replaces the leaf values by the regularized Newton step from
-one small aggregation per round. Rows, features and the running score stay distributed; the
-driver holds only trees.
+Features are binned once. A row then is a label, one byte per feature and its running score; an Arrow batch of rows is kept
+as one block of such bytes, which stays where it is. Every pass over the blocks adds up gradients per leaf, feature and bin,
+and Spark picks the best cut of each. The driver holds only trees and one candidate cut per open leaf and feature. Gradients
+are added as scaled integers, so a fit does not depend on the order of partitions or on tasks that ran twice.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +25,9 @@ from urlspark.session import cut_lineage
 TREE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, leaf int, value double, cover double"
 )
-_MIN_CURVATURE = 1e-12
+BLOCK_SCHEMA = "n int, y binary, bins binary, z binary"
+MAX_BINS = 256  # a bin is one byte
+MIN_CHILD_CURVATURE = 1e-3
 
 
 @dataclass
@@ -46,89 +48,276 @@ class Ensemble:
         return sorted(self.nodes.loc[self.nodes.feature >= 0, "feature"].unique().tolist())
 
 
-def _tree_nodes(model, tree: int) -> list[dict]:
-    """Pre-order node list; leaves are numbered left to right as the model numbers them."""
+@dataclass
+class _Growing:
+    """A tree while it grows; node 0 is the root, children are numbered as they are made."""
+
+    feature: list[int] = field(default_factory=lambda: [-1])
+    bin: list[int] = field(default_factory=lambda: [0])
+    left: list[int] = field(default_factory=lambda: [-1])
+    right: list[int] = field(default_factory=lambda: [-1])
+    sums: list[tuple | None] = field(default_factory=lambda: [None])  # gradient, curvature, rows
+
+    def add(self, sums: tuple) -> int:
+        for column, value in ((self.feature, -1), (self.bin, 0), (self.left, -1), (self.right, -1), (self.sums, sums)):
+            column.append(value)
+        return len(self.feature) - 1
+
+    def split(self, node: int, cut) -> tuple[int, int]:
+        """Give ``node`` its two children; a repeated call finds them again."""
+        if self.left[node] < 0:
+            self.feature[node], self.bin[node] = cut.feature, cut.bin
+            self.left[node] = self.add((cut.gl, cut.hl, cut.nl))
+            self.right[node] = self.add((cut.g - cut.gl, cut.h - cut.hl, cut.n - cut.nl))
+        return self.left[node], self.right[node]
+
+    def walker(self):
+        """Function from binned rows to node numbers; it carries arrays only."""
+        feature, cut, left, right = map(np.array, (self.feature, self.bin, self.left, self.right))
+
+        def walk(x: np.ndarray) -> np.ndarray:
+            node, at = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+            while True:
+                inner = left[node] >= 0
+                if not inner.any():
+                    return node
+                below = np.where(x[at, feature[node]] <= cut[node], left[node], right[node])
+                node = np.where(inner, below, node)
+
+        return walk
+
+
+def feature_edges(train: DataFrame, vector: str = "features", bins: int = 64) -> list[np.ndarray]:
+    """Per slot the thresholds between its bins, from quantiles of all rows (one aggregation; digests merge map-side).
+
+    The largest value is no threshold, NaN is above all, and a slot of one value has none.
+    """
+    if not 2 <= bins <= MAX_BINS:
+        raise ValueError(f"bins must be from 2 to {MAX_BINS}")
+    shares = [i / bins for i in range(1, bins)]
+    slots = train.select(F.posexplode(vector_to_array(F.col(vector))).alias("slot", "value"))
+    found = slots.filter(~F.isnan("value")).groupBy("slot").agg(
+        F.percentile_approx("value", shares, 10_000).alias("cuts"), F.max("value").alias("top"))
+    size = train.select(F.max(F.size(vector_to_array(F.col(vector))))).first()[0] or 0
+    edges = [np.array([])] * size
+    for r in found.collect():  # one row per feature
+        cuts = np.unique(r.cuts)
+        edges[r.slot] = cuts[cuts < r.top]
+    return edges
+
+
+def binned(train: DataFrame, edges: list[np.ndarray], vector: str, label: str) -> DataFrame:
+    """(n, y, bins, z) per block of n rows: labels, a byte per row and slot, running scores 0. Bin b has the values up to threshold b."""
+    def assign(batches):
+        for batch in batches:
+            if batch.empty:
+                continue
+            x = np.vstack(batch["x"])
+            out = np.empty(x.shape, dtype=np.uint8)
+            for j, cuts in enumerate(edges):
+                out[:, j] = np.searchsorted(cuts, x[:, j], side="left")
+            y = (batch["y"].to_numpy() == 1).astype(np.uint8)
+            yield pd.DataFrame({"n": [len(x)], "y": [y.tobytes()], "bins": [out.tobytes()], "z": [np.zeros(len(x)).tobytes()]})
+
+    rows = train.select(F.col(label).cast("int").alias("y"), vector_to_array(F.col(vector)).alias("x"))
+    return rows.mapInPandas(assign, BLOCK_SCHEMA)
+
+
+def _terms(gamma: float, alpha: float):
+    """Function from labels and scores to (gradient, curvature, loss), as ``functions.focal`` has them.
+
+    Nested like all that goes to the workers, so that they need only numpy and pandas.
+    """
+    def terms(y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        one = y == 1
+        p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
+        pt = np.clip(np.where(one, p, 1.0 - p), 1e-15, 1.0 - 1e-15)
+        weight, log_pt = np.where(one, alpha, 1.0 - alpha), np.log(pt)
+        h = weight * p * (1.0 - p) * (1.0 - pt) ** (gamma - 1.0)
+        g = h * np.where(one, 1.0, -1.0) * (gamma * log_pt - (1.0 - pt) / pt)
+        return g, h, -weight * (1.0 - pt) ** gamma * log_pt
+
+    return terms
+
+
+def _mean_loss(blocks: DataFrame, terms) -> float | None:
+    def add_up(batches):
+        for batch in batches:
+            for y, z, n in zip(batch["y"], batch["z"], batch["n"]):
+                yield pd.DataFrame({"n": [n], "loss": [terms(np.frombuffer(y, np.uint8), np.frombuffer(z))[2].sum()]})
+
+    return blocks.select("n", "y", "z").mapInPandas(add_up, "n long, loss double").agg(F.sum("loss") / F.sum("n")).first()[0]
+
+
+def _best_cuts(blocks: DataFrame, tree: _Growing, open_nodes: list[int], terms, width: int, bins: int, scale: float,
+               min_child: int, min_curvature: float, l1: float, l2: float) -> dict:
+    """{node: best cut} of the open nodes in one job; nodes without an allowed cut have feature -1."""
+    walk = tree.walker()
+    slot_of = np.full(len(tree.feature), -1)
+    slot_of[open_nodes] = np.arange(len(open_nodes))
+    numbers = np.array(open_nodes)
+    cells = len(open_nodes) * width * bins
+
+    def add_up(batches):
+        sums = [np.zeros(cells, dtype=np.int64) for _ in range(3)]
+        for batch in batches:
+            for y, bytes_, z in zip(batch["y"], batch["bins"], batch["z"]):
+                y, z = np.frombuffer(y, np.uint8), np.frombuffer(z)
+                x = np.frombuffer(bytes_, np.uint8).reshape(len(y), width)
+                at = slot_of[walk(x)]
+                inside = at >= 0
+                x, at = x[inside], at[inside]
+                g, h = (np.rint(t * scale).astype(np.int64) for t in terms(y[inside], z[inside])[:2])
+                for j in range(width):
+                    cell = (at * width + j) * bins + x[:, j]
+                    for total, weight in zip(sums, (g, h, 1)):
+                        np.add.at(total, cell, weight)
+        seen = np.flatnonzero(sums[2])
+        yield pd.DataFrame({
+            "node": numbers[seen // (width * bins)].astype(np.int32), "feature": (seen // bins % width).astype(np.int32),
+            "bin": (seen % bins).astype(np.int32), "g": sums[0][seen], "h": sums[1][seen], "n": sums[2][seen],
+        })
+
+    # Partitions hand over sums already; hashing on node and feature serves both steps that follow.
+    parts = blocks.select("y", "bins", "z").mapInPandas(add_up, "node int, feature int, bin int, g long, h long, n long")
+    hist = parts.repartition("node", "feature").groupBy("node", "feature", "bin").agg(
+        *[F.expr(f"sum({c}) AS {c}") for c in ("g", "h", "n")])
+    whole, upto = "OVER (PARTITION BY node, feature)", "OVER (PARTITION BY node, feature ORDER BY bin)"
+    sums = hist.selectExpr("node", "feature", "bin", *[
+        f"sum({c}) {over} / {unit}D AS {name}" for c, unit in (("g", scale), ("h", scale), ("n", 1.0))
+        for over, name in ((upto, f"{c}l"), (whole, c))
+    ])
+
+    def quality(g: str, h: str) -> str:
+        return f"coalesce(try_divide(pow(greatest(abs({g}) - {l1}D, 0D), 2), {h} + {l2}D), 0D)"
+
+    gain = f"{quality('gl', 'hl')} + {quality('(g - gl)', '(h - hl)')} - {quality('g', 'h')}"
+    allowed = f"least(nl, n - nl) >= {max(min_child, 1)} AND least(hl, h - hl) >= {min_curvature}D"
+    best = sums.selectExpr("*", f"CASE WHEN {allowed} THEN {gain} ELSE -1D END AS gain").groupBy("node", "feature").agg(
+        F.expr("max(struct(gain, -bin AS rank, bin, gl, hl, nl, g, h, n)) AS b")).select("node", "feature", "b.*")
+    cuts: dict = {}
+    for r in best.toPandas().sort_values(["node", "feature"]).itertuples():  # one row per open leaf and feature
+        if r.node not in cuts or r.gain > cuts[r.node].gain:
+            cuts[r.node] = r
+    return cuts
+
+
+def _grow(blocks: DataFrame, terms, width: int, bins: int, scale: float, max_leaves: int, min_child: int, min_curvature: float,
+          l1: float, l2: float) -> _Growing:
+    """One tree, always splitting the leaf of the highest gain, to at most ``max_leaves`` leaves.
+
+    The order is replayed from the known cuts. Where it reaches leaves not looked at yet, it goes on without them and
+    then all of them are looked at in one job, so jobs number about the tree's depth, not its leaves.
+    """
+    tree, cuts = _Growing(), {}
+    unknown = [0]
+    while unknown:
+        found = _best_cuts(blocks, tree, unknown, terms, width, bins, scale, min_child, min_curvature, l1, l2)
+        cuts |= {n: found.get(n) for n in unknown}
+        if tree.sums[0] is None:
+            root = cuts[0]
+            tree.sums[0] = (root.g, root.h, root.n) if root is not None else (0.0, 0.0, 0.0)
+        unknown, chosen = [], []
+        queue = [(-cuts[0].gain, 0)] if cuts[0] is not None and cuts[0].gain > 0 else []
+        leaves = 1
+        while queue and leaves < max_leaves:
+            _, node = heapq.heappop(queue)
+            chosen.append(node)
+            leaves += 1
+            for child in tree.split(node, cuts[node]):
+                if child not in cuts and tree.sums[child][2] < 2 * max(min_child, 1):
+                    cuts[child] = None
+                if child not in cuts:
+                    if leaves < max_leaves:  # what comes after the last split changes nothing
+                        unknown.append(child)
+                elif cuts[child] is not None and cuts[child].gain > 0:
+                    heapq.heappush(queue, (-cuts[child].gain, child))
+    for node in range(len(tree.feature)):  # cuts that the settled order does not take
+        if tree.left[node] >= 0 and node not in chosen:
+            tree.left[node] = tree.right[node] = tree.feature[node] = -1
+    return tree
+
+
+def _newton_step(g: float, h: float, rate: float, l1: float, l2: float) -> float:
+    shrunk = math.copysign(max(abs(g) - l1, 0.0), g)
+    return -rate * shrunk / (h + l2) if shrunk and h + l2 > 0 else 0.0
+
+
+def _frozen(tree: _Growing, number: int, edges: list[np.ndarray], values: np.ndarray) -> list[dict]:
+    """Pre-order node list; leaves are numbered left to right."""
     rows: list[dict] = []
     leaves = 0
-
-    def walk(jnode) -> int:
-        nonlocal leaves
-        node = len(rows)
-        row = {"tree": tree, "node": node, "feature": -1, "threshold": 0.0, "left": -1, "right": -1,
-               "leaf": -1, "value": 0.0, "cover": 0.0}
+    stack = [(0, None, None)]
+    while stack:
+        node, parent, side = stack.pop()
+        at = len(rows)
+        if parent is not None:
+            rows[parent][side] = at
+        row = {"tree": number, "node": at, "feature": tree.feature[node], "threshold": 0.0, "left": -1, "right": -1,
+               "leaf": -1, "value": 0.0, "cover": float(tree.sums[node][2])}
         rows.append(row)
-        if jnode.subtreeDepth() == 0:
-            row["leaf"] = leaves
+        if tree.left[node] < 0:
+            row["leaf"], row["value"] = leaves, float(values[node])
             leaves += 1
         else:
-            row["feature"], row["threshold"] = jnode.split().featureIndex(), jnode.split().threshold()
-            row["left"] = walk(jnode.leftChild())
-            row["right"] = walk(jnode.rightChild())
-        return node
-
-    walk(model._java_obj.rootNode())
+            row["threshold"] = float(edges[tree.feature[node]][tree.bin[node]])
+            stack += [(tree.right[node], at, "right"), (tree.left[node], at, "left")]
     return rows
 
 
-def _newton_step(g: float, h: float, rate: float, l1: float, l2: float) -> float:
-    return -rate * math.copysign(max(abs(g) - l1, 0.0), g) / (h + l2)
-
-
 def fit_focal_boost(train: DataFrame, rounds: int = K.BOOST_ROUNDS, vector: str = "features", label: str = "label",
-                    key: str = "row_id", gamma: float = K.FOCAL_GAMMA, alpha: float = K.FOCAL_ALPHA,
+                    gamma: float = K.FOCAL_GAMMA, alpha: float = K.FOCAL_ALPHA,
                     rate: float = K.BOOST_RATE, max_leaves: int = K.BOOST_LEAVES,
                     min_child: int = K.BOOST_MIN_CHILD, l1: float = K.BOOST_L1, l2: float = K.BOOST_L2,
-                    bins: int = 64, seed: int = K.SEED, checkpoint_every: int = 10,
+                    min_curvature: float = MIN_CHILD_CURVATURE, bins: int = 64, checkpoint_every: int = 10,
                     history: list[float] | None = None) -> Ensemble:
-    """Fit ``rounds`` trees. ``history``, if given, receives the mean loss before each round.
+    """Fit ``rounds`` trees of at most ``max_leaves`` leaves. ``history``, if given, receives the mean loss before each round.
 
-    Trees grow level by level to the depth that allows ``max_leaves`` leaves. The scored
-    frame is cached per round and written to the checkpoint folder every few rounds, so
-    neither the plan nor the work to rebuild a lost partition grows with the rounds.
+    A cut's gain is T(G)^2/(H + l2) of both sides less that of the leaf, T shrinking G by ``l1``; a leaf's value is the
+    Newton step -rate T(G)/(H + l2). Equal gains take the lowest slot and threshold. The frame is cached per round and
+    written to the checkpoint folder every few rounds, so neither the plan nor the work to rebuild a lost partition grows
+    with the rounds. Rows with a NULL label or vector are left out; an empty table gives trees of one leaf of value 0.
     """
-    depth = math.ceil(math.log2(max_leaves))
-    y, z = F.col(label), F.col("_z")
-    frame = train.select(key, label, vector).withColumn("_z", F.lit(0.0)).persist()
+    usable = train.select(label, vector).filter(F.col(label).isNotNull() & F.col(vector).isNotNull())
+    edges = feature_edges(usable, vector, bins)
+    frame = cut_lineage(binned(usable, edges, vector, label))
+    width, terms = len(edges), _terms(gamma, alpha)
+    # |gradient| < 2 and curvature < 1, so the sums of all rows stay below 2^62.
+    total = frame.agg(F.sum("n")).first()[0] or 0
+    scale = float(2 ** min(40, 61 - math.ceil(math.log2(total + 1))))
     rows: list[dict] = []
-    retired: DataFrame | None = None
-    for tree in range(rounds):
-        p = focal.sigmoid(z)
-        work = frame.withColumns({
-            "_g": focal.gradient(y, p, gamma, alpha),
-            "_h": F.greatest(focal.curvature(y, p, gamma, alpha), F.lit(_MIN_CURVATURE)),
-        }).withColumn("_target", -F.col("_g") / F.col("_h"))
-        model = DecisionTreeRegressor(
-            featuresCol=vector, labelCol="_target", weightCol="_h", leafCol="_leaf", predictionCol="_fit",
-            maxDepth=depth, maxBins=bins, minInstancesPerNode=min_child, seed=seed, maxMemoryInMB=1024,
-        ).fit(work)
-        leaves = model.transform(work).groupBy("_leaf").agg(
-            F.sum("_g").alias("g"), F.sum("_h").alias("h"), F.count(F.lit(1)).alias("n"),
-            F.sum(focal.loss(y, p, gamma, alpha)).alias("loss"),
-        ).collect()  # one row per leaf
-        stats = {int(r["_leaf"]): r for r in leaves}
-        nodes = _tree_nodes(model, tree)
-        for row in reversed(nodes):  # children come after their parent
-            if row["leaf"] >= 0:
-                s = stats.get(row["leaf"])
-                row["value"] = _newton_step(s.g, s.h, rate, l1, l2) if s else 0.0
-                row["cover"] = float(s.n) if s else 0.0
-            else:
-                row["cover"] = nodes[row["left"]]["cover"] + nodes[row["right"]]["cover"]
-        rows += nodes
-        if history is not None:
-            history.append(sum(r["loss"] for r in leaves) / sum(r["n"] for r in leaves))
-        values = F.array(*[F.lit(r["value"]) for r in nodes if r["leaf"] >= 0])
-        scored = model.transform(frame).withColumn("_z", z + F.get(values, F.col("_leaf").cast("int")))
-        scored = scored.select(key, label, vector, "_z")
-        scored = cut_lineage(scored) if (tree + 1) % checkpoint_every == 0 else scored.persist()
-        # the next frame is built from this one, so the one before can go
-        if retired is not None:
-            retired.unpersist()
-        retired, frame = frame, scored
-    for df in (retired, frame):
-        if df is not None:
+    retired: list[DataFrame] = []
+    try:
+        for number in range(rounds):
+            if history is not None:
+                history.append(_mean_loss(frame, terms))
+            tree = _grow(frame, terms, width, bins, scale, max_leaves, min_child, min_curvature, l1, l2)
+            values = np.array([_newton_step(g, h, rate, l1, l2) for g, h, _ in tree.sums])
+            rows += _frozen(tree, number, edges, values)
+            # this round's passes have filled the cache of the frame, so the one before can go
+            while retired:
+                retired.pop().unpersist()
+            scored = frame.mapInPandas(_step(tree, values, width), BLOCK_SCHEMA)
+            retired.append(frame)
+            frame = cut_lineage(scored) if (number + 1) % checkpoint_every == 0 else scored.persist()
+    finally:
+        for df in (*retired, frame):
             df.unpersist()
-    return Ensemble(pd.DataFrame(rows))
+    return Ensemble(pd.DataFrame(rows, columns=[c.split()[0] for c in TREE_SCHEMA.split(", ")]))
+
+
+def _step(tree: _Growing, values: np.ndarray, width: int):
+    walk = tree.walker()
+
+    def step(batches):
+        for batch in batches:
+            z = [
+                (np.frombuffer(z) + values[walk(np.frombuffer(x, np.uint8).reshape(n, width))]).tobytes()
+                for n, x, z in zip(batch["n"], batch["bins"], batch["z"])
+            ]
+            yield batch.assign(z=z)
+
+    return step
 
 
 def _node_arrays(model: Ensemble, used: list[int]) -> list[tuple[np.ndarray, ...]]:

@@ -118,7 +118,7 @@ def train(urls: DataFrame, settings: Settings | None = None, label: str = "phish
     picked = {p: pick_columns(f, selected, "features", "picked").select(key, "label", "picked") for p, f in frames.items()}
     scaler = fit_vector_scaler(picked["train"], picked["train"].count(), len(selected), "picked", "scaled")
     scaled = {p: scaler.transform(f).select(key, "label", "scaled") for p, f in picked.items()}
-    trees = fit_focal_boost(scaled["train"], s.rounds, "scaled", "label", key, s.gamma, s.alpha, **s.boost)
+    trees = fit_focal_boost(scaled["train"], s.rounds, "scaled", "label", s.gamma, s.alpha, **s.boost)
 
     scorer = Scorer(grams, selected, scaler, trees, [names[i] for i in selected], rules)
     predictions = predict(scaled["test"], trees, "scaled").drop("scaled")
