@@ -27,7 +27,7 @@ def test_train_and_artifacts(fit, spark):
     result, folder, _ = fit
     m = result.metrics.first()
     assert all(0.0 <= v <= 1.0 for v in m)
-    assert result.rejected.count() == 50 * 4
+    assert result.rejected.count() == 50 * 6
     loaded = read_artifacts(spark, folder)
     assert set(loaded) == {*TABLES, *MODELS}
     assert loaded["predictions"].count() == result.predictions.count()
@@ -53,7 +53,7 @@ def test_stream_scores_equal_batch_scores(fit, spark, tmp_path):
     got, want = scores(spark.read.parquet(str(tmp_path / "out"))), scores(score_urls(urls, result.scorer))
     assert got == want and len(got) == urls.count()
     rejected = [v for v in got.values() if v[0]]
-    assert len(rejected) == 50 * 4 and all(v[1] is None and v[2] is None for v in rejected)
+    assert len(rejected) == 50 * 6 and all(v[1] is None and v[2] is None for v in rejected)
 
 
 def test_read_csv_latin1(spark, tmp_path):

@@ -71,6 +71,20 @@ def test_parse_agrees_with_the_standard_library(spark, sf):
         assert (r.scheme, r.hostname, r.path, r.query, r.port) == wanted, r.url
 
 
+def test_bracketed_hosts_as_in_the_standard_library(spark):
+    hosts = """:: ::1 1:: 1::2 1:2:3:4:5:6:7:8 1:2:3:4:5:6:7:: ::2:3:4:5:6:7:8 1::3:4:5:6:7:8 1:2:3:4:5:6:7:8:9 1:::2 1::2::3 :1 1:
+        1:2:3:4:5:6:7 12345::1 g::1 1.2.3.4 ::1.2.3.4 ::ffff:1.2.3.4 1:2:3:4:5:6:1.2.3.4 1:2:3:4:5:6:7:1.2.3.4 ::1.2.3.04 ::256.1.1.1
+        ::1.2.3 1:2:3:4:5::1.2.3.4 1:2:3:4:5:6::1.2.3.4 fe80::1%eth0 fe80::1% fe80::1%a%b v1.x v1. v.x vg.x V1.x abc FE80::A""".split()
+    urls = [f"http://{u}[{h}]{p}/x" for h in [*hosts, ""] for u in ("", "u@", "a") for p in ("", ":80")]
+    for r in parse_urls(frame(spark, urls)).collect():
+        try:
+            urllib.parse.urlsplit(r.url)
+        except ValueError:
+            assert r.feature_error, r.url
+        else:
+            assert r.feature_error is None, r.url
+
+
 def entropy(items):
     n = len(items)
     return -sum(c / n * math.log2(c / n) for c in Counter(items).values()) if n else 0.0

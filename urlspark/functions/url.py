@@ -14,6 +14,25 @@ from urlspark import constants as K
 _SPLIT = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
 
 
+def _ipv6_pattern() -> str:
+    """Eight groups, or fewer around one '::'; the last two may be an IPv4 address; an optional scope follows '%'."""
+    group, octet = "[0-9a-fA-F]{1,4}", "(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+    v4 = rf"{octet}(?:\.{octet}){{3}}"
+    forms = [f"(?:{group}:){{7}}{group}", f"(?:{group}:){{6}}{v4}"]
+    for before in range(8):
+        head = f"{group}(?::{group}){{{before - 1}}}" if before else ""
+        after = 7 - before
+        tails = ["" if after == 0 else f"(?:{group}(?::{group}){{0,{after - 1}}})?"]
+        if after >= 2:
+            tails.append(f"(?:{group}:){{0,{after - 2}}}{v4}")
+        forms += [f"{head}::{tail}" for tail in tails]
+    return f"(?:{'|'.join(forms)})(?:%[^%]+)?"
+
+
+# what may stand between brackets: an IPv6 address or 'v', a version, a dot and more
+BRACKETED_HOST = rf"^(?:{_ipv6_pattern()}|v[0-9a-fA-F]+\..+)$"
+
+
 def clean(url: Column) -> Column:
     """Drop leading control characters and spaces, and tabs and line breaks anywhere."""
     return F.translate(F.regexp_replace(url, r"^[\x00-\x20]+", ""), "\t\r\n", "")
@@ -47,6 +66,8 @@ def url_error(url: Column, netloc: Column, port: Column) -> Column:
     return (
         F.when(url.isNull(), F.lit("null_url"))
         .when(netloc.contains("[") != netloc.contains("]"), F.lit("unbalanced_bracket"))
+        .when(netloc.contains("[") & ~F.regexp_extract(netloc, r"(?s)^[^\[]*\[([^\]]*)", 1).rlike(BRACKETED_HOST),
+              F.lit("bad_bracketed_host"))
         .when(netloc.rlike(f"[{K.HOST_BREAKING_CHARS}]"), F.lit("netloc_normalization"))
         .when((port != "") & port_number(port).isNull(), F.lit("bad_port"))
     )

@@ -106,3 +106,11 @@ def tree_nodes(spark: SparkSession, sf_dir: str, features: int) -> DataFrame:
         F.col("l_orderkey").alias("tree"), F.col("l_linenumber").alias("node"),
         F.when(leaf, F.lit(-1)).otherwise(slot).alias("feature"),
     )
+
+
+# Given trees: (column, threshold, left, right) or (value, rows at the leaf when it was fitted).
+GIVEN_TREES = [
+    ("quantity", 25.0, ("tax", 0.04, (-0.5, 300.0), (0.25, 200.0)), ("net", 40000.0, (0.1, 350.0), (0.9, 150.0))),
+    ("quantity", 10.0, (-0.3, 200.0), ("quantity", 30.0, (0.05, 400.0), (0.4, 400.0))),
+    ("line", 2.0, ("discount", 0.05, (0.2, 100.0), ("tax", 0.02, (-0.7, 60.0), (0.3, 240.0))), (-0.1, 600.0)),
+]

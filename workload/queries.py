@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -222,9 +223,10 @@ def assembled(df: DataFrame, keep: tuple[str, ...], columns: list[str] = NUMERIC
 
 def subsample_runs(spark, sf):
     rows = data.numeric_rows(spark, sf).select("row_id")
-    cuts = split.subsample_cuts(rows, 3, K.STABILITY_FRACTION)
+    cuts = split.subsample_cuts(rows, K.STABILITY_RUNS, K.STABILITY_FRACTION)
     tagged = rows.select("row_id", F.explode(F.array(*[
-        F.struct(F.lit(r).alias("run"), split.order_hash("row_id", K.SEED + r).alias("h")) for r in range(3)
+        F.struct(F.lit(r).alias("run"), split.order_hash("row_id", K.SEED + r).alias("h"))
+        for r in range(K.STABILITY_RUNS)
     ])).alias("x")).select("row_id", "x.*")
     inside = tagged.join(F.broadcast(cuts), "run").filter("h <= last_hash")  # one cut per run
     return inside.groupBy("row_id").agg(F.count(F.lit(1)).alias("runs"))
@@ -265,7 +267,7 @@ def merged_rank(spark, sf):
 
 def stability_frequency(spark, sf):
     rows = assembled(data.learnable_rows(spark, sf), ("row_id", "label"))
-    freq = select.stability_selection(rows, runs=4, max_iter=20)
+    freq = select.stability_selection(rows)
     return spark.createDataFrame([(c, float(f)) for c, f in zip(NUMERIC, freq)], "feature string, frequency double")
 
 
@@ -328,6 +330,61 @@ def model_scores(spark, sf):
     return boost.predict(rows, model).select("row_id", "label", "raw", "prob_1", "prediction")
 
 
+def boost_stump(spark, sf):
+    """First tree of two leaves over the columns of few values: its cut, Newton steps and row counts."""
+    columns = ["discount", "tax", "line"]
+    rows = assembled(data.learnable_rows(spark, sf), ("row_id", "label"), columns)
+    nodes = boost.fit_focal_boost(rows, rounds=1, max_leaves=2).nodes.set_index("node")
+    top, left, right = (nodes.loc[i] for i in (0, 1, 2))
+    found = (columns[int(top.feature)], float(top.threshold), float(left.value), float(right.value), int(left.cover), int(right.cover))
+    return rounded(spark.createDataFrame(
+        [found], "feature string, threshold double, left_value double, right_value double, left_rows long, right_rows long"))
+
+
+def given_trees() -> boost.Ensemble:
+    """The trees of ``data.GIVEN_TREES`` as a model."""
+    rows: list[dict] = []
+
+    def add(tree: int, node) -> int:
+        at = len(rows) - starts[tree]
+        row = {"tree": tree, "node": at, "feature": -1, "threshold": 0.0, "left": -1, "right": -1, "leaf": -1, "value": 0.0}
+        rows.append(row)
+        if len(node) == 2:
+            row["value"], row["cover"] = node
+            row["leaf"] = sum(r["tree"] == tree and r["leaf"] >= 0 for r in rows)
+        else:
+            row["feature"], row["threshold"] = NUMERIC.index(node[0]), node[1]
+            row["left"], row["right"] = add(tree, node[2]), add(tree, node[3])
+            row["cover"] = sum(rows[starts[tree] + row[side]]["cover"] for side in ("left", "right"))
+        return at
+
+    starts: dict[int, int] = {}
+    for tree, root in enumerate(data.GIVEN_TREES):
+        starts[tree] = len(rows)
+        add(tree, root)
+    return boost.Ensemble(pd.DataFrame(rows))
+
+
+def tree_scores(spark, sf):
+    """Scores and classes of all rows under given trees."""
+    rows = assembled(data.numeric_rows(spark, sf), ("row_id",))
+    return rounded(boost.predict(rows, given_trees()).select("row_id", "raw", "prob_1", "prediction"))
+
+
+def _tree_contributions(spark, sf):
+    return explain.contributions(assembled(data.numeric_rows(spark, sf), ("row_id",)), given_trees(), NUMERIC)
+
+
+def tree_contributions(spark, sf):
+    """Shapley values of all rows under given trees."""
+    return rounded(_tree_contributions(spark, sf).select("row_id", "feature", "value", "contribution", "base"))
+
+
+def tree_contribution_summary(spark, sf):
+    """The summary of the same."""
+    return rounded(explain.contribution_summary(_tree_contributions(spark, sf)))
+
+
 # --- metrics --------------------------------------------------------------------------------------
 def binary_metrics(spark, sf):
     return rounded(metrics.binary_metrics(data.numeric_rows(spark, sf)))
@@ -439,6 +496,8 @@ QUERIES = {
     "correlation_pairs": correlation_pairs, "merged_rank": merged_rank,
     "stability_frequency": stability_frequency, "tree_gain": tree_gain, "greedy_prune": greedy_prune,
     "focal_grad_hess": focal_grad_hess, "predict_class": predict_class,
+    "boost_stump": boost_stump, "tree_scores": tree_scores, "tree_contributions": tree_contributions,
+    "tree_contribution_summary": tree_contribution_summary,
     "focal_boost_scores": focal_boost_scores, "model_trees": model_trees, "model_scores": model_scores,
     "binary_metrics": binary_metrics, "roc_auc": roc_auc, "weighted_f1": weighted_f1, "metrics_text": metrics_text,
     "importance_splits": importance_splits, "importance_handcrafted": importance_handcrafted,

@@ -3,8 +3,13 @@ characters instead of back-references, ranks over whole classes instead of hash
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import factorial
+
 from urlspark import constants as K
+from urlspark.functions.url import BRACKETED_HOST
 from urlspark.operators.features import FAMILIES
+from workload.data import GIVEN_TREES
 from workload.templates import PHISHING_VARIANTS, TEMPLATES, WEAK_TERMS, pieces
 
 LETTER, DIGIT, ALNUM = r"\p{L}", r"\p{Nd}²³¹", r"\p{L}\p{N}"
@@ -86,6 +91,8 @@ ported AS (SELECT *, CASE WHEN contains(hi, '[') THEN regexp_extract(hi, '\\[[^\
                      WHEN contains(hi, ':') THEN substr(hi, strpos(hi, ':') + 1) ELSE '' END AS po FROM hosted),
 judged AS (SELECT *, CASE WHEN url IS NULL THEN 'null_url'
                      WHEN contains(nl, '[') <> contains(nl, ']') THEN 'unbalanced_bracket'
+                     WHEN contains(nl, '[') AND NOT regexp_matches(split_part(substr(nl, strpos(nl, '[') + 1), ']', 1), {s(BRACKETED_HOST)})
+                       THEN 'bad_bracketed_host'
                      WHEN regexp_matches(nl, {s('[' + K.HOST_BREAKING_CHARS + ']')}) THEN 'netloc_normalization'
                      WHEN po <> '' AND (NOT regexp_full_match(po, '[0-9]+') OR try_cast(po AS BIGINT) IS NULL OR try_cast(po AS BIGINT) > 65535)
                        THEN 'bad_port' END AS feature_error FROM ported),
@@ -593,6 +600,85 @@ SELECT row_id // 100 AS row_id, slot::INT AS slot, value FROM long JOIN slots US
 UNION ALL SELECT row_id, idx + {len(FEATURES)} AS slot, tf AS value FROM gr"""
 
 
+# --- trees ---------------------------------------------------------------------------------------
+def stump_query(columns: list[str]) -> str:
+    """All cuts of the columns by G and H at a score of 0, where each class has one gradient and one curvature."""
+    a, gamma = K.FOCAL_ALPHA, K.FOCAL_GAMMA
+    h = {1: f"({a}::DOUBLE * 0.25 * pow(0.5, {gamma} - 1))", 0: f"((1 - {a}::DOUBLE) * 0.25 * pow(0.5, {gamma} - 1))"}
+    factor = f"({gamma}::DOUBLE * ln(0.5) - 1)"
+    cells = " UNION ALL ".join(f"SELECT '{c}' AS feature, {i} AS pos, {c} AS threshold, y FROM lab" for i, c in enumerate(columns))
+    def score(g, h):
+        return f"pow(greatest(abs({g}) - {K.BOOST_L1}, 0), 2) / ({h} + {K.BOOST_L2})"
+
+    def step(g, h):
+        return f"round(-{K.BOOST_RATE} * sign({g}) * greatest(abs({g}) - {K.BOOST_L1}, 0) / ({h} + {K.BOOST_L2}), 6) + 0.0"
+
+    return f"""WITH {ROWS}, lab AS (SELECT *, ((net > 30000 AND quantity > 20) OR tax > 0.07)::INT AS y FROM r),
+cell AS (SELECT feature, pos, threshold, sum(CASE WHEN y = 1 THEN {h[1]} * {factor} ELSE -{h[0]} * {factor} END) AS g,
+  sum(CASE WHEN y = 1 THEN {h[1]} ELSE {h[0]} END) AS h, count(*) AS n FROM ({cells}) GROUP BY ALL),
+cut AS (SELECT feature, pos, threshold, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl,
+  sum(g) OVER p AS g, sum(h) OVER p AS h, sum(n) OVER p AS n FROM cell
+  WINDOW w AS (PARTITION BY feature ORDER BY threshold), p AS (PARTITION BY feature)),
+gain AS (SELECT *, {score('gl', 'hl')} + {score('(g - gl)', '(h - hl)')} - {score('g', 'h')} AS gain FROM cut
+  WHERE nl >= {K.BOOST_MIN_CHILD} AND n - nl >= {K.BOOST_MIN_CHILD})
+SELECT feature, round(threshold, 6) AS threshold, {step('gl', 'hl')} AS left_value, {step('(g - gl)', '(h - hl)')} AS right_value,
+  nl::BIGINT AS left_rows, (n - nl)::BIGINT AS right_rows FROM gain ORDER BY gain DESC, pos, threshold LIMIT 1"""
+
+
+def tree_rows(node) -> float:
+    return node[1] if len(node) == 2 else tree_rows(node[2]) + tree_rows(node[3])
+
+
+def tree_value(node, known: set[str] | None = None) -> str:
+    """Value of a given tree as SQL; columns that are not ``known`` are averaged by the rows on both sides (None: all known)."""
+    if len(node) == 2:
+        return f"({node[0]}::DOUBLE)"
+    column, cut, left, right = node
+    low, high = tree_value(left, known), tree_value(right, known)
+    if known is None or column in known:
+        return f"(CASE WHEN {column} <= {cut}::DOUBLE THEN {low} ELSE {high} END)"
+    share = tree_rows(left) / tree_rows(node)
+    return f"({share!r}::DOUBLE * {low} + {1 - share!r}::DOUBLE * {high})"
+
+
+def tree_scores_query() -> str:
+    raw = " + ".join(tree_value(t) for t in GIVEN_TREES)
+    return f"""WITH {ROWS}, z AS (SELECT row_id, {raw} AS raw FROM r)
+SELECT row_id, round(raw, 6) + 0.0 AS raw, round(1 / (1 + exp(-raw)), 6) AS prob_1, (raw >= 0)::INT AS prediction FROM z"""
+
+
+def shapley_cte() -> str:
+    """Shapley values by their definition: weighted over all sets of the other columns of a tree."""
+    def columns(node) -> set[str]:
+        return set() if len(node) == 2 else {node[0]} | columns(node[2]) | columns(node[3])
+
+    used = sorted(set().union(*map(columns, GIVEN_TREES)))
+    base = " + ".join(tree_value(t, set()) for t in GIVEN_TREES)
+    parts = []
+    for c in used:
+        terms = []
+        for tree in GIVEN_TREES:
+            mine = sorted(columns(tree))
+            others = [o for o in mine if o != c]
+            if c not in mine:
+                continue
+            for k in range(len(others) + 1):
+                weight = factorial(k) * factorial(len(others) - k) / factorial(len(mine))
+                terms += [f"{weight!r}::DOUBLE * ({tree_value(tree, {*s, c})} - {tree_value(tree, set(s))})"
+                          for s in combinations(others, k)]
+        parts.append(f"SELECT row_id, '{c}' AS feature, {c} AS value, {' + '.join(terms)} AS contribution, {base} AS base FROM r")
+    return f"{ROWS}, sh AS ({' UNION ALL '.join(parts)})"
+
+
+def tree_contributions_query() -> str:
+    return f"""WITH {shapley_cte()} SELECT row_id, feature, round(value, 6) AS value, round(contribution, 6) + 0.0 AS contribution,
+  round(base, 6) AS base FROM sh"""
+
+
+def tree_summary_query() -> str:
+    return f"WITH {shapley_cte()} SELECT feature, round(avg(abs(contribution)), 6) AS mean_abs FROM sh GROUP BY feature"
+
+
 def all_queries(names: list[str], top: int = 500) -> dict[str, str]:
     return {
         "url_parse": parse_query(), "url_suffix": suffix_query(), "url_suffix_table": suffix_query(),
@@ -609,9 +695,11 @@ def all_queries(names: list[str], top: int = 500) -> dict[str, str]:
         "split_stratified": f"WITH {SPLIT} SELECT row_id, label, split FROM sp",
         "split_distribution": f"WITH {SPLIT} SELECT split, label, count(*) AS n FROM sp GROUP BY ALL",
         "scale_standard": scale_query(), "scale_vectors": scale_query(), "column_subset": SUBSET,
-        "subsample_runs": subsample_query(3, K.STABILITY_FRACTION), "binned_mi": binned_mi_query(),
+        "subsample_runs": subsample_query(K.STABILITY_RUNS, K.STABILITY_FRACTION), "binned_mi": binned_mi_query(),
         "correlation_pairs": correlation_query(), "merged_rank": merged_query(),
-        "greedy_prune": greedy_query(), "focal_grad_hess": focal_query(), "predict_class": PREDICT,
+        "greedy_prune": greedy_query(), "boost_stump": stump_query(["discount", "tax", "line"]),
+        "tree_scores": tree_scores_query(), "tree_contributions": tree_contributions_query(),
+        "tree_contribution_summary": tree_summary_query(), "focal_grad_hess": focal_query(), "predict_class": PREDICT,
         "binary_metrics": METRICS, "roc_auc": AUC, "weighted_f1": WEIGHTED,
         "metrics_text": METRIC_TEXT.format(inner=METRICS),
         "importance_splits": importance_query(names), "importance_handcrafted": handcrafted_query(names),

@@ -45,6 +45,9 @@ TEMPLATES = [
     "https://blog{id}.wordpress.com:/wp-admin/?return=/home&target=https://a.org//b&target=x",
     "http://x{id}.city.kawasaki.jp/?next=//evil.co.uk&NEXT=1",
     "//cdn{id}.{host}/lib.js#frag?no",
+    "http://[abc{id}]/x",
+    "http://[{b}.2.3.4]/{id}",
+    "http://u@[fe80::{b}:2%eth0]:81/{id}",
 ]
 
 # variants counted as phishing besides the weak terms
