@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import check
 from urlspark.operators.features import FEATURES
-from urlspark.plans.scoring import score_urls
+from urlspark.plans.scoring import load_scorer, score_urls
 from urlspark.plans.train import Settings, train
 from urlspark.sources.artifacts import MODELS, TABLES, read_artifacts, write_artifacts
 from urlspark.sources.urls import read_urls_csv, read_urls_parquet
@@ -37,6 +37,15 @@ def test_train_and_artifacts(fit, spark):
     assert result.gram_validation.first().accuracy > 0
 
 
+def test_loaded_scorer_gives_the_same_scores(fit, spark):
+    result, folder, urls = fit
+    again = load_scorer(spark, folder)
+    assert again.selected == result.scorer.selected and again.names == result.scorer.names
+    columns = ["row_id", "feature_error", "prob_1", "prediction"]
+    want, got = (score_urls(urls, s).select(columns) for s in (result.scorer, again))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_none_artifact_is_skipped(fit, tmp_path):
     assert write_artifacts(str(tmp_path), {"x": None, "ngrams": fit[0].scorer.grams}) == ["ngrams"]
 

@@ -10,6 +10,7 @@ from urlspark.functions import text as X
 from urlspark.operators import suffix
 from urlspark.operators.features import FEATURES, feature_table, url_features
 from urlspark.operators.parse import parse_urls, quarantine
+from urlspark.operators.suffix import SuffixRules, default_rules_table, read_suffix_list, split_registrable
 from workload import data
 
 EDGE = {
@@ -154,3 +155,31 @@ def test_term_lists_have_the_expected_sizes():
 def test_features_need_no_shuffle(spark):
     plan = url_features(spark.range(10).select(F.col("id").alias("row_id"), F.lit("http://a.com").alias("url")))
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_suffix_list_file(spark, tmp_path):
+    path = tmp_path / "list.dat"
+    path.write_text("// c\n\ncom\ncom.ar  // note\r\n*.ck\n!www.ck\nрф\ncom\n// ===BEGIN PRIVATE DOMAINS===\nblogspot.com\n", "utf-8")
+    plain = {("com", False, False), ("com.ar", False, False), ("ck", True, False), ("www.ck", False, True), ("рф", False, False),
+             ("xn--p1ai", False, False)}
+    rules = read_suffix_list(spark, str(path))
+    assert sorted(map(tuple, rules.collect())) == sorted(plain)
+    everything = read_suffix_list(spark, str(path), private=True)
+    assert {tuple(r) for r in everything.collect()} == plain | {("blogspot.com", False, False)}
+    urls = ["http://a.x.com.ar/", "http://b.blogspot.com", "http://www.ck", "http://a.b.ck", "http://й.рф", "http://q.xn--p1ai"]
+    wanted = [("a", "x", "com.ar"), ("b", "blogspot", "com"), ("", "www", "ck"), ("", "a", "b.ck"), ("", "й", "рф"),
+              ("", "q", "xn--p1ai")]
+    for limit in (100, 0):
+        inline = SuffixRules.from_table(rules, limit)
+        again = SuffixRules.from_table(inline.as_table(spark), limit)
+        for found in (inline, again):
+            got = {r.url: (r.subdomain, r.domain, r.tld) for r in split_registrable(frame(spark, urls), rules=found).collect()}
+            assert [got[u] for u in urls] == wanted
+
+
+def test_big_suffix_table_does_not_shuffle_urls(spark, sf):
+    rules = SuffixRules.from_table(default_rules_table(spark), max_inline=0)
+    assert rules.broadcast
+    plan = split_registrable(data.table(spark, sf, "pages").select("url"), rules=rules)
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan

@@ -150,11 +150,19 @@ def summary_points(contribs: DataFrame, k: int = K.SUMMARY_TOP) -> DataFrame:
 
 def row_key_at(rows: DataFrame, position: int, key: str = "row_id", fallback: int | None = None):
     """Key of the row at a 0-based position in key order; ``fallback`` position when out of range."""
-    ordered = rows.select(key).orderBy(key)
-    hit = ordered.offset(position).limit(1).first()
-    if hit is None and fallback is not None:
-        hit = ordered.offset(fallback).limit(1).first()
-    return hit[0] if hit else None
+    # Sorted in ranges; the ranges' sizes tell which one has the position, and only that one is looked into.
+    ordered = rows.select(key).orderBy(key).withColumn("_range", F.spark_partition_id()).persist()
+    try:
+        sizes = sorted(ordered.groupBy("_range").count().collect())  # one row per range
+        for wanted in (position, fallback):
+            before = 0
+            for part, size in sizes:
+                if wanted is not None and before <= wanted < before + size:
+                    return ordered.filter(F.col("_range") == part).orderBy(key).offset(wanted - before).first()[0]
+                before += size
+        return None
+    finally:
+        ordered.unpersist()
 
 
 def decision_path(contribs: DataFrame, key: str = "row_id") -> DataFrame:

@@ -3,22 +3,24 @@
 The suffix rules are a table argument ``(suffix, is_wildcard, is_exception)``; a default of
 common suffixes is built in. Up to a checked number of rules they travel inside the plan as
 hash sets, so the split is a plain projection: no join, no shuffle, usable on streams.
-A larger table is joined, salted on the (very skewed) suffix.
+A larger table is broadcast up to a second limit and beyond that joined, salted on the (very skewed) suffix.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlspark import constants as K
 from urlspark.functions.url import lookup_host
-from urlspark.session import fits_broadcast, lookup_join
+from urlspark.session import fits_broadcast, salted_join
 
 MAX_INLINE_RULES = 20_000
 _OCTET = r"(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+RULE_SCHEMA = "suffix string, is_wildcard boolean, is_exception boolean"
 IPV4 = rf"^(?:{_OCTET}\.){{3}}{_OCTET}\z"
 
 
@@ -29,6 +31,7 @@ class SuffixRules:
     wildcard: list[str] | None = None
     exception: list[str] | None = None
     table: DataFrame | None = None  # set only when there are too many rules to inline
+    broadcast: bool = False  # whether that table was found small enough to be sent to every executor
 
     @staticmethod
     def default() -> "SuffixRules":
@@ -49,14 +52,49 @@ class SuffixRules:
             return SuffixRules(_depth(plain, wildcard), plain, wildcard,
                                [r.suffix for r in rows if r.is_exception])
         labels = F.size(F.split("suffix", r"\.")) + F.col("is_wildcard").cast("int")
-        return SuffixRules(flags.agg(F.max(labels)).first()[0], table=flags)
+        # Read once per rule set: the split asks it once per label of a host.
+        flags = flags.persist()
+        return SuffixRules(flags.agg(F.max(labels)).first()[0], table=flags, broadcast=fits_broadcast(flags))
+
+    def as_table(self, spark: SparkSession) -> DataFrame:
+        """The rules in the form that ``from_table`` takes."""
+        if self.table is None:
+            kinds = ((self.plain, False, False), (self.wildcard, True, False), (self.exception, False, True))
+            return spark.createDataFrame([(s, *kind) for names, *kind in kinds for s in names or []], RULE_SCHEMA)
+        return self.table.select("suffix", F.explode(F.array(*[
+            F.when(F.col(flag), F.struct(F.lit(w).alias("is_wildcard"), F.lit(e).alias("is_exception")))
+            for flag, w, e in (("is_plain", False, False), ("is_wildcard", True, False), ("is_exception", False, True))
+        ])).alias("kind")).filter("kind IS NOT NULL").select("suffix", "kind.*")
+
+
+def read_suffix_list(spark: SparkSession, path: str, private: bool = False) -> DataFrame:
+    """(suffix, is_wildcard, is_exception) from a file in the published list's format.
+
+    One rule per line up to the first white space, '//' comments, '*.' for wildcards and '!' for exceptions. The private
+    section, which ends the file, is left out unless asked for. Names with other than ASCII letters are given in both
+    spellings. Repeated rules are listed once, an empty file has none.
+    """
+    whole = spark.read.text(path, wholetext=True)  # the order of lines matters for the section
+    public = whole if private else whole.select(F.substring_index("value", "===BEGIN PRIVATE DOMAINS===", 1).alias("value"))
+    lines = public.select(F.explode(F.split("value", r"\r\n|\r|\n")).alias("line"))
+    rules = lines.select(F.regexp_extract("line", r"^\s*(\S*)", 1).alias("rule")).filter("rule <> '' AND NOT startswith(rule, '//')")
+
+    @F.pandas_udf("string")
+    def ascii_form(names: pd.Series) -> pd.Series:
+        def one(label: str) -> str:
+            return label if label.isascii() else "xn--" + label.encode("punycode").decode()
+
+        return names.map(lambda name: ".".join(map(one, name.split("."))))
+
+    named = rules.select(
+        F.lower(F.regexp_replace("rule", r"^(?:!|\*\.)", "")).alias("suffix"),
+        F.startswith("rule", F.lit("*.")).alias("is_wildcard"), F.startswith("rule", F.lit("!")).alias("is_exception"),
+    )
+    return named.unionByName(named.withColumn("suffix", ascii_form("suffix"))).distinct()
 
 
 def default_rules_table(spark: SparkSession) -> DataFrame:
-    rules = SuffixRules.default()
-    rows = [(s, False, False) for s in rules.plain]
-    rows += [(s, True, False) for s in rules.wildcard] + [(s, False, True) for s in rules.exception]
-    return spark.createDataFrame(rows, "suffix string, is_wildcard boolean, is_exception boolean")
+    return SuffixRules.default().as_table(spark)
 
 
 def _depth(plain: list[str], wildcard: list[str]) -> int:
@@ -91,7 +129,11 @@ def with_suffix(df: DataFrame, host: str, out: str, rules: SuffixRules) -> DataF
             F.col("suffix").alias(f"_tail{k}"),
             *[F.col(c).alias(f"_{c}{k}") for c in ("is_plain", "is_wildcard", "is_exception")],
         )
-        joined = lookup_join(joined.withColumn(f"_tail{k}", tails[k]), flags, [f"_tail{k}"], max_rows=MAX_INLINE_RULES)
+        tailed = joined.withColumn(f"_tail{k}", tails[k])
+        if rules.broadcast:
+            joined = tailed.join(F.broadcast(flags), f"_tail{k}", "left")  # checked when the rules were read
+        else:
+            joined = salted_join(tailed, flags, [f"_tail{k}"])
 
     def flag(name: str):
         return lambda k: F.coalesce(F.col(f"_is_{name}{k}"), F.lit(False))

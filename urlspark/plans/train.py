@@ -144,5 +144,6 @@ def artifact_tables(fit: Fit, names: list[str], key: str = "row_id") -> dict:
         "predictions": fit.predictions,
         "selected_features": spark.createDataFrame(list(enumerate(fit.scorer.selected)), "position int, idx int"),
         "feature_names": spark.createDataFrame(list(enumerate(names)), "idx int, feature string"),
+        "suffix_rules": (fit.scorer.rules or SuffixRules.default()).as_table(spark),
         "scaler": fit.scorer.scaler,
     }

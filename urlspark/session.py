@@ -90,6 +90,11 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     """
     if fits_broadcast(right, max_rows):
         return left.join(F.broadcast(right), keys, how)
+    return salted_join(left, right, keys, how)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """The shuffled half of ``lookup_join``."""
     salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
     salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")

@@ -45,8 +45,11 @@ def url_suffix(spark, sf):
 
 
 def url_suffix_table(spark, sf):
-    """The same with the rules given as a table."""
-    rules = suffix.SuffixRules.from_table(suffix.default_rules_table(spark))
+    """The same with the rules given as a table, to which every line item adds a rule of its own that no host has."""
+    name = F.concat_ws("-", F.lit("q"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    own = data.table(spark, sf, "lineitem").select(
+        F.concat(name, F.lit(".test")).alias("suffix"), F.lit(False).alias("is_wildcard"), F.lit(False).alias("is_exception"))
+    rules = suffix.SuffixRules.from_table(suffix.default_rules_table(spark).unionByName(own))
     return suffix.split_registrable(data.url_variants(spark, sf), rules=rules).select("row_id", "subdomain", "domain", "tld")
 
 
