@@ -114,3 +114,7 @@ GIVEN_TREES = [
     ("quantity", 10.0, (-0.3, 200.0), ("quantity", 30.0, (0.05, 400.0), (0.4, 400.0))),
     ("line", 2.0, ("discount", 0.05, (0.2, 100.0), ("tax", 0.02, (-0.7, 60.0), (0.3, 240.0))), (-0.1, 600.0)),
 ]
+GIVEN_URL_TREES = [
+    ("url_length", 40.0, ("dot_count", 2.0, (-0.6, 300.0), (0.2, 200.0)), ("digit_count", 6.0, (0.1, 300.0), (0.8, 200.0))),
+    ("has_port", 0.5, ("path_depth", 2.0, (-0.4, 500.0), (0.15, 300.0)), (0.7, 200.0)),
+]

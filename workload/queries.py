@@ -5,8 +5,10 @@ from __future__ import annotations
 import functools
 
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from urlspark.operators.features import FAMILIES, FEATURES, url_features
 from urlspark.operators.parse import PARTS, parse_urls, quarantine, split_host_naive
 from urlspark.operators.scale import apply_scaler, fit_scaler, fit_vector_scaler, pick_columns
 from urlspark.plans.frames import extract_features
+from urlspark.plans.scoring import Scorer, score_urls
 from urlspark.session import BROADCAST_ROWS, cut_lineage, scratch_path
 from urlspark.sources.artifacts import metric_lines
 from urlspark.streaming.score import read_url_stream, write_stream
@@ -270,7 +273,7 @@ def merged_rank(spark, sf):
 
 def stability_frequency(spark, sf):
     rows = assembled(data.learnable_rows(spark, sf), ("row_id", "label"))
-    freq = select.stability_selection(rows)
+    freq = select.stability_selection(rows, runs=4, max_iter=20)
     return spark.createDataFrame([(c, float(f)) for c, f in zip(NUMERIC, freq)], "feature string, frequency double")
 
 
@@ -344,8 +347,8 @@ def boost_stump(spark, sf):
         [found], "feature string, threshold double, left_value double, right_value double, left_rows long, right_rows long"))
 
 
-def given_trees() -> boost.Ensemble:
-    """The trees of ``data.GIVEN_TREES`` as a model."""
+def given_trees(trees: list[tuple] = data.GIVEN_TREES, columns: list[str] = NUMERIC) -> boost.Ensemble:
+    """Trees written down in ``data`` as a model over the columns."""
     rows: list[dict] = []
 
     def add(tree: int, node) -> int:
@@ -356,13 +359,13 @@ def given_trees() -> boost.Ensemble:
             row["value"], row["cover"] = node
             row["leaf"] = sum(r["tree"] == tree and r["leaf"] >= 0 for r in rows)
         else:
-            row["feature"], row["threshold"] = NUMERIC.index(node[0]), node[1]
+            row["feature"], row["threshold"] = columns.index(node[0]), node[1]
             row["left"], row["right"] = add(tree, node[2]), add(tree, node[3])
             row["cover"] = sum(rows[starts[tree] + row[side]]["cover"] for side in ("left", "right"))
         return at
 
     starts: dict[int, int] = {}
-    for tree, root in enumerate(data.GIVEN_TREES):
+    for tree, root in enumerate(trees):
         starts[tree] = len(rows)
         add(tree, root)
     return boost.Ensemble(pd.DataFrame(rows))
@@ -383,6 +386,15 @@ def tree_contributions(spark, sf):
     return rounded(_tree_contributions(spark, sf).select("row_id", "feature", "value", "contribution", "base"))
 
 
+def url_scores(spark, sf):
+    """Every URL variant through the scoring plan, with given trees over the URL features and a scaler that changes nothing."""
+    same = PipelineModel([ElementwiseProduct(
+        scalingVec=Vectors.dense([1.0] * len(FEATURES)), inputCol="picked", outputCol="scaled")])
+    scorer = Scorer(None, list(range(len(FEATURES))), same, given_trees(data.GIVEN_URL_TREES, FEATURES), FEATURES)
+    scored = score_urls(data.url_variants(spark, sf), scorer)
+    return rounded(scored.select("row_id", F.col("feature_error").isNotNull().alias("rejected"), "prob_1", "prediction"))
+
+
 def tree_contribution_summary(spark, sf):
     """The summary of the same."""
     return rounded(explain.contribution_summary(_tree_contributions(spark, sf)))
@@ -499,7 +511,7 @@ QUERIES = {
     "correlation_pairs": correlation_pairs, "merged_rank": merged_rank,
     "stability_frequency": stability_frequency, "tree_gain": tree_gain, "greedy_prune": greedy_prune,
     "focal_grad_hess": focal_grad_hess, "predict_class": predict_class,
-    "boost_stump": boost_stump, "tree_scores": tree_scores, "tree_contributions": tree_contributions,
+    "boost_stump": boost_stump, "tree_scores": tree_scores, "url_scores": url_scores, "tree_contributions": tree_contributions,
     "tree_contribution_summary": tree_contribution_summary,
     "focal_boost_scores": focal_boost_scores, "model_trees": model_trees, "model_scores": model_scores,
     "binary_metrics": binary_metrics, "roc_auc": roc_auc, "weighted_f1": weighted_f1, "metrics_text": metrics_text,

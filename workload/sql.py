@@ -9,7 +9,7 @@ from math import factorial
 from urlspark import constants as K
 from urlspark.functions.url import BRACKETED_HOST
 from urlspark.operators.features import FAMILIES
-from workload.data import GIVEN_TREES
+from workload.data import GIVEN_TREES, GIVEN_URL_TREES
 from workload.templates import PHISHING_VARIANTS, TEMPLATES, WEAK_TERMS, pieces
 
 LETTER, DIGIT, ALNUM = r"\p{L}", r"\p{Nd}²³¹", r"\p{L}\p{N}"
@@ -647,6 +647,13 @@ def tree_scores_query() -> str:
 SELECT row_id, round(raw, 6) + 0.0 AS raw, round(1 / (1 + exp(-raw)), 6) AS prob_1, (raw >= 0)::INT AS prediction FROM z"""
 
 
+def url_scores_query() -> str:
+    raw = " + ".join(tree_value(t) for t in GIVEN_URL_TREES)
+    return f"""WITH f AS ({family_query("lexical")}), z AS (SELECT row_id, url_length IS NULL AS rejected, {raw} AS raw FROM f)
+SELECT row_id, rejected, CASE WHEN NOT rejected THEN round(1 / (1 + exp(-raw)), 6) END AS prob_1,
+  CASE WHEN NOT rejected THEN (raw >= 0)::INT END AS prediction FROM z"""
+
+
 def shapley_cte() -> str:
     """Shapley values by their definition: weighted over all sets of the other columns of a tree."""
     def columns(node) -> set[str]:
@@ -698,7 +705,7 @@ def all_queries(names: list[str], top: int = 500) -> dict[str, str]:
         "subsample_runs": subsample_query(K.STABILITY_RUNS, K.STABILITY_FRACTION), "binned_mi": binned_mi_query(),
         "correlation_pairs": correlation_query(), "merged_rank": merged_query(),
         "greedy_prune": greedy_query(), "boost_stump": stump_query(["discount", "tax", "line"]),
-        "tree_scores": tree_scores_query(), "tree_contributions": tree_contributions_query(),
+        "tree_scores": tree_scores_query(), "url_scores": url_scores_query(), "tree_contributions": tree_contributions_query(),
         "tree_contribution_summary": tree_summary_query(), "focal_grad_hess": focal_query(), "predict_class": PREDICT,
         "binary_metrics": METRICS, "roc_auc": AUC, "weighted_f1": WEIGHTED,
         "metrics_text": METRIC_TEXT.format(inner=METRICS),
