@@ -71,3 +71,17 @@ def test_mask_and_report(spark):
         assert sum(r[f"n_{k}"] for k in pii.BASE_KINDS) + r["n_added"] == len([s for s in r["spans"].split(",") if s])
     assert pii.personal_data(docs).count() == sum(len([s for s in r["spans"].split(",") if s]) for r in report)
     assert rows(pii.personal_data(docs.limit(0))) == [] and pii.mask_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("number", [
+    "BE68 5390 0754 7034", "ES9121000418450200051332", "AT611904300234573201", "GB82 WEST 1234 5698 7654 32",
+    "DE89370400440532013000",
+])
+@pytest.mark.parametrize("after", ["", " EUR", " 12 May", " BIC", " Please pay", " EUROS", " AB12 3456", ".", "\n12"])
+def test_iban_gives_back_what_follows(number, after):
+    assert [s[:3] for s in pii.find_personal_data(f"to {number}{after}") if s[0] == "iban"] == [("iban", 3, 3 + len(number))]
+
+
+def test_iban_search_is_linear():
+    for t in ("AA11" * 75_000, "AA11 " * 60_000, "AA11 1 " * 40_000):
+        pii.find_personal_data(t)

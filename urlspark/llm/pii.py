@@ -26,7 +26,9 @@ BEFORE_AT = re.compile(r"[^A-Za-z0-9._%+-]")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}+(?: ?[0-9A-Z]{1,3})?+(?![0-9A-Za-z])")
+IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?= ?[0-9A-Z])")  # its first group; _ibans looks for the end
+IBAN_TAIL = re.compile(r"[0-9A-Z]")
+WORD_GOES_ON = re.compile(r"[0-9A-Za-z]")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])")
 DIGIT = re.compile(r"[0-9]")
@@ -66,6 +68,27 @@ def mod97(account: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each country code and check digits: groups of four (the last may be shorter) with or without blanks, to the
+    last word end within 34 characters at which mod-97 holds."""
+    done = 0
+    for m in IBAN.finditer(text):
+        if m.start() < done:
+            continue
+        at, ends = m.end(), []
+        for n in range(4, 34):
+            at += n % 4 == 0 and text.startswith(" ", at)
+            if not IBAN_TAIL.match(text, at):
+                break
+            at += 1
+            if not WORD_GOES_ON.match(text, at):
+                ends.append(at)
+        end = next((e for e in reversed(ends) if mod97(text[m.start():e])), None)
+        if end is not None:
+            yield m.start(), end
+            done = end
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """From each @: the run in front of it (not before the last match) and the domain behind it."""
     done, at = 0, text.find("@")
@@ -114,13 +137,13 @@ def find_personal_data(text: str, settings: Settings = Settings()) -> list[tuple
     spans = [(k, b, e, _score(text, k, b, e, settings)) for k, b, e in _base(text, digits)]
     if digits:
         taken = sorted((b, e) for _, b, e, _ in spans)
-        for kind, pattern, check in (("iban", IBAN, mod97), ("ssn", SSN, None), ("localphone", LOCAL_PHONE, None)):
-            for m in pattern.finditer(text):
-                if check is None or check(m.group()):
-                    score = _score(text, kind, m.start(), m.end(), settings)
-                    if score >= settings.threshold and all(e <= m.start() or m.end() <= b for b, e in taken):
-                        spans.append((kind, m.start(), m.end(), score))
-                        taken.append((m.start(), m.end()))
+        found = [("iban", *span) for span in _ibans(text)]
+        found += [(k, *m.span()) for k, p in (("ssn", SSN), ("localphone", LOCAL_PHONE)) for m in p.finditer(text)]
+        for kind, begin, end in found:
+            score = _score(text, kind, begin, end, settings)
+            if score >= settings.threshold and all(e <= begin or end <= b for b, e in taken):
+                spans.append((kind, begin, end, score))
+                taken.append((begin, end))
     return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
