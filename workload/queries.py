@@ -182,14 +182,14 @@ def ngram_names(spark, sf):
 
 
 def ngram_l1_rank(spark, sf):
-    return ngrams.select_ngrams(_pages(spark, sf), "text", k=200, max_iter=30)
+    return ngrams.select_ngrams(_pages(spark, sf), "text")
 
 
 def ngram_validation(spark, sf):
     rows = split.stratified_split(_pages(spark, sf))
     train, val = (rows.filter(F.col("split") == p).drop("split") for p in ("train", "val"))
-    best = ngrams.select_ngrams(train, "text", k=200, max_iter=30)
-    return ngrams.validate_ngrams(train, val, best, "text", max_iter=30)
+    best = ngrams.select_ngrams(train, "text")
+    return ngrams.validate_ngrams(train, val, best, "text")
 
 
 # --- split, scale, selection ----------------------------------------------------------------
@@ -279,7 +279,7 @@ def stability_frequency(spark, sf):
 
 def tree_gain(spark, sf):
     rows = assembled(data.learnable_rows(spark, sf), ("row_id", "label"))
-    gain = select.tree_gain(rows, trees=5)
+    gain = select.tree_gain(rows)
     return spark.createDataFrame([(c, float(g)) for c, g in zip(NUMERIC, gain)], "feature string, gain double")
 
 
