@@ -6,7 +6,9 @@ import uuid
 
 import public_tokenizers
 
-from urlspark.llm import bpe, decontaminate, lattice, packing, pii, quality, repetition, simhash, toxicity, urltree
+from urlspark.llm import (
+    bpe, decontaminate, divergence, lattice, packing, pii, quality, repetition, resampling, secrets, simhash, toxicity, urltree,
+)
 from urlspark.llm.common import held_out, table
 from urlspark.session import checkpoint_dir
 
@@ -64,8 +66,21 @@ def op10_url_templates(spark, sf_dir):
     return urltree.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("template")
 
 
+def op11_importance_resampling(spark, sf_dir):
+    return resampling.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op12_secrets(spark, sf_dir):
+    return secrets.secrets_report(documents(spark, sf_dir))
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_quality, op2_toxicity, op3_simhash, op4_repetition, op5_decontamination, op6_byte_bpe, op7_token_file,
-              op8_lattice_lm, op9_pii, op10_url_templates)
+              op8_lattice_lm, op9_pii, op10_url_templates, op11_importance_resampling, op12_secrets,
+              op13_source_divergence)
 }

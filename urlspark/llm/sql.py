@@ -122,4 +122,121 @@ SELECT l.page_id, host, path, rule,
     coalesce(v, CASE WHEN (tb + 10.0::DOUBLE * prior) / (tl + 10.0::DOUBLE) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM labelled l JOIN shares USING (page_id)"""
 
-ORACLES = {"op4_repetition": OP4, "op5_decontamination": OP5, "op10_url_templates": OP10}
+TERMS = r"regexp_extract_all({text}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')".replace("{text}", LOWERED.replace("{text}", "text"))
+
+OP13 = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {TERMS} AS w FROM documents
+),
+t AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+n AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+cells AS (
+    SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, v,
+        sum(coalesce(n.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total,
+        sum(coalesce(n.n, 0)) OVER (PARTITION BY g.lang, k.term) AS whole,
+        sum(coalesce(n.n, 0)) OVER (PARTITION BY g.lang) AS every
+    FROM groups g JOIN kept k USING (lang) JOIN sizes USING (lang) LEFT JOIN n USING (lang, source, term)
+),
+shares AS (
+    SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS p,
+        1 + (1000000000::HUGEINT * (whole + 5)) // (every + 5 * v) AS q
+    FROM cells
+),
+sums AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM shares a JOIN shares b USING (lang, term) WHERE a.source != b.source GROUP BY ALL
+),
+pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source != b.source
+    LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item COLLATE "binary") AS rank
+    FROM (FROM pairs UNION ALL FROM terms)
+) WHERE part = 'pair' OR rank <= 50"""
+
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
+WORD = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+ASSIGN = WORD + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _spans(kind: str, place: int, text: str, pattern: str, group: int, table: str) -> str:
+    """Matches with their code points: lengths of the gaps and matches before, added up."""
+    return f"""
+        SELECT k, {place} AS place, '{kind}' AS kind, e - length(m) AS b, e, v FROM (
+            SELECT k, m, v, sum(g + length(m)) OVER (PARTITION BY k ORDER BY i) AS e FROM (
+                SELECT k, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[1:len(ms)]) AS g
+                FROM (SELECT k, regexp_extract_all({text}, '{pattern}') AS ms,
+                        regexp_extract_all({text}, '{pattern}', {group}) AS vs,
+                        list_transform(string_split_regex({text}, '{pattern}'), lambda s: length(s)) AS gs FROM {table})
+            ))"""
+
+
+def _codes(string: str) -> str:
+    return f"list_transform(string_split({string}, ''), lambda c: instr('{ALPHABET}', c))"
+
+
+def _blank(text: str, pattern: str) -> str:
+    """The text with one blank for each character of a match."""
+    gaps, found = f"string_split_regex({text}, '{pattern}')", f"regexp_extract_all({text}, '{pattern}')"
+    return f"array_to_string(list_transform(list_zip({gaps}, {found}), lambda z: z[1] || repeat(' ', coalesce(length(z[2]), 0))), '')"
+
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+base AS (
+    SELECT * FROM ({_spans('assign', 0, 't', ASSIGN, 2, 'd')}) WHERE length(v) >= 6
+    UNION ALL {_spans('access', 1, 't', 'AKIA[A-Z0-9]+', 0, 'd')} WHERE length(m) >= 20
+    UNION ALL {_spans('hex', 2, 't', '[0-9a-f]+', 0, 'd')} WHERE length(m) >= 24
+),
+blanked AS (SELECT k, {_blank('t', ASSIGN)} AS t FROM d),
+bare AS (
+    SELECT {_blank(_blank('t', 'AKIA[A-Z0-9]{16,}'), '[0-9a-f]{24,}')} AS t FROM blanked
+),
+strings AS (
+    SELECT DISTINCT v AS s, true AS random FROM base
+    UNION ALL SELECT DISTINCT unnest(regexp_extract_all(t, '[A-Za-z0-9+/_-]{4,}')), false FROM bare
+),
+pairs AS (
+    SELECT random, unnest(c[1:len(c) - 1]) AS a, unnest(c[2:len(c)]) AS b FROM (SELECT random, {_codes('s')} AS c FROM strings)
+),
+counts AS (SELECT random, a, b, count(*) AS n FROM pairs GROUP BY ALL),
+after AS (SELECT random, a, sum(n) AS n FROM counts GROUP BY ALL),
+labels_ AS (SELECT count(DISTINCT random) = 2 AS ok FROM counts),
+chances AS (
+    SELECT random, a, b, (coalesce(c.n, 0) + 0.5::DOUBLE) / (coalesce(x.n, 0) + 0.5::DOUBLE * 67) AS p
+    FROM (SELECT unnest([true, false]) AS random) CROSS JOIN (SELECT unnest(range(67)) AS a)
+    CROSS JOIN (SELECT unnest(range(67)) AS b) LEFT JOIN counts c USING (random, a, b) LEFT JOIN after x USING (random, a)
+),
+ratios AS (
+    SELECT a, b, round(1000 * ln(max(p) FILTER (random) / max(p) FILTER (NOT random))) AS r FROM chances GROUP BY ALL
+),
+runs AS (SELECT *, row_number() OVER () AS j FROM ({_spans('random', 3, 't', '[A-Za-z0-9+/_-]{16,}', 0, 'blanked')})),
+scored AS (
+    SELECT j, sum(r) AS r FROM (SELECT j, unnest(c[1:len(c) - 1]) AS a, unnest(c[2:len(c)]) AS b
+        FROM (SELECT j, {_codes('v')} AS c FROM runs)) JOIN ratios USING (a, b) GROUP BY j
+),
+added AS (
+    SELECT k, place, kind, b, e, v FROM runs JOIN scored USING (j)
+    WHERE r >= 8000 AND (SELECT ok FROM labels_) AND NOT EXISTS (
+        SELECT 1 FROM base x WHERE x.k = runs.k AND x.b < runs.e AND runs.b < x.e)
+),
+spans AS (
+    SELECT k, place, b, kind || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT) AS s FROM (FROM base UNION ALL FROM added)
+),
+listed AS (
+    SELECT k, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access,
+        count(*) FILTER (place = 2) AS n_hex, count(*) FILTER (place = 3) AS n_random,
+        string_agg(s, ',' ORDER BY b, place) FILTER (place < 3) AS base, string_agg(s, ',' ORDER BY b, place) AS spans
+    FROM spans GROUP BY k
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_random, 0) AS n_random
+FROM d LEFT JOIN listed USING (k)"""
+
+ORACLES = {"op12_secrets": OP12, "op13_source_divergence": OP13, "op4_repetition": OP4, "op5_decontamination": OP5, "op10_url_templates": OP10}
