@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import factorial
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
@@ -12,6 +10,12 @@ from pyspark.sql import functions as F
 
 from urlspark import constants as K
 from urlspark.operators.boost import Ensemble
+from urlspark.operators.scale import pick_columns
+
+NODE = np.dtype([("tree", "<i4"), ("feature", "<i4"), ("threshold", "<f8"), ("left", "<i4"), ("right", "<i4"),
+                 ("value", "<f8"), ("cover", "<f8")])
+SENT_BYTES = 16 << 20  # of packed trees in one broadcast
+ROWS_AT_ONCE = 128  # x leaves of a tree x features of a path x 8 bytes are held at once
 
 
 def split_importance(tree_table: DataFrame, names: DataFrame) -> DataFrame:
@@ -42,52 +46,102 @@ def top_ngram_bands(importance: DataFrame, handcrafted: DataFrame, k: int = K.TO
     return best.withColumn("rank", rank).withColumn("band", F.ceil(F.col("rank") / band).cast("int"))
 
 
-def _leaf_table(limits: dict, value: float) -> tuple[np.ndarray, ...]:
-    """(features, lower bounds, upper bounds, values[2^m, m]) of one leaf.
+def node_bytes(nodes: pd.DataFrame) -> bytes:
+    """The trees as one packed record a node, by tree and node: what travels to the workers."""
+    t = nodes.sort_values(["tree", "node"])
+    packed = np.empty(len(t), NODE)
+    for c in NODE.names:
+        packed[c] = t[c].to_numpy()
+    return packed.tobytes()
+
+
+def _tree_groups(nodes: pd.DataFrame, limit: int = SENT_BYTES) -> list[pd.DataFrame]:
+    """Whole trees in groups of at most ``limit`` packed bytes (a larger tree alone)."""
+    sizes = nodes.groupby("tree", sort=True).size() * NODE.itemsize
+    number, groups, total = 0, {}, 0
+    for tree, size in sizes.items():
+        if total and total + size > limit:
+            number, total = number + 1, 0
+        groups[tree], total = number, total + size
+    return [g for _, g in nodes.groupby(nodes.tree.map(groups), sort=True)]
+
+
+def expected_score(nodes: pd.DataFrame) -> float:
+    """Sum over trees of the mean leaf value, leaves weighed by the rows that reached them."""
+    leaves = nodes[nodes.left < 0]
+    top = nodes[nodes.node == 0].set_index("tree").cover.clip(lower=1.0)
+    return float((leaves.value * leaves.cover / leaves.tree.map(top)).sum())
+
+
+def _explainer(node_type: np.dtype, chunk: int):
+    """Function from packed trees and used slots to a function from rows of those slots to their Shapley values.
 
-    On the way to a leaf each distinct feature either lets a row through or not. With m
-    features there are 2^m outcomes, so the Shapley values are tabulated per outcome and a
-    row only looks its own up.
+    On the way to a leaf each distinct feature j either lets a row through (o_j = 1) or not (0); z_j is the share of rows
+    let through when it is unknown. A feature's value is the leaf's value times (o_i - z_i) times the integral over t in
+    [0, 1] of the product over the others of z_j (1 - t) + o_j t: a polynomial of the path's length, which Gauss-Legendre
+    points give exactly. So a leaf of m features costs m * m / 2 steps a row, and no table of outcomes is kept.
+
+    Nested like all that goes to the workers, so that they need only numpy and pandas.
     """
-    feats = list(limits)
-    m = len(feats)
-    z = np.array([limits[f][2] for f in feats])  # share of rows let through when unknown
-    patterns = (np.arange(2 ** m)[:, None] >> np.arange(m)) & 1
-    weight = [factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)]
-    table = np.zeros((2 ** m, m))
-    for i in range(m):
-        # product over the others of (z_j + o_j t); the power of t is the coalition's size
-        poly = np.zeros((2 ** m, m))
-        poly[:, 0] = 1.0
-        for j in range(m):
-            if j != i:
-                grown = poly * z[j]
-                grown[:, 1:] += poly[:, :-1] * patterns[:, j:j + 1]
-                poly = grown
-        table[:, i] = value * (patterns[:, i] - z[i]) * (poly @ weight)
-    bounds = [np.array([limits[f][k] for f in feats]) for k in (0, 1)]
-    return np.array(feats), *bounds, table
-
-
-def _leaf_tables(nodes: pd.DataFrame) -> tuple[float, list[tuple[np.ndarray, ...]]]:
-    """(expected value, leaf tables) of one tree."""
-    t = nodes.sort_values("node").reset_index(drop=True)
-    base, leaves, stack = 0.0, [], [(0, {})]
-    while stack:
-        i, limits = stack.pop()
-        n = t.loc[i]
-        if n["left"] < 0:
-            base += n["value"] * n["cover"] / max(t.cover[0], 1.0)
-            if limits and n["value"] != 0.0:
-                leaves.append(_leaf_table(limits, n["value"]))
-            continue
-        f = int(n["feature"])
-        lo, hi, share = limits.get(f, (-np.inf, np.inf, 1.0))
-        sides = [(int(n["left"]), lo, min(hi, n["threshold"])), (int(n["right"]), max(lo, n["threshold"]), hi)]
-        for child, low, high in sides:
-            part = t.cover[child] / n["cover"] if n["cover"] else 0.0
-            stack.append((child, {**limits, f: (low, high, share * part)}))
-    return base, leaves
+    def leaf_paths(tree: np.ndarray, slot: dict):
+        """(slots, lower bounds, upper bounds, shares, value) of each leaf that counts."""
+        stack = [(0, {})]
+        while stack:
+            i, limits = stack.pop()
+            n = tree[i]
+            if n["left"] < 0:
+                if limits and n["value"] != 0.0:
+                    yield [slot[f] for f in limits], *map(list, zip(*limits.values())), float(n["value"])
+                continue
+            f, cut = int(n["feature"]), float(n["threshold"])
+            lo, hi, share = limits.get(f, (-np.inf, np.inf, 1.0))
+            for child, low, high in ((int(n["left"]), lo, min(hi, cut)), (int(n["right"]), max(lo, cut), hi)):
+                part = float(tree[child]["cover"] / n["cover"]) if n["cover"] else 0.0
+                stack.append((child, {**limits, f: (low, high, share * part)}))
+
+    def unpack(packed: bytes, used: list[int]):
+        nodes, slot = np.frombuffer(packed, node_type), {f: i for i, f in enumerate(used)}
+        cuts = np.flatnonzero(np.diff(nodes["tree"])) + 1
+        for tree in np.split(nodes, cuts):
+            paths = list(leaf_paths(tree, slot))
+            if not paths:
+                continue
+            m = max(len(p[0]) for p in paths)
+            # shorter paths are filled up with features that always let rows through and so get nothing
+            cols = np.array([p[0] + [0] * (m - len(p[0])) for p in paths])
+            lo = np.array([p[1] + [-np.inf] * (m - len(p[1])) for p in paths])
+            hi = np.array([p[2] + [np.inf] * (m - len(p[2])) for p in paths])
+            z = np.array([p[3] + [1.0] * (m - len(p[3])) for p in paths])
+            filler = np.arange(m) >= np.array([len(p[0]) for p in paths])[:, None]
+            points, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
+            order = np.argsort(cols.ravel(), kind="stable")
+            heads = np.flatnonzero(np.append(True, np.diff(cols.ravel()[order]) > 0))
+            yield (cols, lo, hi, z, filler, np.array([p[4] for p in paths]), (points + 1) / 2, weights / 2, order, heads,
+                   cols.ravel()[order][heads])
+
+    def prepare(packed: bytes, used: list[int]):
+        trees = list(unpack(packed, used))
+
+        def values(x: np.ndarray) -> np.ndarray:
+            phi = np.zeros_like(x)
+            for begin in range(0, len(x), chunk):
+                rows, out = x[begin:begin + chunk], phi[begin:begin + chunk]
+                for cols, lo, hi, z, filler, value, points, weights, order, heads, slots in trees:
+                    v = rows[:, cols]
+                    through = (v > lo) & (v <= hi) | filler
+                    whole = np.zeros(v.shape)
+                    for t, w in zip(points, weights):
+                        factor = z * (1.0 - t) + through * t
+                        product = w * factor.prod(axis=2, keepdims=True)
+                        # a factor of 0 makes the product 0, and its own difference is 0 too
+                        whole += product / np.where(factor == 0.0, 1.0, factor)
+                    whole *= (through - z) * value[:, None]
+                    out[:, slots] += np.add.reduceat(whole.reshape(len(rows), -1)[:, order], heads, axis=1)
+            return phi
+
+        return values
+
+    return prepare
 
 
 def contributions(df: DataFrame, model: Ensemble, names: list[str], vector: str = "features",
@@ -95,36 +149,32 @@ def contributions(df: DataFrame, model: Ensemble, names: list[str], vector: str
     """(key, idx, feature, value, contribution, base): path-dependent Shapley values of the raw score.
 
     ``base`` plus a row's contributions equals its raw score. Only slots some tree splits
-    on are listed; the others contribute 0. Rows are handled in Arrow batches where they are.
+    on are listed; the others contribute 0. Rows are handled in Arrow batches where they are, by the
+    packed trees, broadcast in groups of at most ``SENT_BYTES``; a larger model takes one narrow pass a group.
     """
     used = model.used_features
-    slot = {f: i for i, f in enumerate(used)}
-    trees = [_leaf_tables(t) for _, t in model.nodes.groupby("tree", sort=True)]
-    base = float(sum(b for b, _ in trees))
-    leaves = [
-        (np.array([slot[f] for f in feats]), lo, hi, table) for _, tables in trees for feats, lo, hi, table in tables
-    ]
+    base = expected_score(model.nodes)
     named = F.array(*[F.lit(names[i]) for i in used]) if used else F.array(F.lit(""))
-
-    def explain(batches):
-        for batch in batches:
-            if batch.empty:
-                continue
-            x = np.vstack(batch["slots"])
-            phi = np.zeros_like(x)
-            for cols, lo, hi, table in leaves:
-                v = x[:, cols]
-                outcome = ((v > lo) & (v <= hi)) @ (1 << np.arange(len(cols)))
-                for j, c in enumerate(cols):
-                    phi[:, c] += table[outcome, j]
-            yield pd.DataFrame({key: batch[key], "slots": batch["slots"], "phi": list(phi)})
-
-    staged = df.select(key, vector_to_array(F.col(vector)).alias("_dense"))
-    slots = F.array(*[F.get("_dense", F.lit(i)) for i in used]) if used else F.array(F.lit(0.0))
+    prepare, context = _explainer(NODE, ROWS_AT_ONCE), df.sparkSession.sparkContext
+
+    def explain_with(sent):
+        def explain(batches):
+            values = prepare(sent.value, used)
+            for batch in batches:
+                if not batch.empty:
+                    phi = np.vstack(batch["phi"]) + values(np.vstack(batch["slots"]))
+                    yield pd.DataFrame({key: batch[key], "slots": batch["slots"], "phi": list(phi)})
+
+        return explain
+
+    # sliced as vectors first, so that wide sparse rows are never spelled out
+    slots = vector_to_array(F.col("_picked")) if used else F.array(F.lit(0.0))
+    picked = pick_columns(df.select(key, vector), used, vector, "_picked") if used else df.select(key)
+    per_row = picked.select(key, slots.alias("slots")).withColumn("phi", F.array_repeat(F.lit(0.0), max(len(used), 1)))
     key_type = df.schema[key].dataType.simpleString()
-    per_row = staged.select(key, slots.alias("slots")).mapInPandas(
-        explain, f"{key} {key_type}, slots array<double>, phi array<double>"
-    )
+    for group in _tree_groups(model.nodes):
+        per_row = per_row.mapInPandas(
+            explain_with(context.broadcast(node_bytes(group))), f"{key} {key_type}, slots array<double>, phi array<double>")
     zipped = F.arrays_zip(
         F.array(*[F.lit(i) for i in used] or [F.lit(-1)]).alias("idx"), named.alias("feature"),
         F.col("slots").alias("value"), F.col("phi").alias("contribution"),
