@@ -1,9 +1,9 @@
 """Boosted trees under focal loss: histograms of binned rows, trees grown best leaf first.
 
-Features are binned once. A row then is a label, one byte per feature and its running score; an Arrow batch of rows is kept
-as one block of such bytes, which stays where it is. Every pass over the blocks adds up gradients per leaf, feature and bin,
-and Spark picks the best cut of each. The driver holds only trees and one candidate cut per open leaf and feature. Gradients
-are added as scaled integers, so a fit does not depend on the order of partitions or on tasks that ran twice.
+Features are binned once. Some thousand rows are kept as one block of labels, bins (sparse where most are the bin of zero)
+and running scores, which stays where it is. Every pass over the blocks adds up gradients per leaf, feature and bin. The
+driver holds trees and the histograms of open leaves, of a size that does not grow with the rows. Gradients are added as
+scaled integers, so a fit does not depend on the order of partitions or on tasks that ran twice.
 """
 
 from __future__ import annotations
@@ -14,19 +14,25 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlspark import constants as K
 from urlspark.functions import focal
-from urlspark.session import cut_lineage
+from urlspark.session import cut_lineage, scratch_path
 
 TREE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, leaf int, value double, cover double"
 )
-BLOCK_SCHEMA = "n int, y binary, bins binary, z binary"
+BLOCK_SCHEMA = (
+    "n int, y binary, dense_slots binary, dense binary, slots binary, ends binary, rows binary, bins binary, z binary"
+)
+BLOCK_ROWS = 8_192  # a row's number in a block is two bytes
 MAX_BINS = 256  # a bin is one byte
+CELLS_A_PASS = 8_000_000  # cells (leaf, slot, bin) counted in one job
+ROWS_A_REDUCER = 500_000  # of partial sums
 MIN_CHILD_CURVATURE = 1e-3
 
 
@@ -48,6 +54,19 @@ class Ensemble:
         return sorted(self.nodes.loc[self.nodes.feature >= 0, "feature"].unique().tolist())
 
 
+@dataclass
+class _Cut:
+    feature: int
+    bin: int
+    gain: float
+    gl: float
+    hl: float
+    nl: int
+    g: float
+    h: float
+    n: int
+
+
 @dataclass
 class _Growing:
     """A tree while it grows; node 0 is the root, children are numbered as they are made."""
@@ -63,7 +82,7 @@ class _Growing:
             column.append(value)
         return len(self.feature) - 1
 
-    def split(self, node: int, cut) -> tuple[int, int]:
+    def split(self, node: int, cut: _Cut) -> tuple[int, int]:
         """Give ``node`` its two children; a repeated call finds them again."""
         if self.left[node] < 0:
             self.feature[node], self.bin[node] = cut.feature, cut.bin
@@ -72,17 +91,19 @@ class _Growing:
         return self.left[node], self.right[node]
 
     def walker(self):
-        """Function from binned rows to node numbers; it carries arrays only."""
-        feature, cut, left, right = map(np.array, (self.feature, self.bin, self.left, self.right))
-
-        def walk(x: np.ndarray) -> np.ndarray:
-            node, at = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
-            while True:
-                inner = left[node] >= 0
-                if not inner.any():
-                    return node
-                below = np.where(x[at, feature[node]] <= cut[node], left[node], right[node])
-                node = np.where(inner, below, node)
+        """Function from the rows of a block (``column`` gives a slot's bins) to node numbers; it carries plain numbers only."""
+        cuts = [(i, f, c, left, right) for i, (f, c, left, right) in
+                enumerate(zip(self.feature, self.bin, self.left, self.right)) if left >= 0]  # parents before their children
+
+        def walk(n: int, column) -> np.ndarray:
+            node, columns = np.zeros(n, dtype=np.int32), {}
+            for i, f, cut, left, right in cuts:
+                here = np.flatnonzero(node == i)
+                if len(here):
+                    if f not in columns:
+                        columns[f] = column(f)
+                    node[here] = np.where(columns[f][here] <= cut, left, right)
+            return node
 
         return walk
 
@@ -106,21 +127,85 @@ def feature_edges(train: DataFrame, vector: str = "features", bins: int = 64) ->
     return edges
 
 
+def _zero_bins(edges: list[np.ndarray]) -> np.ndarray:
+    return np.array([np.searchsorted(cuts, 0.0, side="left") for cuts in edges], dtype=np.uint8)
+
+
 def binned(train: DataFrame, edges: list[np.ndarray], vector: str, label: str) -> DataFrame:
-    """(n, y, bins, z) per block of n rows: labels, a byte per row and slot, running scores 0. Bin b has the values up to threshold b."""
-    def assign(batches):
-        for batch in batches:
-            if batch.empty:
-                continue
-            x = np.vstack(batch["x"])
-            out = np.empty(x.shape, dtype=np.uint8)
-            for j, cuts in enumerate(edges):
-                out[:, j] = np.searchsorted(cuts, x[:, j], side="left")
-            y = (batch["y"].to_numpy() == 1).astype(np.uint8)
-            yield pd.DataFrame({"n": [len(x)], "y": [y.tobytes()], "bins": [out.tobytes()], "z": [np.zeros(len(x)).tobytes()]})
+    """Blocks of at most BLOCK_ROWS rows (see BLOCK_SCHEMA) with running scores 0. Bin b has the values up to threshold b.
 
-    rows = train.select(F.col(label).cast("int").alias("y"), vector_to_array(F.col(vector)).alias("x"))
-    return rows.mapInPandas(assign, BLOCK_SCHEMA)
+    A slot's bins are kept in full, a byte a row, or, where that is shorter, as the rows that are not in the bin of zero
+    and their bins; slots whose rows all are in the bin of zero take no room. Sparse vectors are never spelled out.
+    """
+    width, zero = len(edges), _zero_bins(edges)
+
+    def entries(batch):
+        """(row, slot, value) of all values that a vector spells out."""
+        kinds, values = batch.column("x").field("type").to_numpy(zero_copy_only=False), batch.column("x").field("values")
+        sizes = values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(batch)), sizes)
+        slot = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        slot[np.repeat(kinds == 0, sizes)] = batch.column("x").field("indices").flatten().to_numpy(zero_copy_only=False)
+        return row, slot, values.flatten().to_numpy(zero_copy_only=False)
+
+    def packed(y, row, slot, bin_):
+        n, order = len(y), np.lexsort((row, slot))
+        row, slot, bin_ = row[order].astype(np.uint16), slot[order], bin_[order]
+        counts = np.bincount(slot, minlength=width) if width else np.zeros(0, np.int64)
+        full = counts * 3 >= n  # an entry has two bytes of row and one of bin
+        dense_slots, slots = np.flatnonzero(full), np.flatnonzero(~full & (counts > 0))
+        dense = np.repeat(zero[dense_slots][:, None], n, axis=1)
+        inside = full[slot] if width else np.zeros(0, bool)
+        dense[np.searchsorted(dense_slots, slot[inside]), row[inside]] = bin_[inside]
+        return [n, y, dense_slots.astype(np.int32), dense, slots.astype(np.int32),
+                np.append(0, np.cumsum(counts[slots])).astype(np.int32), row[~inside], bin_[~inside], np.zeros(n)]
+
+    def assign(batches):
+        for whole in batches:
+            for begin in range(0, len(whole), BLOCK_ROWS):
+                batch = whole.slice(begin, BLOCK_ROWS)
+                row, slot, value = entries(batch)
+                order = np.argsort(slot, kind="stable")
+                cuts_at = np.searchsorted(slot[order], np.arange(width + 1))
+                bin_ = np.empty(len(slot), dtype=np.uint8)
+                for j, cuts in enumerate(edges):
+                    at = order[cuts_at[j]:cuts_at[j + 1]]
+                    bin_[at] = np.searchsorted(cuts, value[at], side="left")
+                held = bin_ != zero[slot] if width else np.zeros(0, bool)
+                y = (batch.column("y").to_numpy(zero_copy_only=False) == 1).astype(np.uint8)
+                n, *arrays = packed(y, row[held], slot[held], bin_[held])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([n], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in arrays)], names)
+
+    names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
+    return train.select(F.col(label).cast("int").alias("y"), F.col(vector).alias("x")).mapInArrow(assign, BLOCK_SCHEMA)
+
+
+def _block_reader(edges: list[np.ndarray]):
+    """Function from a row of blocks to (n, labels, scores, dense slots, their bins, sparse slots, ends, rows, bins, column)."""
+    zero = _zero_bins(edges)
+
+    def read(batch, i: int):
+        def part(name: str, kind) -> np.ndarray:
+            return np.frombuffer(batch.column(name)[i].as_buffer(), kind)
+
+        n = batch.column("n")[i].as_py()
+        y, z, rows, bins = part("y", np.uint8), part("z", np.float64), part("rows", np.uint16), part("bins", np.uint8)
+        dense_slots, slots, ends = (part(c, np.int32) for c in ("dense_slots", "slots", "ends"))
+        dense = part("dense", np.uint8).reshape(len(dense_slots), n)
+
+        def column(slot: int) -> np.ndarray:
+            at = np.searchsorted(dense_slots, slot)
+            if at < len(dense_slots) and dense_slots[at] == slot:
+                return dense[at]
+            out, at = np.full(n, zero[slot], np.uint8), np.searchsorted(slots, slot)
+            if at < len(slots) and slots[at] == slot:
+                out[rows[ends[at]:ends[at + 1]]] = bins[ends[at]:ends[at + 1]]
+            return out
+
+        return n, y, z, dense_slots, dense, slots, ends, rows, bins, column
+
+    return read
 
 
 def _terms(gamma: float, alpha: float):
@@ -143,94 +228,158 @@ def _terms(gamma: float, alpha: float):
 def _mean_loss(blocks: DataFrame, terms) -> float | None:
     def add_up(batches):
         for batch in batches:
-            for y, z, n in zip(batch["y"], batch["z"], batch["n"]):
-                yield pd.DataFrame({"n": [n], "loss": [terms(np.frombuffer(y, np.uint8), np.frombuffer(z))[2].sum()]})
+            for y, z, n in zip(*(batch.column(c).to_pylist() for c in ("y", "z", "n"))):
+                loss = terms(np.frombuffer(y, np.uint8), np.frombuffer(z))[2].sum()
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([loss])], ["n", "loss"])
 
-    return blocks.select("n", "y", "z").mapInPandas(add_up, "n long, loss double").agg(F.sum("loss") / F.sum("n")).first()[0]
+    return blocks.select("n", "y", "z").mapInArrow(add_up, "n long, loss double").agg(F.sum("loss") / F.sum("n")).first()[0]
 
 
-def _best_cuts(blocks: DataFrame, tree: _Growing, open_nodes: list[int], terms, width: int, bins: int, scale: float,
-               min_child: int, min_curvature: float, l1: float, l2: float) -> dict:
-    """{node: best cut} of the open nodes in one job; nodes without an allowed cut have feature -1."""
-    walk = tree.walker()
-    slot_of = np.full(len(tree.feature), -1)
-    slot_of[open_nodes] = np.arange(len(open_nodes))
-    numbers = np.array(open_nodes)
-    cells = len(open_nodes) * width * bins
+class _Histograms:
+    """Gradient, curvature and rows per bin of every slot, for the leaves of a tree.
 
-    def add_up(batches):
-        sums = [np.zeros(cells, dtype=np.int64) for _ in range(3)]
-        for batch in batches:
-            for y, bytes_, z in zip(batch["y"], batch["bins"], batch["z"]):
-                y, z = np.frombuffer(y, np.uint8), np.frombuffer(z)
-                x = np.frombuffer(bytes_, np.uint8).reshape(len(y), width)
-                at = slot_of[walk(x)]
-                inside = at >= 0
-                x, at = x[inside], at[inside]
-                g, h = (np.rint(t * scale).astype(np.int64) for t in terms(y[inside], z[inside])[:2])
-                for j in range(width):
-                    cell = (at * width + j) * bins + x[:, j]
-                    for total, weight in zip(sums, (g, h, 1)):
-                        np.add.at(total, cell, weight)
-        seen = np.flatnonzero(sums[2])
-        yield pd.DataFrame({
-            "node": numbers[seen // (width * bins)].astype(np.int32), "feature": (seen // bins % width).astype(np.int32),
-            "bin": (seen % bins).astype(np.int32), "g": sums[0][seen], "h": sums[1][seen], "n": sums[2][seen],
-        })
-
-    # Partitions hand over sums already; hashing on node and feature serves both steps that follow.
-    parts = blocks.select("y", "bins", "z").mapInPandas(add_up, "node int, feature int, bin int, g long, h long, n long")
-    hist = parts.repartition("node", "feature").groupBy("node", "feature", "bin").agg(
-        *[F.expr(f"sum({c}) AS {c}") for c in ("g", "h", "n")])
-    whole, upto = "OVER (PARTITION BY node, feature)", "OVER (PARTITION BY node, feature ORDER BY bin)"
-    sums = hist.selectExpr("node", "feature", "bin", *[
-        f"sum({c}) {over} / {unit}D AS {name}" for c, unit in (("g", scale), ("h", scale), ("n", 1.0))
-        for over, name in ((upto, f"{c}l"), (whole, c))
-    ])
-
-    def quality(g: str, h: str) -> str:
-        return f"coalesce(try_divide(pow(greatest(abs({g}) - {l1}D, 0D), 2), {h} + {l2}D), 0D)"
-
-    gain = f"{quality('gl', 'hl')} + {quality('(g - gl)', '(h - hl)')} - {quality('g', 'h')}"
-    allowed = f"least(nl, n - nl) >= {max(min_child, 1)} AND least(hl, h - hl) >= {min_curvature}D"
-    best = sums.selectExpr("*", f"CASE WHEN {allowed} THEN {gain} ELSE -1D END AS gain").groupBy("node", "feature").agg(
-        F.expr("max(struct(gain, -bin AS rank, bin, gl, hl, nl, g, h, n)) AS b")).select("node", "feature", "b.*")
-    cuts: dict = {}
-    for r in best.toPandas().sort_values(["node", "feature"]).itertuples():  # one row per open leaf and feature
-        if r.node not in cuts or r.gain > cuts[r.node].gain:
-            cuts[r.node] = r
-    return cuts
-
-
-def _grow(blocks: DataFrame, terms, width: int, bins: int, scale: float, max_leaves: int, min_child: int, min_curvature: float,
-          l1: float, l2: float) -> _Growing:
+    Slots have as many cells as they have bins; the last cell of a leaf has its totals. Passes count what blocks hold, and
+    the bin of zero gets the rest of the total. Only the smaller of two siblings is counted, the other is the difference
+    to their parent. The driver keeps them for open leaves only: cells are slots x bins, whatever the number of rows.
+    """
+
+    def __init__(self, blocks: DataFrame, edges: list[np.ndarray], terms, scale: float):
+        self.blocks, self.terms, self.scale = blocks, terms, scale
+        self.read = _block_reader(edges)
+        sizes = np.array([len(cuts) + 1 for cuts in edges], dtype=np.int64)
+        self.offsets = np.cumsum(sizes) - sizes
+        self.sizes, self.cells = sizes, int(sizes.sum())
+        self.zero = self.offsets + _zero_bins(edges)
+        self.parts = blocks.rdd.getNumPartitions()
+        self.held: dict[int, np.ndarray] = {}
+
+    def count(self, tree: _Growing, families: list[tuple[int, int, int]]) -> None:
+        """Histograms of both children of each (parent, left, right) (of the root: (-1, 0, 0)); the parents' are dropped."""
+        small = [left if tree.sums[left] is None or tree.sums[left][2] <= tree.sums[right][2] else right
+                 for _, left, right in families]
+        for begin in range(0, len(small), max(1, CELLS_A_PASS // (self.cells + 1))):
+            self._scan(tree, small[begin:begin + max(1, CELLS_A_PASS // (self.cells + 1))])
+        for (parent, left, right), counted in zip(families, small):
+            if parent >= 0:
+                self.held[left + right - counted] = self.held.pop(parent) - self.held[counted]
+
+    def _scan(self, tree: _Growing, nodes: list[int]) -> None:
+        read, terms, scale, offsets, stride = self.read, self.terms, self.scale, self.offsets, self.cells + 1
+        walk, slot_of = tree.walker(), np.full(len(tree.feature), -1)
+        slot_of[nodes] = np.arange(len(nodes))
+        ends, k = offsets + self.sizes, len(nodes)
+
+        def add(sums, lo, hi, cell, weights):
+            """Adds to the cells from lo to hi of all leaves. Weights are whole numbers, and so are their sums in a block."""
+            for total, weight in zip(sums, weights):
+                found = np.bincount(cell, weights=weight, minlength=k * (hi - lo))
+                total[:, lo:hi] += np.rint(found).astype(np.int64).reshape(k, hi - lo)
+
+        def add_up(batches):
+            sums = np.zeros((3, k, stride), dtype=np.int64)
+            for batch in batches:
+                for i in range(len(batch)):
+                    n, y, z, dense_slots, dense, slots, cuts, rows, bins, column = read(batch, i)
+                    at = slot_of[walk(n, column)]
+                    inside = np.flatnonzero(at >= 0)
+                    if not len(inside):
+                        continue
+                    own = at[inside]
+                    g, h = (np.rint(t * scale) for t in terms(y[inside], z[inside])[:2])
+                    one = np.ones(len(inside))
+                    add(sums, stride - 1, stride, own, (g, h, one))
+                    step = max(1, (1 << 19) // len(inside))
+                    for b in range(0, len(dense_slots), step):
+                        part = dense_slots[b:b + step]
+                        lo, hi = int(offsets[part[0]]), int(ends[part[-1]])
+                        cell = (own * (hi - lo) + dense[b:b + step, inside] + (offsets[part] - lo)[:, None]).ravel()
+                        add(sums, lo, hi, cell, (np.tile(w, len(part)) for w in (g, h, one)))
+                    if len(rows):
+                        place = np.full(n, -1)
+                        place[inside] = np.arange(len(inside))
+                        place = place[rows]
+                        there = np.flatnonzero(place >= 0)
+                        place = place[there]
+                        first = np.repeat(offsets[slots], np.diff(cuts))[there]
+                        add(sums, 0, stride - 1, own[place] * (stride - 1) + first + bins[there], (g[place], h[place], one[place]))
+            leaf, cell = np.nonzero(sums[2])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(leaf, pa.int32()), pa.array(cell, pa.int32()), *map(pa.array, sums[:, leaf, cell])],
+                ["leaf", "cell", "g", "h", "n"])
+
+        parts = self.blocks.mapInArrow(add_up, "leaf int, cell int, g long, h long, n long")
+        reducers = max(1, min(self.parts, self.parts * k * stride // ROWS_A_REDUCER))
+        summed = parts.repartition(reducers, "cell").groupBy("cell", "leaf").agg(*[F.expr(f"sum({c}) AS {c}") for c in "ghn"])
+        found = summed.toArrow()  # at most leaves x cells
+        leaf, cell, *values = (found.column(c).to_numpy() for c in ("leaf", "cell", "g", "h", "n"))
+        sums = np.zeros((3, k, stride), dtype=np.int64)
+        for total, value in zip(sums, values):
+            total[leaf, cell] = value
+        for i, node in enumerate(nodes):
+            own = sums[:, i]
+            if self.cells:
+                own[:, self.zero] += own[:, -1:] - np.add.reduceat(own[:, :-1], self.offsets, axis=1)
+            self.held[node] = own
+
+    def totals(self, node: int) -> tuple[float, float, int]:
+        g, h, n = self.held[node][:, -1].tolist()
+        return g / self.scale, h / self.scale, n
+
+    def best_cut(self, node: int, min_child: int, min_curvature: float, l1: float, l2: float) -> _Cut | None:
+        """The cut of the highest gain, of equals that of the lowest slot and threshold; None if none is allowed."""
+        if not self.cells:
+            return None
+        upto = np.cumsum(self.held[node][:, :-1], axis=1)
+        before = np.concatenate([np.zeros((3, 1), np.int64), upto[:, self.offsets[1:] - 1]], axis=1)
+        gl, hl, nl = upto - np.repeat(before, self.sizes, axis=1)
+        gl, hl = gl / self.scale, hl / self.scale
+        g, h, n = self.totals(node)
+
+        def quality(g, h):
+            return np.divide(np.maximum(np.abs(g) - l1, 0.0) ** 2, h + l2, out=np.zeros(np.shape(g)), where=np.not_equal(h + l2, 0))
+
+        gain = quality(gl, hl) + quality(g - gl, h - hl) - quality(np.array([g]), np.array([h]))
+        allowed = (np.minimum(nl, n - nl) >= max(min_child, 1)) & (np.minimum(hl, h - hl) >= min_curvature)
+        gain = np.where(allowed, gain, -1.0)
+        at = int(gain.argmax())
+        slot = int(np.searchsorted(self.offsets, at, side="right")) - 1
+        return _Cut(slot, at - int(self.offsets[slot]), float(gain[at]), float(gl[at]), float(hl[at]), int(nl[at]), g, h, n)
+
+
+def _grow(hist: _Histograms, max_leaves: int, min_child: int, min_curvature: float, l1: float, l2: float) -> _Growing:
     """One tree, always splitting the leaf of the highest gain, to at most ``max_leaves`` leaves.
 
     The order is replayed from the known cuts. Where it reaches leaves not looked at yet, it goes on without them and
     then all of them are looked at in one job, so jobs number about the tree's depth, not its leaves.
     """
-    tree, cuts = _Growing(), {}
-    unknown = [0]
-    while unknown:
-        found = _best_cuts(blocks, tree, unknown, terms, width, bins, scale, min_child, min_curvature, l1, l2)
-        cuts |= {n: found.get(n) for n in unknown}
+    tree, cuts, families = _Growing(), {}, [(-1, 0, 0)]
+    while families:
+        hist.count(tree, families)
+        for parent, *children in families:
+            for node in dict.fromkeys(children):
+                if node not in cuts:
+                    cuts[node] = hist.best_cut(node, min_child, min_curvature, l1, l2)
+                if cuts[node] is None or cuts[node].gain <= 0:
+                    if node:
+                        hist.held.pop(node)
         if tree.sums[0] is None:
-            root = cuts[0]
-            tree.sums[0] = (root.g, root.h, root.n) if root is not None else (0.0, 0.0, 0.0)
-        unknown, chosen = [], []
+            tree.sums[0] = hist.totals(0)
+        families, chosen = [], []
         queue = [(-cuts[0].gain, 0)] if cuts[0] is not None and cuts[0].gain > 0 else []
         leaves = 1
         while queue and leaves < max_leaves:
             _, node = heapq.heappop(queue)
             chosen.append(node)
             leaves += 1
-            for child in tree.split(node, cuts[node]):
+            children = tree.split(node, cuts[node])
+            for child in children:
                 if child not in cuts and tree.sums[child][2] < 2 * max(min_child, 1):
                     cuts[child] = None
-                if child not in cuts:
-                    if leaves < max_leaves:  # what comes after the last split changes nothing
-                        unknown.append(child)
-                elif cuts[child] is not None and cuts[child].gain > 0:
+            if any(child not in cuts for child in children):
+                if leaves < max_leaves:  # what comes after the last split changes nothing
+                    families.append((node, *children))
+            for child in children:
+                if cuts.get(child) is not None and cuts[child].gain > 0:
                     heapq.heappush(queue, (-cuts[child].gain, child))
     for node in range(len(tree.feature)):  # cuts that the settled order does not take
         if tree.left[node] >= 0 and node not in chosen:
@@ -275,29 +424,34 @@ def fit_focal_boost(train: DataFrame, rounds: int = K.BOOST_ROUNDS, vector: str
 
     A cut's gain is T(G)^2/(H + l2) of both sides less that of the leaf, T shrinking G by ``l1``; a leaf's value is the
     Newton step -rate T(G)/(H + l2). Equal gains take the lowest slot and threshold. The frame is cached per round and
-    written to the checkpoint folder every few rounds, so neither the plan nor the work to rebuild a lost partition grows
+    written to the checkpoint folder at first and every few rounds, so neither the plan nor the work to rebuild a lost partition grows
     with the rounds. Rows with a NULL label or vector are left out; an empty table gives trees of one leaf of value 0.
     """
     usable = train.select(label, vector).filter(F.col(label).isNotNull() & F.col(vector).isNotNull())
     edges = feature_edges(usable, vector, bins)
-    frame = cut_lineage(binned(usable, edges, vector, label))
-    width, terms = len(edges), _terms(gamma, alpha)
-    # |gradient| < 2 and curvature < 1, so the sums of all rows stay below 2^62.
+    path = scratch_path(train.sparkSession, "boost-blocks")
+    binned(usable, edges, vector, label).write.parquet(path)
+    # The passes are many small jobs: a session of their own plans them without adaptive steps.
+    own = train.sparkSession.newSession()
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    frame, terms = own.read.schema(BLOCK_SCHEMA).parquet(path), _terms(gamma, alpha)
+    # |gradient| < 2 and curvature < 1, so the sums of a block stay below 2^53 and those of all rows below 2^62.
     total = frame.agg(F.sum("n")).first()[0] or 0
-    scale = float(2 ** min(40, 61 - math.ceil(math.log2(total + 1))))
+    scale = float(2 ** min(38, 61 - math.ceil(math.log2(total + 1))))
     rows: list[dict] = []
     retired: list[DataFrame] = []
     try:
+        frame = frame.persist()
         for number in range(rounds):
             if history is not None:
                 history.append(_mean_loss(frame, terms))
-            tree = _grow(frame, terms, width, bins, scale, max_leaves, min_child, min_curvature, l1, l2)
+            tree = _grow(_Histograms(frame, edges, terms, scale), max_leaves, min_child, min_curvature, l1, l2)
             values = np.array([_newton_step(g, h, rate, l1, l2) for g, h, _ in tree.sums])
             rows += _frozen(tree, number, edges, values)
             # this round's passes have filled the cache of the frame, so the one before can go
             while retired:
                 retired.pop().unpersist()
-            scored = frame.mapInPandas(_step(tree, values, width), BLOCK_SCHEMA)
+            scored = frame.mapInArrow(_step(tree, values, edges), BLOCK_SCHEMA)
             retired.append(frame)
             frame = cut_lineage(scored) if (number + 1) % checkpoint_every == 0 else scored.persist()
     finally:
@@ -306,16 +460,16 @@ def fit_focal_boost(train: DataFrame, rounds: int = K.BOOST_ROUNDS, vector: str
     return Ensemble(pd.DataFrame(rows, columns=[c.split()[0] for c in TREE_SCHEMA.split(", ")]))
 
 
-def _step(tree: _Growing, values: np.ndarray, width: int):
-    walk = tree.walker()
+def _step(tree: _Growing, values: np.ndarray, edges: list[np.ndarray]):
+    walk, read = tree.walker(), _block_reader(edges)
 
     def step(batches):
         for batch in batches:
-            z = [
-                (np.frombuffer(z) + values[walk(np.frombuffer(x, np.uint8).reshape(n, width))]).tobytes()
-                for n, x, z in zip(batch["n"], batch["bins"], batch["z"])
-            ]
-            yield batch.assign(z=z)
+            scores = []
+            for i in range(len(batch)):
+                n, _, z, *_, column = read(batch, i)
+                scores.append((z + values[walk(n, column)]).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.binary())], batch.schema.names)
 
     return step
 

@@ -336,15 +336,33 @@ def model_scores(spark, sf):
     return boost.predict(rows, model).select("row_id", "label", "raw", "prob_1", "prediction")
 
 
-def boost_stump(spark, sf):
-    """First tree of two leaves over the columns of few values: its cut, Newton steps and row counts."""
+def _few_values(spark, sf, leaves: int):
+    """The first tree over the columns of few values, its nodes by number."""
     columns = ["discount", "tax", "line"]
     rows = assembled(data.learnable_rows(spark, sf), ("row_id", "label"), columns)
-    nodes = boost.fit_focal_boost(rows, rounds=1, max_leaves=2).nodes.set_index("node")
-    top, left, right = (nodes.loc[i] for i in (0, 1, 2))
-    found = (columns[int(top.feature)], float(top.threshold), float(left.value), float(right.value), int(left.cover), int(right.cover))
-    return rounded(spark.createDataFrame(
-        [found], "feature string, threshold double, left_value double, right_value double, left_rows long, right_rows long"))
+    return columns, boost.fit_focal_boost(rows, rounds=1, max_leaves=leaves).nodes.set_index("node")
+
+
+def _cut_row(columns: list[str], nodes: pd.DataFrame, at: int) -> tuple:
+    top = nodes.loc[at]
+    left, right = nodes.loc[int(top.left)], nodes.loc[int(top.right)]
+    return columns[int(top.feature)], float(top.threshold), float(left.value), float(right.value), int(left.cover), int(right.cover)
+
+
+CUT = "feature string, threshold double, left_value double, right_value double, left_rows long, right_rows long"
+
+
+def boost_stump(spark, sf):
+    """First tree of two leaves: its cut, Newton steps and row counts."""
+    return rounded(spark.createDataFrame([_cut_row(*_few_values(spark, sf, 2), 0)], CUT))
+
+
+def boost_second_level(spark, sf):
+    """First tree of three leaves: the side of the first cut that is split again, and that cut."""
+    columns, nodes = _few_values(spark, sf, 3)
+    side = next(s for s in ("left", "right") if nodes.loc[int(nodes.loc[0, s])].left >= 0)
+    found = (side, *_cut_row(columns, nodes, int(nodes.loc[0, side])))
+    return rounded(spark.createDataFrame([found], f"side string, {CUT}"))
 
 
 def given_trees(trees: list[tuple] = data.GIVEN_TREES, columns: list[str] = NUMERIC) -> boost.Ensemble:
@@ -511,7 +529,7 @@ QUERIES = {
     "correlation_pairs": correlation_pairs, "merged_rank": merged_rank,
     "stability_frequency": stability_frequency, "tree_gain": tree_gain, "greedy_prune": greedy_prune,
     "focal_grad_hess": focal_grad_hess, "predict_class": predict_class,
-    "boost_stump": boost_stump, "tree_scores": tree_scores, "url_scores": url_scores, "tree_contributions": tree_contributions,
+    "boost_stump": boost_stump, "boost_second_level": boost_second_level, "tree_scores": tree_scores, "url_scores": url_scores, "tree_contributions": tree_contributions,
     "tree_contribution_summary": tree_contribution_summary,
     "focal_boost_scores": focal_boost_scores, "model_trees": model_trees, "model_scores": model_scores,
     "binary_metrics": binary_metrics, "roc_auc": roc_auc, "weighted_f1": weighted_f1, "metrics_text": metrics_text,

@@ -601,28 +601,55 @@ UNION ALL SELECT row_id, idx + {len(FEATURES)} AS slot, tf AS value FROM gr"""
 
 
 # --- trees ---------------------------------------------------------------------------------------
-def stump_query(columns: list[str]) -> str:
-    """All cuts of the columns by G and H at a score of 0, where each class has one gradient and one curvature."""
+def _cuts(cells: str, side: str) -> str:
+    """All allowed cuts of cells (side, feature, pos, threshold, g, h, n) with their gain, each side for itself."""
+    def score(g, h):
+        return f"pow(greatest(abs({g}) - {K.BOOST_L1}, 0), 2) / ({h} + {K.BOOST_L2})"
+
+    return f"""SELECT *, {score('gl', 'hl')} + {score('(g - gl)', '(h - hl)')} - {score('g', 'h')} AS gain FROM (
+  SELECT {side}, feature, pos, threshold, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl,
+    sum(g) OVER p AS g, sum(h) OVER p AS h, sum(n) OVER p AS n FROM {cells}
+    WINDOW w AS (PARTITION BY {side}, feature ORDER BY threshold), p AS (PARTITION BY {side}, feature))
+  WHERE nl >= {K.BOOST_MIN_CHILD} AND n - nl >= {K.BOOST_MIN_CHILD}"""
+
+
+def _cells(rows: str, side: str, columns: list[str]) -> str:
+    """Sums per value of each column at a score of 0, where each class has one gradient and one curvature."""
     a, gamma = K.FOCAL_ALPHA, K.FOCAL_GAMMA
     h = {1: f"({a}::DOUBLE * 0.25 * pow(0.5, {gamma} - 1))", 0: f"((1 - {a}::DOUBLE) * 0.25 * pow(0.5, {gamma} - 1))"}
     factor = f"({gamma}::DOUBLE * ln(0.5) - 1)"
-    cells = " UNION ALL ".join(f"SELECT '{c}' AS feature, {i} AS pos, {c} AS threshold, y FROM lab" for i, c in enumerate(columns))
-    def score(g, h):
-        return f"pow(greatest(abs({g}) - {K.BOOST_L1}, 0), 2) / ({h} + {K.BOOST_L2})"
+    cells = " UNION ALL ".join(
+        f"SELECT {side} AS side, '{c}' AS feature, {i} AS pos, {c} AS threshold, y FROM {rows}" for i, c in enumerate(columns))
+    return f"""SELECT side, feature, pos, threshold, sum(CASE WHEN y = 1 THEN {h[1]} * {factor} ELSE -{h[0]} * {factor} END) AS g,
+  sum(CASE WHEN y = 1 THEN {h[1]} ELSE {h[0]} END) AS h, count(*) AS n FROM ({cells}) GROUP BY ALL"""
+
+
+def _step(g: str, h: str) -> str:
+    return f"round(-{K.BOOST_RATE} * sign({g}) * greatest(abs({g}) - {K.BOOST_L1}, 0) / ({h} + {K.BOOST_L2}), 6) + 0.0"
+
+
+def _first_cut(columns: list[str]) -> str:
+    return f"""{ROWS}, lab AS (SELECT *, ((net > 30000 AND quantity > 20) OR tax > 0.07)::INT AS y FROM r),
+cell AS ({_cells('lab', "''", columns)}),
+first AS (FROM ({_cuts('cell', 'side')}) ORDER BY gain DESC, pos, threshold LIMIT 1)"""
+
+
+LEAVES = f"""round(threshold, 6) AS threshold, {_step('gl', 'hl')} AS left_value, {_step('(g - gl)', '(h - hl)')} AS right_value,
+  nl::BIGINT AS left_rows, (n - nl)::BIGINT AS right_rows"""
+
+
+def stump_query(columns: list[str]) -> str:
+    return f"WITH {_first_cut(columns)} SELECT feature, {LEAVES} FROM first"
 
-    def step(g, h):
-        return f"round(-{K.BOOST_RATE} * sign({g}) * greatest(abs({g}) - {K.BOOST_L1}, 0) / ({h} + {K.BOOST_L2}), 6) + 0.0"
 
-    return f"""WITH {ROWS}, lab AS (SELECT *, ((net > 30000 AND quantity > 20) OR tax > 0.07)::INT AS y FROM r),
-cell AS (SELECT feature, pos, threshold, sum(CASE WHEN y = 1 THEN {h[1]} * {factor} ELSE -{h[0]} * {factor} END) AS g,
-  sum(CASE WHEN y = 1 THEN {h[1]} ELSE {h[0]} END) AS h, count(*) AS n FROM ({cells}) GROUP BY ALL),
-cut AS (SELECT feature, pos, threshold, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl,
-  sum(g) OVER p AS g, sum(h) OVER p AS h, sum(n) OVER p AS n FROM cell
-  WINDOW w AS (PARTITION BY feature ORDER BY threshold), p AS (PARTITION BY feature)),
-gain AS (SELECT *, {score('gl', 'hl')} + {score('(g - gl)', '(h - hl)')} - {score('g', 'h')} AS gain FROM cut
-  WHERE nl >= {K.BOOST_MIN_CHILD} AND n - nl >= {K.BOOST_MIN_CHILD})
-SELECT feature, round(threshold, 6) AS threshold, {step('gl', 'hl')} AS left_value, {step('(g - gl)', '(h - hl)')} AS right_value,
-  nl::BIGINT AS left_rows, (n - nl)::BIGINT AS right_rows FROM gain ORDER BY gain DESC, pos, threshold LIMIT 1"""
+def second_query(columns: list[str]) -> str:
+    """The better of the best cuts of the first cut's two sides; equal gains take the left side."""
+    at = " ".join(f"WHEN '{c}' THEN {c}" for c in columns)
+    return f"""WITH {_first_cut(columns)},
+sides AS (SELECT lab.*, CASE WHEN CASE first.feature {at} END <= first.threshold THEN 'left' ELSE 'right' END AS s FROM lab, first),
+cell2 AS ({_cells('sides', 's', columns)}),
+best AS (FROM ({_cuts('cell2', 'side')}) QUALIFY row_number() OVER (PARTITION BY side ORDER BY gain DESC, pos, threshold) = 1)
+SELECT side, feature, {LEAVES} FROM best WHERE gain > 0 ORDER BY gain DESC, side LIMIT 1"""
 
 
 def tree_rows(node) -> float:
@@ -705,6 +732,7 @@ def all_queries(names: list[str], top: int = 500) -> dict[str, str]:
         "subsample_runs": subsample_query(K.STABILITY_RUNS, K.STABILITY_FRACTION), "binned_mi": binned_mi_query(),
         "correlation_pairs": correlation_query(), "merged_rank": merged_query(),
         "greedy_prune": greedy_query(), "boost_stump": stump_query(["discount", "tax", "line"]),
+        "boost_second_level": second_query(["discount", "tax", "line"]),
         "tree_scores": tree_scores_query(), "url_scores": url_scores_query(), "tree_contributions": tree_contributions_query(),
         "tree_contribution_summary": tree_summary_query(), "focal_grad_hess": focal_query(), "predict_class": PREDICT,
         "binary_metrics": METRICS, "roc_auc": AUC, "weighted_f1": WEIGHTED,
