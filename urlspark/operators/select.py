@@ -2,46 +2,32 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
 import numpy as np
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlspark import constants as K
 from urlspark.operators import ngrams
+from urlspark.operators.l1 import fit_l1
 from urlspark.operators.scale import pick_columns
 from urlspark.operators.split import order_hash, subsample_cuts
 
 
 def stability_selection(train: DataFrame, runs: int = K.STABILITY_RUNS, fraction: float = K.STABILITY_FRACTION,
                         c: float = K.STABILITY_C, vector: str = "features", label: str = "label",
-                        key: str = "row_id", seed: int = K.SEED, max_iter: int = 100,
-                        parallelism: int = 4) -> np.ndarray:
+                        key: str = "row_id", seed: int = K.SEED, max_iter: int = 100) -> np.ndarray:
     """Share of subsample fits in which each feature keeps a non-zero L1 coefficient.
 
-    The frame is cached once; a run is a filter on the row's hash, so no subsample is
-    copied. ``parallelism`` fits are submitted at a time.
+    A run is a bit of each row, set from the row's hash, and all runs are fitted in the same passes over the rows.
     """
     frame = train.select(key, label, vector).persist()
     cuts = {r.run: r.last_hash for r in subsample_cuts(frame, runs, fraction, key, seed).collect()}  # one per run
-    size = int(fraction * frame.count())
-
-    def one_run(run: int) -> np.ndarray:
-        sample = frame.filter(order_hash(key, seed + run) <= cuts[run])
-        model = LogisticRegression(
-            featuresCol=vector, labelCol=label, elasticNetParam=1.0, regParam=1.0 / (c * size),
-            standardization=False, maxIter=max_iter, tol=1e-6,
-        ).fit(sample)
-        return (np.abs(model.coefficients.toArray()) > K.STABILITY_MIN_COEF).astype(float)
-
-    with ThreadPool(parallelism) as pool:
-        picked = pool.map(inheritable_thread_target(frame.sparkSession)(one_run), range(runs))
+    members = [order_hash(key, seed + run) <= cuts[run] if run in cuts else F.lit(False) for run in range(runs)]
+    fit = fit_l1(frame, c, vector, label, members, max_iter=max_iter)
     frame.unpersist()
-    return np.mean(picked, axis=0)
+    return (np.abs(fit.coefficients) > K.STABILITY_MIN_COEF).mean(axis=1)
 
 
 def width_bins(df: DataFrame, columns: list[str], bins: int = 32) -> dict[str, list[float]]:
