@@ -108,6 +108,10 @@ def tree_nodes(spark: SparkSession, sf_dir: str, features: int) -> DataFrame:
     )
 
 
+# A given linear model over NUMERIC: coefficients, intercept, C.
+GIVEN_COEFFICIENTS = [0.01, 0.0, 2.0, -1.0, 0.0, -0.0002, 0.0]
+GIVEN_INTERCEPT, GIVEN_C = -0.5, 0.00002
+
 # Given trees: (column, threshold, left, right) or (value, rows at the leaf when it was fitted).
 GIVEN_TREES = [
     ("quantity", 25.0, ("tax", 0.04, (-0.5, 300.0), (0.25, 200.0)), ("net", 40000.0, (0.1, 350.0), (0.9, 150.0))),

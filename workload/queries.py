@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from urlspark import constants as K
 from urlspark.functions import focal
 from urlspark.functions import text as X
-from urlspark.operators import boost, explain, metrics, ngrams, select, split, suffix
+from urlspark.operators import boost, explain, l1, metrics, ngrams, select, split, suffix
 from urlspark.operators.features import FAMILIES, FEATURES, url_features
 from urlspark.operators.parse import PARTS, parse_urls, quarantine, split_host_naive
 from urlspark.operators.scale import apply_scaler, fit_scaler, fit_vector_scaler, pick_columns
@@ -272,11 +272,30 @@ def merged_rank(spark, sf):
 
 
 def stability_frequency(spark, sf):
+    """All runs and passes of the operator's defaults."""
     rows = assembled(data.learnable_rows(spark, sf), ("row_id", "label"))
-    freq = select.stability_selection(rows, runs=4, max_iter=20)
+    freq = select.stability_selection(rows)
     return spark.createDataFrame([(c, float(f)) for c, f in zip(NUMERIC, freq)], "feature string, frequency double")
 
 
+def l1_residual_given(spark, sf):
+    """Gradient and distance from the optimum of every coefficient of a given linear model."""
+    rows = assembled(data.numeric_rows(spark, sf), ("row_id", "label"))
+    return rounded(l1.l1_residuals(rows, data.GIVEN_COEFFICIENTS, data.GIVEN_INTERCEPT, data.GIVEN_C, NUMERIC), digits=4)
+
+
+def l1_residual_fit(spark, sf):
+    """The same distance of a fitted model, a coefficient in units of its column's deviation: 0 to four decimals."""
+    rows = data.learnable_rows(spark, sf)
+    vectors = assembled(rows, ("row_id", "label"))
+    fit = l1.fit_l1(vectors, K.STABILITY_C, max_iter=400)
+    found = l1.l1_residuals(vectors, fit.coefficients[:, 0], fit.intercepts[0], K.STABILITY_C, NUMERIC)
+    scale = rows.agg(*[F.stddev_pop(c).alias(c) for c in NUMERIC]).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("deviation")) for c in NUMERIC])).alias("x")).select("x.*")
+    scaled = F.col("residual") / F.coalesce(F.nullif("deviation", F.lit(0.0)), F.lit(1.0))
+    return found.join(scale, "feature", "left").select("feature", (F.round(scaled, 4) + F.lit(0.0)).alias("residual"))
+
+
 def tree_gain(spark, sf):
     rows = assembled(data.learnable_rows(spark, sf), ("row_id", "label"))
     gain = select.tree_gain(rows)
@@ -527,7 +546,8 @@ QUERIES = {
     "scale_standard": scale_standard, "scale_vectors": scale_vectors, "column_subset": column_subset,
     "subsample_runs": subsample_runs, "binned_mi": binned_mi, "quantile_mi": quantile_mi,
     "correlation_pairs": correlation_pairs, "merged_rank": merged_rank,
-    "stability_frequency": stability_frequency, "tree_gain": tree_gain, "greedy_prune": greedy_prune,
+    "stability_frequency": stability_frequency, "l1_residual_given": l1_residual_given, "l1_residual_fit": l1_residual_fit,
+     "tree_gain": tree_gain, "greedy_prune": greedy_prune,
     "focal_grad_hess": focal_grad_hess, "predict_class": predict_class,
     "boost_stump": boost_stump, "boost_second_level": boost_second_level, "tree_scores": tree_scores, "url_scores": url_scores, "tree_contributions": tree_contributions,
     "tree_contribution_summary": tree_contribution_summary,

@@ -9,7 +9,7 @@ from math import factorial
 from urlspark import constants as K
 from urlspark.functions.url import BRACKETED_HOST
 from urlspark.operators.features import FAMILIES
-from workload.data import GIVEN_TREES, GIVEN_URL_TREES
+from workload.data import GIVEN_C, GIVEN_COEFFICIENTS, GIVEN_INTERCEPT, GIVEN_TREES, GIVEN_URL_TREES, NUMERIC
 from workload.templates import PHISHING_VARIANTS, TEMPLATES, WEAK_TERMS, pieces
 
 LETTER, DIGIT, ALNUM = r"\p{L}", r"\p{Nd}²³¹", r"\p{L}\p{N}"
@@ -652,6 +652,24 @@ best AS (FROM ({_cuts('cell2', 'side')}) QUALIFY row_number() OVER (PARTITION BY
 SELECT side, feature, {LEAVES} FROM best WHERE gain > 0 ORDER BY gain DESC, side LIMIT 1"""
 
 
+def l1_given_query() -> str:
+    """Gradient of the mean log loss per column, and what it misses of the optimum's conditions."""
+    w, b = dict(zip(NUMERIC, GIVEN_COEFFICIENTS)), GIVEN_INTERCEPT
+    margin = " + ".join(f"{v}::DOUBLE * {c}" for c, v in w.items())
+    cells = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {v}::DOUBLE AS w, avg(d * {x}) AS g, {lam} / (count(*) * {GIVEN_C}::DOUBLE) AS lam FROM p"
+        for c, v, x, lam in [*((c, v, c, 1) for c, v in w.items()), ("intercept", b, "1", 0)])
+    return f"""WITH {ROWS}, p AS (SELECT *, 1 / (1 + exp(-({margin} + {b}))) - label AS d FROM r), g AS ({cells})
+SELECT feature, round(w, 4) + 0.0 AS coefficient, round(g, 4) + 0.0 AS gradient,
+  round(CASE WHEN lam = 0 THEN abs(g) WHEN w != 0 THEN abs(g + sign(w) * lam) ELSE greatest(abs(g) - lam, 0) END, 4) + 0.0 AS residual
+FROM g"""
+
+
+def l1_fit_query() -> str:
+    """At the optimum nothing is missing."""
+    return f"SELECT unnest({[*NUMERIC, 'intercept']}) AS feature, 0.0::DOUBLE AS residual"
+
+
 def tree_rows(node) -> float:
     return node[1] if len(node) == 2 else tree_rows(node[2]) + tree_rows(node[3])
 
@@ -732,6 +750,7 @@ def all_queries(names: list[str], top: int = 500) -> dict[str, str]:
         "subsample_runs": subsample_query(K.STABILITY_RUNS, K.STABILITY_FRACTION), "binned_mi": binned_mi_query(),
         "correlation_pairs": correlation_query(), "merged_rank": merged_query(),
         "greedy_prune": greedy_query(), "boost_stump": stump_query(["discount", "tax", "line"]),
+        "l1_residual_given": l1_given_query(), "l1_residual_fit": l1_fit_query(),
         "boost_second_level": second_query(["discount", "tax", "line"]),
         "tree_scores": tree_scores_query(), "url_scores": url_scores_query(), "tree_contributions": tree_contributions_query(),
         "tree_contribution_summary": tree_summary_query(), "focal_grad_hess": focal_query(), "predict_class": PREDICT,
