@@ -111,3 +111,45 @@ def test_toxicity_learns_and_spares(spark):
     assert got[0]["predicted"] == got[1]["predicted"] == got[2]["predicted"] == 0
     assert X.score_documents(docs, model, away()).where("predicted <> int(doc_id % 5 = 0)").count() == 0
     assert X.score_documents(docs.limit(0), model, away()).count() == 0
+
+
+def test_one_row_of_each_key_is_sampled(spark):
+    """A labelled key that 50,000 rows have gives one row, and it does not depend on their order."""
+    docs = spark.range(50_020).selectExpr("if(id < 50000, 1, id) AS doc_id", "concat('text ', id % 977) AS text")
+    labels = labels_of(spark, [(1, 0, 1), (1, 1, 0), (50_003, 0, 0), (50_004, 1, 1), (None, 1, 1)])
+    got = Q.labelled_sample(docs, labels, "quality", away(), "doc_id", "text", 100).collect()
+    assert sorted(r["id"] for r in got) == sorted({1, 50_003, 50_004} & {
+        r["doc_id"] for r in docs.where(~away()).select("doc_id").distinct().collect()})
+    again = Q.labelled_sample(docs.repartition(7), labels, "quality", away(), "doc_id", "text", 100).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again)) and len(got) >= 1
+
+
+@pytest.mark.parametrize("toxic", [0, 1])
+def test_without_two_labels_the_lexicon_is_empty(spark, toxic):
+    docs = odd_docs(spark)
+    model = X.fit(docs, labels_of(spark, [(i, 1, toxic) for i in range(15)]), "toxic", away())
+    assert model.terms == [] and model.left_out == 0
+    got = X.score_documents(docs, model, away()).collect()
+    assert len({r["score"] for r in got}) == 1 and not any(r["predicted"] for r in got)
+
+
+def test_words_are_spared_by_ratio_and_terms_beyond_the_limit_counted(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        words = sentence(rng, 40).split()
+        if i % 4 == 0:
+            for t in ("grubbler", "snorfel", "wexling", "grubblor"):
+                words.insert(rng.randrange(len(words)), t)
+        elif i % 4 == 1:
+            words.insert(rng.randrange(len(words)), "wexlin")  # a clean word near a term
+        elif i == 2:
+            words.insert(3, "grubblor")  # one slip does not spare a misspelling
+        rows.append((" ".join(words), int(i % 4 == 0)))
+    sample = spark.createDataFrame(rows, "text string, label int")
+    terms, spared, left_out = X.learn_lexicon(sample)
+    assert {"grubbler", "snorfel", "wexling"} <= set(terms) and left_out == 0
+    assert "wexlin" in spared and "grubblor" not in spared
+    monkeypatch.setattr(X, "LEXICON", 2)
+    fewer, _, left_out = X.learn_lexicon(sample)
+    assert len(fewer) == 2 and left_out == len(terms) - 2

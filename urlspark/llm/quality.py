@@ -4,7 +4,8 @@ Tokens are runs of letters, digits or symbols; case is kept as a mark, so that l
 Words fall into 2^15 buckets by hash. A word's vector is the sum of the sparse random vectors of its neighbours over all
 documents, so its size, and that of the table sent to executors, is fixed whatever the corpus holds. A document is the
 mean and the spread of its words' vectors with a few counts. Labels are learnt from a bounded sample of rows (lowest
-hash of the key), everything else from all documents. A null or empty text has a defined score like any other (its
+hash of the key, one row a key), everything else from all documents. Repeated rows count each time there and get equal
+scores, rows without a key are scored but not learnt from, an empty table gives an empty result. A null or empty text has a defined score like any other (its
 vector is zero); without labels of both classes every score is the share of label 1, or 0.5.
 """
 
@@ -229,12 +230,17 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, away: Column, key: str, text: str,
                     rows: int) -> DataFrame:
-    """At most ``rows`` labelled rows outside the held-out fold: (text, label), chosen by the hash of the key."""
+    """(id, text, label) of at most ``rows`` labelled keys outside the held-out fold, chosen by the hash of the key.
+
+    Of several rows of a key the one whose text has the least hash is taken, of several labels the largest.
+    """
     chosen = labels.where(labels[label].isNotNull() & labels[key].isNotNull() & ~away)
     chosen = chosen.groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(rows)
     pairs = docs.select(docs[key].alias("id"), docs[text].alias("text"))
-    return pairs.join(F.broadcast(chosen), "id")  # at most ``rows`` pairs of numbers
+    found = pairs.join(F.broadcast(chosen), "id")  # at most ``rows`` pairs of numbers
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")
+    return found.groupBy("id", "label").agg(least).select("id", F.col("least.text").alias("text"), "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, away: Column, key: str = "doc_id", text: str = "text",
@@ -251,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, away: Column, key: str =
     sample = labelled_sample(docs, labels, label, away, key, text, rows)
     kind = dict(docs.dtypes)[key]
     got = sorted(map(tuple, map_batches(sample.select("id", "text", "label"), vectorise,
-                                        f"id {kind}, x binary, label int").collect()))[:rows]
+                                        f"id {kind}, x binary, label int").collect()))  # one a key
     x = np.array([np.frombuffer(r[1], np.float32) for r in got]).reshape(len(got), 2 * DIMENSIONS + COUNTS)
     return vectors, fit_network(x, np.array([r[2] for r in got], np.float64))
 

@@ -1,10 +1,12 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie find terms and their misspellings, context weighs them.
 
-The lexicon is learnt from a bounded sample of labelled rows: words far likelier in toxic texts, or a short fixed list
-if the labels name none. All words of a text walk through the product of the trie with the automata of its
+The lexicon is learnt from a bounded sample of labelled rows, one of each key: words far likelier in toxic texts. If the
+labels name none, it is empty and every text gets the same low score. All words of a text walk through the product of the trie with the automata of its
 terms, which is made deterministic as it is walked, so a word costs one step per letter. Matches are weighed by distance,
 by quotation marks around them, by words of report or citation and by address in a window; a logistic model over the sums
 gives the score. A null or empty text has no matches and the model's lowest kind of score.
+Rows without a key are scored and never learnt from, repeated rows get equal scores, an empty table gives an empty result;
+equally telling terms are taken by their letters.
 """
 
 from __future__ import annotations
@@ -23,12 +25,11 @@ from urlspark.llm.quality import labelled_sample
 from urlspark.session import cut_lineage
 
 SAMPLE_ROWS = 20_000  # labelled rows that lexicon and weights are learnt from
-LEXICON = 200  # terms at most
+LEXICON = 20_000  # terms at most, which keeps a worker's trie at some 20 MB; the model tells how many are left out
 WINDOW = 6  # words on either side of a match
 CACHED_WORDS = 300_000
 WORD = re.compile(r"[^\W_]+(?:[*@$!|0-9][^\W_]+)*")
 LEET = str.maketrans("013457@$!|", "oieastasil")
-SEED_TERMS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown".split()
 ADDRESS = frozenset("you your youre u ur yourself they them she he".split())
 REPORT = frozenset(
     "said says say called calls wrote writes word words term quote quoted quotes phrase cites cited reported insult".split()
@@ -173,17 +174,19 @@ class Model:
     spared: frozenset[str]  # words near a term that clean texts use
     coefficients: np.ndarray
     intercept: float
+    left_out: int = 0  # telling words beyond LEXICON
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.coefficients + self.intercept, -50, 50)))
 
 
-def learn_lexicon(sample: DataFrame, share: float = 0.008, ratio: float = 100.0) -> tuple[list[str], frozenset[str]]:
-    """(terms, spared words) of (text, label).
+def learn_lexicon(sample: DataFrame, share: float = 0.008, ratio: float = 100.0) -> tuple[list[str], frozenset[str], int]:
+    """(terms, spared words, telling words left out) of (text, label).
 
     Terms are ``ratio`` times likelier in toxic texts and stand behind different words there, as many as ``share`` of
-    those texts: words of a copied passage always stand behind the same one. Spared words are near a term but in clean
-    texts. The driver gets LEXICON terms at most, and of the bounded sample's words those near a term.
+    those texts: words of a copied passage always stand behind the same one. Spared words are near a term, but stand in
+    clean texts and are less than the root of ``ratio`` times likelier in toxic ones. The driver gets LEXICON terms at
+    most, and of the bounded sample's words those near a term. Without texts of both labels there are no terms.
     """
 
     def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +202,7 @@ def learn_lexicon(sample: DataFrame, share: float = 0.008, ratio: float = 100.0)
 
     n, toxic = sample.agg(F.count("*"), F.sum("label")).first()
     if not toxic or toxic == n:
-        return list(SEED_TERMS), frozenset()
+        return [], frozenset(), 0
     listed = map_batches(sample.select("text", "label"), list_words, "word string, before string, label long")
     pairs = listed.groupBy("word", "before").agg(F.sum("label").alias("bad"), F.count("*").alias("all"))
     counted = cut_lineage(pairs.groupBy("word").agg(
@@ -207,7 +210,8 @@ def learn_lexicon(sample: DataFrame, share: float = 0.008, ratio: float = 100.0)
     odds = (F.col("bad") + 0.1) / (toxic + 1) / ((F.col("all") - F.col("bad") + 0.1) / (n - toxic + 1))
     telling = counted.where((F.col("contexts") >= F.lit(max(4.0, share * toxic))) & (odds >= ratio))
     top = telling.orderBy((F.col("bad") * F.log(odds)).desc(), "word").limit(LEXICON).collect()
-    terms = [r["word"] for r in top] or list(SEED_TERMS)
+    terms = [r["word"] for r in top]
+    left_out = telling.count() - len(terms)
 
     def near_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = LexiconAutomaton(terms)
@@ -215,8 +219,8 @@ def learn_lexicon(sample: DataFrame, share: float = 0.008, ratio: float = 100.0)
             near = pa.array([bool((automaton.match(w) or (0, 0))[1]) for w in column(batch, "word").to_pylist()])
             yield batch.filter(near)
 
-    clean = counted.where(F.col("all") > F.col("bad")).select("word")
-    return terms, frozenset(r["word"] for r in map_batches(clean, near_terms, "word string").collect())
+    clean = counted.where((F.col("all") > F.col("bad")) & (odds < ratio ** 0.5)).select("word")
+    return terms, frozenset(r["word"] for r in map_batches(clean, near_terms, "word string").collect()), left_out
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, float]:
@@ -238,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, away: Column, key: str =
         rows: int = SAMPLE_ROWS) -> Model:
     """Lexicon and weights from at most ``rows`` labelled rows; the driver gets one short vector per sampled row."""
     sample = cut_lineage(labelled_sample(docs, labels, label, away, key, text, rows))
-    terms, spared = learn_lexicon(sample)
+    terms, spared, left_out = learn_lexicon(sample)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(terms, spared)
@@ -251,8 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, away: Column, key: str =
     got = sorted(map(tuple, found.collect()))
     y = np.array([r[2] for r in got], np.float64)
     if not len(y) or y.min() == y.max():
-        return Model(terms, spared, np.ones(len(FEATURES)), -3.0)
-    return Model(terms, spared, *_fit_logistic(np.array([r[1] for r in got]), y))
+        return Model(terms, spared, np.ones(len(FEATURES)), -3.0, left_out)
+    return Model(terms, spared, *_fit_logistic(np.array([r[1] for r in got]), y), left_out)
 
 
 def score_documents(docs: DataFrame, model: Model, away: Column, key: str = "doc_id", text: str = "text",
