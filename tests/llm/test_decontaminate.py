@@ -56,3 +56,13 @@ def test_empty_tables(spark):
     docs, bench = odd_docs(spark), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert D.contamination_report(docs.limit(0), bench).count() == 0
     assert D.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_items_without_id(spark):
+    docs = spark.createDataFrame([(1, "x a b c y"), (2, "d e f a b c"), (3, "z")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c"), (None, "B c"), ("i", "d e f")], "item_id string, text string")
+    for block_bytes in (D.BLOCK_BYTES, 6):
+        got = {r.doc_id: r for r in D.contamination_report(docs, items, block_bytes=block_bytes).collect()}
+        assert [(got[i].n_hit, got[i].n_items, got[i].contaminated) for i in (1, 2, 3)] == [(3, 1, True), (6, 2, True), (0, 0, False)]
+        assert got[1].items_sha256 == D.sha256_hex(b"") and got[2].items_sha256 == D.sha256_hex(b"i")
+        assert [r.doc_id for r in D.drop_contaminated(docs, items, block_bytes=block_bytes).collect()] == [3]

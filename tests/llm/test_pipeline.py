@@ -6,8 +6,8 @@ import public_tokenizers as P
 from tests.llm.cases import odd_docs, odd_texts, rows, sentence
 from tests.llm.test_bpe import RANKS, library
 from tests.llm.test_decontaminate import brute as contaminated
+from tests.llm.test_jaccard import brute_groups, plain_set
 from tests.llm.test_repetition import brute as repetition
-from tests.llm.test_simhash import brute_components, plain_fingerprint
 from urlspark.llm import bpe, pii
 
 
@@ -32,7 +32,7 @@ def test_against_brute_force(spark, tmp_path):
         if clean:
             kept.append((r["doc_id"], r["text"]))
     groups = {}
-    for row, g in zip(kept, brute_components([plain_fingerprint(t) for _, t in kept])):
+    for row, g in zip(kept, brute_groups([plain_set(t) for _, t in kept])):
         groups.setdefault(g, []).append(row)
     kept = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
     kept = [(i, t) for i, t in kept if not contaminated(t, [(1, item)])[-1]]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import uuid
@@ -58,9 +59,42 @@ def find_packages(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*known, PACKAGES])
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20  # of rows handed to Python at once; one larger row goes alone
+
+
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    find_packages(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    """``mapInArrow`` with batches of bounded bytes, which the session keeps from then on; a task gives back what it held."""
+    spark = df.sparkSession
+    find_packages(spark)
+    if spark.conf.get(BATCH) not in (str(BATCH_BYTES), f"{BATCH_BYTES}b"):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def place(df: DataFrame, name: str) -> int:
+    """Where a column stands: the one of exactly that name, else the one that differs in case only."""
+    exact = [i for i, c in enumerate(df.columns) if c == name] or [
+        i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(exact) != 1:
+        raise ValueError(f"{len(exact)} columns are called {name}")
+    return exact[0]
+
+
+def filled(strings: pa.Array) -> pa.Array:
+    """Null as the empty text."""
+    return pc.fill_null(strings, "")
+
+
+def with_arrays(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch with more columns at its end."""
+    return pa.RecordBatch.from_arrays([*batch.columns, *added.values()], [*batch.schema.names, *added])
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

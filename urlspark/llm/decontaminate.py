@@ -3,7 +3,8 @@
 Texts are normalised to lower-case words (A-Z only; letters, digits and anything beyond ASCII) with single spaces,
 as Latin-1 characters of their UTF-8 bytes. A window is 10 consecutive words of an item, or all of a shorter one.
 Null or empty texts and items have no words: such documents are clean, such items have no windows. Items that share
-a window all count; repeated rows are judged alone.
+a window all count; items without an id count like any other for hits, together as one more item, and add nothing to the
+digest of ids. Repeated rows are judged alone.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urlspark.llm.common import column, fresh_name, map_batches, sha256_hex, texts, written
+from urlspark.llm.common import column, filled, fresh_name, map_batches, place, sha256_hex, texts, with_arrays, written
 
 WINDOW = 10
 BLOCK_BYTES = 2_000_000  # of window text in one automaton (at most some 100 MB per worker); more are scanned in blocks
@@ -67,8 +68,7 @@ class WindowAutomaton:
     def __init__(self, rows: list[tuple[str | None, str, int]]):
         held: dict[str, tuple[int, list[str]]] = {}
         for item, window, n in rows:
-            if item is not None:
-                held.setdefault(f" {window} ".encode().decode("latin-1"), (n, []))[1].append(item)
+            held.setdefault(f" {window} ".encode().decode("latin-1"), (n, []))[1].append(item)
         self.automaton = ahocorasick.Automaton()
         for window, value in held.items():
             self.automaton.add_word(window, value)
@@ -76,9 +76,9 @@ class WindowAutomaton:
         if held:
             self.automaton.make_automaton()
 
-    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str | None]]:
         """(indexes of the words inside windows, items)."""
-        items: set[str] = set()
+        items: set[str | None] = set()
         if self.empty or not words:
             return np.zeros(0, np.int32), items
         normal = b" " + b" ".join(words) + b" "
@@ -104,7 +104,7 @@ def _scanned(docs: DataFrame, rows: list, text: str, names: tuple[str, str, str]
     if first:
         schema = T.StructType([*schema.fields, T.StructField(n_words, T.LongType()), T.StructField(hits, T.BinaryType()),
                                T.StructField(items, T.ArrayType(T.StringType()))])
-    copy = fresh_name(docs, "text_scanned")
+    at = place(docs, text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = WindowAutomaton(sent.value)
@@ -113,21 +113,22 @@ def _scanned(docs: DataFrame, rows: list, text: str, names: tuple[str, str, str]
             before = ([None] * len(batch),) * 2
             if not first:
                 before = column(batch, hits).to_pylist(), column(batch, items).to_pylist()
-            for t, old_hits, old_items in zip(texts(batch, copy).to_pylist(), *before):
+            for t, old_hits, old_items in zip(filled(batch.column(at)).to_pylist(), *before):
                 words = normal_words(t)
-                at, names_hit = automaton.scan(words)
+                hit, names_hit = automaton.scan(words)
                 if old_hits:
-                    at = np.union1d(at, np.frombuffer(old_hits, np.int32)).astype(np.int32)
+                    hit = np.union1d(hit, np.frombuffer(old_hits, np.int32)).astype(np.int32)
                 counts.append(len(words))
-                words_hit.append(at.tobytes())
-                item_lists.append(sorted(names_hit.union(old_items or ())))
-            arrays = dict(zip(batch.schema.names, batch.columns))
-            del arrays[copy]
-            arrays |= {n_words: pa.array(counts, pa.int64()), hits: pa.array(words_hit, pa.binary()),
-                       items: pa.array(item_lists, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
+                words_hit.append(hit.tobytes())
+                names_hit = names_hit.union(old_items or ())
+                item_lists.append([*sorted(names_hit - {None}), *[None] * (None in names_hit)])
+            found = (pa.array(counts, pa.int64()), pa.array(words_hit, pa.binary()), pa.array(item_lists, pa.list_(pa.string())))
+            if first:
+                yield with_arrays(batch, dict(zip(names, found)))
+            else:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *found], batch.schema.names)
 
-    return map_batches(docs.withColumn(copy, docs[text]), scan, schema)
+    return map_batches(docs, scan, schema)
 
 
 def scan_documents(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id",
@@ -175,7 +176,7 @@ def contamination_report(docs: DataFrame, items: DataFrame, key: str = "doc_id",
                 at = np.frombuffer(packed, np.int32)
                 n_hit.append(len(at))
                 n_items.append(len(names))
-                digests.append(sha256_hex(",".join(names).encode()))
+                digests.append(sha256_hex(",".join(n for n in names if n is not None).encode()))
                 spans.append(",".join(f"{b}:{e}" for b, e in hit_spans(t, at)) if len(at) else "")
             long = pa.int64()
             yield pa.RecordBatch.from_arrays(
@@ -185,8 +186,9 @@ def contamination_report(docs: DataFrame, items: DataFrame, key: str = "doc_id",
             )
 
     shown = F.when(F.octet_length(hits) > 0, F.col("text"))  # only hit texts go on to have their spans found
-    return map_batches(scanned.select("key", n_words, hits, found, shown.alias("shown")), digest, f"`{key}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
-        "spans string")
+    return map_batches(
+        scanned.select("key", n_words, hits, found, shown.alias("shown")), digest,
+        f"`{key}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id",

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from urlspark.llm.common import column, fresh_name, map_batches, sha256_hex, texts
+from urlspark.llm.common import column, map_batches, place, sha256_hex, texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "localphone")
@@ -211,20 +211,19 @@ def mask_documents(docs: DataFrame, text: str = "text", length: str | None = Non
 
     Texts without spans, null ones too, and their lengths stay as they are.
     """
-    changed = fresh_name(docs, "text_masked")
+    at, size = place(docs, text), None if length is None else place(docs, length)
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t in column(batch, changed).to_pylist():
+            for t in batch.column(at).to_pylist():
                 spans = find_personal_data(t, settings) if t else []
                 out.append((mask(t, spans), True) if spans else (t, False))
-            arrays = dict(zip(batch.schema.names, batch.columns))
-            arrays[text] = pa.array([o[0] for o in out], arrays[text].type)
-            if length is not None:
-                kept = arrays[length].to_pylist()
-                arrays[length] = pa.array([len(o[0]) if o[1] else n for o, n in zip(out, kept)], arrays[length].type)
-            del arrays[changed]
-            yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
-
-    return map_batches(docs.withColumn(changed, docs[text]), cover, docs.schema)
+            arrays = list(batch.columns)
+            arrays[at] = pa.array([o[0] for o in out], arrays[at].type)
+            if size is not None:
+                kept = arrays[size].to_pylist()
+                arrays[size] = pa.array([len(o[0]) if o[1] else n for o, n in zip(out, kept)], arrays[size].type)
+            yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
+
+    return map_batches(docs, cover, docs.schema)

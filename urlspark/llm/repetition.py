@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from urlspark.llm.common import codes, column, fresh_name, map_batches, per_row, slices, texts, utf8, words
+from urlspark.llm.common import codes, column, filled, map_batches, per_row, place, slices, texts, utf8, words
 
 SYMBOLS = np.zeros(256, np.uint8)
 SYMBOLS[list(b"#*$%&|<>")] = 1
@@ -230,10 +230,10 @@ def repetition_report(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def keep_clean(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that pass the rules, with all their columns."""
-    copy = fresh_name(docs, "text_judged")
+    at = place(docs, text)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(repetition_figures(texts(batch, copy), rules)["kept"])).drop_columns([copy])
+            yield batch.filter(pa.array(repetition_figures(filled(batch.column(at)), rules)["kept"]))
 
-    return map_batches(docs.withColumn(copy, docs[text]), drop, docs.schema)
+    return map_batches(docs, drop, docs.schema)
