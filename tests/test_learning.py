@@ -98,10 +98,10 @@ def numeric_frame(spark, n=400):
 
 
 def test_greedy_prune(spark):
-    matrix = select.correlation_matrix(numeric_frame(spark))
-    assert select.greedy_prune(matrix, 0.95) == [0, 1, 3, 4]  # copy goes, constant and negated copy stay
-    assert select.greedy_prune(matrix, 0.95, absolute=True) == [0, 1, 4]
-    assert select.greedy_prune(matrix, 0.95, limit=2) == [0, 1]
+    df = numeric_frame(spark)
+    assert select.prune_correlated(df, 5, 0.95) == [0, 1, 3, 4]  # copy goes, constant and negated copy stay
+    assert select.prune_correlated(df, 5, 0.95, absolute=True) == [0, 1, 4]
+    assert select.prune_correlated(df, 5, 0.95, limit=2) == [0, 1]
 
 
 def test_correlation_pairs_of_constant(spark):

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.stat import Correlation
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlspark import constants as K
 from urlspark.operators import ngrams
+from urlspark.operators.blocks import BLOCK_SCHEMA, moments, reader, row_blocks, summed, total
 from urlspark.operators.l1 import fit_l1
+from urlspark.operators.quantiles import quantile_edges
 from urlspark.operators.scale import pick_columns
 from urlspark.operators.split import order_hash, subsample_cuts
+from urlspark.session import scratch_path
 
 
 def stability_selection(train: DataFrame, runs: int = K.STABILITY_RUNS, fraction: float = K.STABILITY_FRACTION,
@@ -41,12 +46,9 @@ def width_bins(df: DataFrame, columns: list[str], bins: int = 32) -> dict[str, l
     return edges
 
 
-def quantile_bins(df: DataFrame, columns: list[str], bins: int = 32, accuracy: int = 10_000) -> dict[str, list[float]]:
-    """Inner edges at approximate quantiles, all columns in one pass; repeated edges are merged."""
-    cuts = [b / bins for b in range(1, bins)]
-    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), cuts, accuracy).alias(f"q{i}")
-                   for i, c in enumerate(columns)]).first()
-    return {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(columns)}
+def quantile_bins(df: DataFrame, columns: list[str], bins: int = 32) -> dict[str, list[float]]:
+    """Inner edges at exact quantiles, all columns in the same few passes; repeated edges are merged."""
+    return quantile_edges(df, columns, bins)
 
 
 def binned_mutual_information(df: DataFrame, edges: dict[str, list[float]], label: str = "label") -> DataFrame:
@@ -106,27 +108,93 @@ def merged_rank(scores: DataFrame, threshold: float = K.FREQUENCY_THRESHOLD,
     )
 
 
-def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(f1, f2, r) Pearson correlation per column pair in one aggregation; constants give 0."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    def x(c):
-        return F.col(c).cast("double")
+PAIR_SLOTS = 1_024  # columns on either side of one block of pairs
+PRUNE_SLOTS = 256  # candidates compared with the accepted ones at once
+ROWS_AT_ONCE = 1_024
+
+
+class _Products:
+    """Sums of products of centred slots over all rows, for some slots against others."""
+
+    def __init__(self, df: DataFrame, vector: str, width: int):
+        rows = df.select(F.lit(0).alias("y"), vector).where(F.col(vector).isNotNull())
+        path = scratch_path(df.sparkSession, "correlation-blocks")
+        row_blocks(rows, "y", vector, F.lit(1).cast("long")).write.parquet(path)
+        self.blocks = df.sparkSession.read.schema(BLOCK_SCHEMA).parquet(path)
+        self.width = width
+        self.means, deviations, _ = moments(self.blocks, width, False)
+        n = self.blocks.agg(F.sum("n")).first()[0] or 0
+        # r = sum of products * scale * scale; constant slots correlate with nothing
+        self.scales = np.divide(1.0, deviations * np.sqrt(max(n, 1)), out=np.zeros(width), where=deviations > 0)
+
+    def _one_block(self, left: np.ndarray, right: np.ndarray):
+        read, means = reader(self.width, 1), self.means
+
+        def one_block(batch, i):
+            y, _, _, _, pick = read(batch, i)
+            out = np.zeros((len(left), len(right)))
+            for a in range(0, len(y), ROWS_AT_ONCE):
+                b = min(len(y), a + ROWS_AT_ONCE)
+                out += (pick(left, a, b) - means[left]).T @ (pick(right, a, b) - means[right])
+            return out
+
+        return one_block
 
-    aggs = [F.covar_pop(x(a), x(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
-    aggs += [F.stddev_pop(x(c)).alias(f"s_{i}") for i, c in enumerate(columns)]
-    at = {c: f"s_{i}" for i, c in enumerate(columns)}
-    one_row = df.agg(*aggs)
-    return one_row.select(F.explode(F.array(*[
-        F.struct(
-            F.lit(a).alias("f1"), F.lit(b).alias("f2"),
-            F.coalesce(F.try_divide(F.col(f"c{i}"), F.col(at[a]) * F.col(at[b])), F.lit(0.0)).alias("r"),
-        ) for i, (a, b) in enumerate(pairs)
-    ])).alias("p")).select("p.*")
+    def cells(self, left: np.ndarray, right: np.ndarray) -> DataFrame:
+        """(cell, v) with cell = place in left x len(right) + place in right."""
+        return summed(self.blocks, self._one_block(left, right), len(left) * len(right))
 
+    def matrix(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Their correlations on the driver."""
+        sums = total(self.blocks, self._one_block(left, right), (len(left), len(right)))
+        return sums * self.scales[left][:, None] * self.scales[right]
 
-def correlation_matrix(df: DataFrame, vector: str = "features") -> np.ndarray:
-    """Dense d x d matrix (d = candidate features, not rows); undefined entries are 0."""
-    return np.nan_to_num(Correlation.corr(df, vector).first()[0].toArray(), nan=0.0)
+
+def correlation_pairs(df: DataFrame, columns: list[str], block: int = PAIR_SLOTS) -> DataFrame:
+    """(f1, f2, r) Pearson correlation per column pair; constants give 0, rows with a null or NaN are left out.
+
+    Sums of products of ``block`` x ``block`` columns are one pass over the rows; none of them comes to the driver.
+    """
+    spark, width = df.sparkSession, len(columns)
+    vectors = VectorAssembler(inputCols=columns, outputCol="_slots", handleInvalid="skip").transform(df)
+    products = _Products(vectors, "_slots", width)
+    slots = spark.createDataFrame(
+        [(i, c, float(s)) for i, (c, s) in enumerate(zip(columns, products.scales))], "i int, f string, scale double")
+    out = []
+    for a in range(0, width, block):
+        for b in range(a, width, block):
+            left, right = (np.arange(k, min(width, k + block)) for k in (a, b))
+            place = products.cells(left, right).select(
+                (F.floor(F.col("cell") / len(right)) + a).cast("int").alias("i1"),
+                (F.col("cell") % len(right) + b).cast("int").alias("i2"), "v")
+            out.append(place.where("i1 < i2"))
+    pairs = functools.reduce(DataFrame.union, out)
+    for k in ("1", "2"):  # a row a column
+        pairs = pairs.join(F.broadcast(slots.select(*[F.col(c).alias(c + k) for c in ("i", "f", "scale")])), f"i{k}")
+    return pairs.select("f1", "f2", (F.col("v") * F.col("scale1") * F.col("scale2")).alias("r"))
+
+
+def prune_correlated(df: DataFrame, width: int, threshold: float = K.CORRELATION_DEFAULT, limit: int = K.MAX_FEATURES,
+                     absolute: bool = False, vector: str = "features", block: int = PRUNE_SLOTS) -> list[int]:
+    """``greedy_prune`` over the slots of a vector, best first, without the matrix of all slots.
+
+    Each block of candidates is compared in one pass with the slots kept so far and with itself, so the driver holds
+    ``block`` x (``limit`` + ``block``) correlations, and passes end with the limit.
+    """
+    products, kept = _Products(df, vector, width), []
+    for begin in range(0, width, block):
+        if len(kept) >= limit:
+            break
+        candidates = np.arange(begin, min(width, begin + block))
+        right = np.concatenate([np.array(kept, int), candidates])
+        r = products.matrix(candidates, right)
+        r = np.abs(r) if absolute else r
+        taken = list(range(len(kept)))  # columns of r
+        for i, candidate in enumerate(candidates.tolist()):
+            if len(kept) < limit and (not taken or max(0.0, r[i, taken].max()) < threshold):
+                taken.append(len(right) - len(candidates) + i)
+                kept.append(candidate)
+    return kept
 
 
 def greedy_prune(matrix: np.ndarray, threshold: float = K.CORRELATION_DEFAULT, limit: int = K.MAX_FEATURES,
@@ -166,5 +234,6 @@ def select_features(train: DataFrame, names: list[str], mi: DataFrame, vector: s
     ranked = [r.idx for r in merged_rank(hybrid_score(scores)).collect()]
     if not ranked:
         return list(range(len(names)))
-    matrix = correlation_matrix(pick_columns(train, ranked, vector, "_ranked"), "_ranked")
-    return [ranked[i] for i in greedy_prune(matrix, correlation_threshold, limit)]
+    kept = prune_correlated(pick_columns(train, ranked, vector, "_ranked"), len(ranked), correlation_threshold, limit,
+                            vector="_ranked")
+    return [ranked[i] for i in kept]

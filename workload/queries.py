@@ -303,9 +303,8 @@ def tree_gain(spark, sf):
 
 
 def greedy_prune(spark, sf):
-    """Columns kept, best first, from the correlation matrix of all rows."""
-    matrix = select.correlation_matrix(assembled(data.numeric_rows(spark, sf), ("row_id",)))
-    kept = select.greedy_prune(matrix, K.CORRELATION_DEFAULT)
+    """Columns kept, best first, from correlations over all rows, three candidates at a time."""
+    kept = select.prune_correlated(assembled(data.numeric_rows(spark, sf), ("row_id",)), len(NUMERIC), block=3)
     return spark.createDataFrame([(i, NUMERIC[k]) for i, k in enumerate(kept)], "position int, feature string")
 
 

@@ -462,6 +462,20 @@ m AS (SELECT *, sum(c) OVER (PARTITION BY feature, bin) AS rt, sum(c) OVER (PART
 SELECT feature, round(greatest(sum(c / t * ln(c::DOUBLE * t / (rt * ct))), 0.0), 6) AS mi FROM m GROUP BY feature"""
 
 
+def quantile_mi_query(bins: int = 32) -> str:
+    """Edges are the values of rank ceil(b n / bins), found by numbering all rows."""
+    each = " UNION ALL ".join(f"SELECT '{c}' AS feature, y AS label, {c}::DOUBLE AS v FROM lab" for c in COLUMNS)
+    return f"""WITH {ROWS}, lab AS (SELECT *, ((net > 30000 AND quantity > 20) OR tax > 0.07)::INT AS y FROM r), a AS ({each}),
+rn AS (SELECT feature, v, row_number() OVER (PARTITION BY feature ORDER BY v) AS k, count(*) OVER (PARTITION BY feature) AS n FROM a),
+e AS (SELECT feature, list_distinct(list(v)) AS edges FROM rn JOIN (SELECT unnest(range(1, {bins})) AS b) s
+  ON k = (b * n + {bins - 1}) // {bins} GROUP BY feature),
+x AS (SELECT feature, label, len(list_filter(edges, lambda e: v >= e)) AS bin FROM a JOIN e USING (feature)),
+n AS (SELECT feature, bin, label, count(*) AS c FROM x GROUP BY ALL),
+m AS (SELECT *, sum(c) OVER (PARTITION BY feature, bin) AS rt, sum(c) OVER (PARTITION BY feature, label) AS ct,
+        sum(c) OVER (PARTITION BY feature) AS t FROM n)
+SELECT feature, round(greatest(sum(c / t * ln(c::DOUBLE * t / (rt * ct))), 0.0), 6) AS mi FROM m GROUP BY feature"""
+
+
 def correlation_query() -> str:
     pairs = [(a, b) for i, a in enumerate(COLUMNS) for b in COLUMNS[i + 1:]]
     each = " UNION ALL ".join(
@@ -747,7 +761,7 @@ def all_queries(names: list[str], top: int = 500) -> dict[str, str]:
         "split_stratified": f"WITH {SPLIT} SELECT row_id, label, split FROM sp",
         "split_distribution": f"WITH {SPLIT} SELECT split, label, count(*) AS n FROM sp GROUP BY ALL",
         "scale_standard": scale_query(), "scale_vectors": scale_query(), "column_subset": SUBSET,
-        "subsample_runs": subsample_query(K.STABILITY_RUNS, K.STABILITY_FRACTION), "binned_mi": binned_mi_query(),
+        "subsample_runs": subsample_query(K.STABILITY_RUNS, K.STABILITY_FRACTION), "binned_mi": binned_mi_query(), "quantile_mi": quantile_mi_query(),
         "correlation_pairs": correlation_query(), "merged_rank": merged_query(),
         "greedy_prune": greedy_query(), "boost_stump": stump_query(["discount", "tax", "line"]),
         "l1_residual_given": l1_given_query(), "l1_residual_fit": l1_fit_query(),
