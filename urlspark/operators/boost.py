@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from urlspark import constants as K
 from urlspark.functions import focal
-from urlspark.session import cut_lineage, scratch_path
+from urlspark.session import cut_lineage, remove_folder, scratch_path
 
 TREE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, leaf int, value double, cover double"
@@ -457,6 +457,7 @@ def fit_focal_boost(train: DataFrame, rounds: int = K.BOOST_ROUNDS, vector: str
     finally:
         for df in (*retired, frame):
             df.unpersist()
+        remove_folder(own, path)
     return Ensemble(pd.DataFrame(rows, columns=[c.split()[0] for c in TREE_SCHEMA.split(", ")]))
 
 

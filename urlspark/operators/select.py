@@ -17,7 +17,7 @@ from urlspark.operators.l1 import fit_l1
 from urlspark.operators.quantiles import quantile_edges
 from urlspark.operators.scale import pick_columns
 from urlspark.operators.split import order_hash, subsample_cuts
-from urlspark.session import scratch_path
+from urlspark.session import remove_folder, scratch_path
 
 
 def stability_selection(train: DataFrame, runs: int = K.STABILITY_RUNS, fraction: float = K.STABILITY_FRACTION,
@@ -118,9 +118,9 @@ class _Products:
 
     def __init__(self, df: DataFrame, vector: str, width: int):
         rows = df.select(F.lit(0).alias("y"), vector).where(F.col(vector).isNotNull())
-        path = scratch_path(df.sparkSession, "correlation-blocks")
-        row_blocks(rows, "y", vector, F.lit(1).cast("long")).write.parquet(path)
-        self.blocks = df.sparkSession.read.schema(BLOCK_SCHEMA).parquet(path)
+        self.path = scratch_path(df.sparkSession, "correlation-blocks")
+        row_blocks(rows, "y", vector, F.lit(1).cast("long")).write.parquet(self.path)
+        self.blocks = df.sparkSession.read.schema(BLOCK_SCHEMA).parquet(self.path)
         self.width = width
         self.means, deviations, _ = moments(self.blocks, width, False)
         n = self.blocks.agg(F.sum("n")).first()[0] or 0
@@ -194,6 +194,7 @@ def prune_correlated(df: DataFrame, width: int, threshold: float = K.CORRELATION
             if len(kept) < limit and (not taken or max(0.0, r[i, taken].max()) < threshold):
                 taken.append(len(right) - len(candidates) + i)
                 kept.append(candidate)
+    remove_folder(df.sparkSession, products.path)
     return kept
 
 

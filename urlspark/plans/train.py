@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlspark import constants as K
-from urlspark.operators.boost import fit_focal_boost, predict
+from urlspark.operators.boost import Ensemble, fit_focal_boost, predict
 from urlspark.operators.features import DISPLAY_NAMES, FEATURES
 from urlspark.operators.metrics import binary_metrics, roc_auc
 from urlspark.operators.ngrams import (
@@ -22,8 +22,9 @@ from urlspark.operators.split import stratified_split
 from urlspark.operators.suffix import SuffixRules
 from urlspark.plans.frames import extract_features, feature_names
 from urlspark.plans.scoring import Scorer
-from urlspark.session import scratch_path
-from urlspark.sources.artifacts import write_artifacts, write_metrics
+from urlspark.plans.stages import Stages, job_fingerprint
+from urlspark.session import remove_folder, scratch_path
+from urlspark.sources.artifacts import read_artifacts, write_artifacts, write_metrics
 
 
 @dataclass
@@ -81,6 +82,9 @@ def train(urls: DataFrame, settings: Settings | None = None, label: str = "phish
     """Fit on (row_id, url, phishing). Writes metrics and artifacts below ``folder`` when given.
 
     URLs that cannot be decomposed and rows without a label are set aside first, with a reason, and take part in no step.
+    With a folder, every stage leaves its table in ``folder/_stages`` until the run has ended well; a run of the same
+    settings on the same rows goes on after the last finished stage of one that failed. Without one the stages' tables
+    stay in the checkpoint folder, as the results read them.
     """
     s = settings or Settings()
     spark = urls.sparkSession
@@ -88,37 +92,44 @@ def train(urls: DataFrame, settings: Settings | None = None, label: str = "phish
     reason = F.coalesce("feature_error", F.when(F.col("label").isNull(), "no_label"))
     rejected = parsed.withColumn("feature_error", reason).filter(F.col("feature_error").isNotNull()).select(
         key, "url", "feature_error")
-    usable = parsed.filter(F.col("feature_error").isNull() & F.col("label").isNotNull()).select(key, "url", "label")
+
+    if folder:
+        base = f"{folder.rstrip('/')}/_stages"
+        inputs = [urls.select(key, "url", label), *([rules.as_table(spark)] if rules else [])]
+        stages = Stages(spark, f"{base}/{job_fingerprint({**asdict(s), 'label': label, 'key': key}, *inputs)}")
+    else:
+        base, stages = None, Stages(spark, scratch_path(spark, "train"))
 
     # Written once: finding the cuts then reads only key and label, and keys cannot change between scans.
-    usable_at = scratch_path(spark, "usable")
-    usable.write.parquet(usable_at)
-    usable = spark.read.parquet(usable_at)
+    usable = stages.table("usable", lambda: parsed.filter(
+        F.col("feature_error").isNull() & F.col("label").isNotNull()).select(key, "url", "label"))
     # The split is reused by every later step: written once, then read per part.
-    split_at = scratch_path(spark, "split")
-    stratified_split(usable, "label", key).write.partitionBy("split").parquet(split_at)
-    parts = {p: spark.read.parquet(split_at).filter(F.col("split") == p).drop("split") for p in ("train", "val", "test")}
+    everything = stages.table("split", lambda: stratified_split(usable, "label", key), "split")
+    parts = {p: everything.filter(F.col("split") == p).drop("split") for p in ("train", "val", "test")}
 
-    grams = select_ngrams(parts["train"], "url", "label", key, s.gram_count, s.gram_min_df, s.max_iter)
-    gram_validation = validate_ngrams(parts["train"], parts["val"], grams, "url", "label", key, s.max_iter)
+    grams = stages.table("grams", lambda: select_ngrams(
+        parts["train"], "url", "label", key, s.gram_count, s.gram_min_df, s.max_iter))
+    gram_validation = stages.table("gram_validation", lambda: validate_ngrams(
+        parts["train"], parts["val"], grams, "url", "label", key, s.max_iter))
 
-    frames_at = scratch_path(spark, "features")
-    everything = spark.read.parquet(split_at)
-    frame = extract_features(everything, grams, keep=(key, "label", "split"), rules=rules)
-    frame.select(key, "label", "split", "features").write.partitionBy("split").parquet(frames_at)
-    frames = {p: spark.read.parquet(frames_at).filter(F.col("split") == p).drop("split") for p in ("train", "test")}
+    whole = stages.table("features", lambda: extract_features(
+        everything, grams, keep=(key, "label", "split"), rules=rules).select(key, "label", "split", "features"), "split")
+    frames = {p: whole.filter(F.col("split") == p).drop("split") for p in ("train", "test")}
 
     names = feature_names(grams)
-    information = feature_information(frames["train"], parts["train"], grams, "label", key)
-    selected = select_features(
+    information = stages.table("information", lambda: feature_information(frames["train"], parts["train"], grams, "label", key))
+    selection = stages.table("selection", lambda: spark.createDataFrame(list(enumerate(select_features(
         frames["train"], names, information, key=key, runs=s.stability_runs, trees=s.importance_trees,
         correlation_threshold=s.correlation_threshold, limit=s.max_features, max_iter=s.max_iter,
         depth=s.importance_depth,
-    )
+    ))), "position int, idx int"))
+    selected = [r.idx for r in selection.orderBy("position").collect()]  # features, not rows
     picked = {p: pick_columns(f, selected, "features", "picked").select(key, "label", "picked") for p, f in frames.items()}
-    scaler = fit_vector_scaler(picked["train"], picked["train"].count(), len(selected), "picked", "scaled")
+    scaler = stages.model("scaler", lambda: fit_vector_scaler(
+        picked["train"], picked["train"].count(), len(selected), "picked", "scaled"))
     scaled = {p: scaler.transform(f).select(key, "label", "scaled") for p, f in picked.items()}
-    trees = fit_focal_boost(scaled["train"], s.rounds, "scaled", "label", s.gamma, s.alpha, **s.boost)
+    trees = Ensemble.from_table(stages.table("trees", lambda: fit_focal_boost(
+        scaled["train"], s.rounds, "scaled", "label", s.gamma, s.alpha, **s.boost).table(spark)))
 
     scorer = Scorer(grams, selected, scaler, trees, [names[i] for i in selected], rules)
     predictions = predict(scaled["test"], trees, "scaled").drop("scaled")
@@ -127,10 +138,15 @@ def train(urls: DataFrame, settings: Settings | None = None, label: str = "phish
         [(*one, auc.auc)], "accuracy double, precision double, recall double, f1 double, auc double"
     )
     fit = Fit(scorer, metrics, gram_validation, rejected, predictions, picked["train"], scaled["test"])
-    if folder:
-        write_metrics(metrics, f"{folder.rstrip('/')}/results")
-        write_artifacts(folder, artifact_tables(fit, names, key))
-    return fit
+    if not folder:
+        return fit
+    write_metrics(metrics, f"{folder.rstrip('/')}/results")
+    write_artifacts(folder, artifact_tables(fit, names, key))
+    validation = spark.createDataFrame([tuple(gram_validation.first())], gram_validation.schema)
+    saved = read_artifacts(spark, folder)
+    remove_folder(spark, base)
+    scorer = Scorer(saved["ngrams"], selected, saved["scaler"], trees, scorer.names, rules)
+    return Fit(scorer, metrics, validation, rejected, saved["predictions"], saved["train_features"], saved["test_features"])
 
 
 def artifact_tables(fit: Fit, names: list[str], key: str = "row_id") -> dict:

@@ -21,9 +21,10 @@ from urlspark.operators.parse import PARTS, parse_urls, quarantine, split_host_n
 from urlspark.operators.scale import apply_scaler, fit_scaler, fit_vector_scaler, pick_columns
 from urlspark.plans.frames import extract_features
 from urlspark.plans.scoring import Scorer, score_urls
+from urlspark.plans.train import Settings, train
 from urlspark.session import BROADCAST_ROWS, cut_lineage, scratch_path
 from urlspark.sources.artifacts import metric_lines
-from urlspark.streaming.score import read_url_stream, write_stream
+from urlspark.streaming.score import read_batches, read_url_stream, score_batches, write_stream
 from workload import data
 from workload.data import NUMERIC
 
@@ -431,6 +432,26 @@ def url_scores(spark, sf):
     return rounded(scored.select("row_id", F.col("feature_error").isNotNull().alias("rejected"), "prob_1", "prediction"))
 
 
+def url_scores_stream(spark, sf):
+    """The same as a stream of the pages that is stopped and started again."""
+    same = PipelineModel([ElementwiseProduct(
+        scalingVec=Vectors.dense([1.0] * len(FEATURES)), inputCol="picked", outputCol="scaled")])
+    scorer = Scorer(None, list(range(len(FEATURES))), same, given_trees(data.GIVEN_URL_TREES, FEATURES), FEATURES)
+    out = scratch_path(spark, "scored")
+    for _ in range(2):
+        pages = read_url_stream(spark, sf, data.table(spark, sf, "pages").select("page_id", "url").schema, "pages.parquet")
+        score_batches(data.make_variants(pages), scorer, f"{out}/rows", f"{out}/state").awaitTermination()
+    scored = read_batches(spark, f"{out}/rows")
+    return rounded(scored.select("row_id", F.col("feature_error").isNotNull().alias("rejected"), "prob_1", "prediction"))
+
+
+def train_run(spark, sf):
+    """Test metrics of a whole run on every URL variant, with sizes far below the defaults, as stated here."""
+    sizes = Settings(gram_count=40, stability_runs=4, importance_trees=2, importance_depth=2, rounds=3, max_iter=30, max_features=30)
+    urls = data.url_variants(spark, sf).select("row_id", "url", "phishing")
+    return train(urls, sizes, folder=scratch_path(spark, "train-run")).metrics
+
+
 def tree_contribution_summary(spark, sf):
     """The summary of the same."""
     return rounded(explain.contribution_summary(_tree_contributions(spark, sf)))
@@ -548,7 +569,8 @@ QUERIES = {
     "stability_frequency": stability_frequency, "l1_residual_given": l1_residual_given, "l1_residual_fit": l1_residual_fit,
      "tree_gain": tree_gain, "greedy_prune": greedy_prune,
     "focal_grad_hess": focal_grad_hess, "predict_class": predict_class,
-    "boost_stump": boost_stump, "boost_second_level": boost_second_level, "tree_scores": tree_scores, "url_scores": url_scores, "tree_contributions": tree_contributions,
+    "boost_stump": boost_stump, "boost_second_level": boost_second_level, "tree_scores": tree_scores, "url_scores": url_scores,
+    "url_scores_stream": url_scores_stream, "train_run": train_run, "tree_contributions": tree_contributions,
     "tree_contribution_summary": tree_contribution_summary,
     "focal_boost_scores": focal_boost_scores, "model_trees": model_trees, "model_scores": model_scores,
     "binary_metrics": binary_metrics, "roc_auc": roc_auc, "weighted_f1": weighted_f1, "metrics_text": metrics_text,

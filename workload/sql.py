@@ -766,7 +766,7 @@ def all_queries(names: list[str], top: int = 500) -> dict[str, str]:
         "greedy_prune": greedy_query(), "boost_stump": stump_query(["discount", "tax", "line"]),
         "l1_residual_given": l1_given_query(), "l1_residual_fit": l1_fit_query(),
         "boost_second_level": second_query(["discount", "tax", "line"]),
-        "tree_scores": tree_scores_query(), "url_scores": url_scores_query(), "tree_contributions": tree_contributions_query(),
+        "tree_scores": tree_scores_query(), "url_scores": url_scores_query(), "url_scores_stream": url_scores_query(), "tree_contributions": tree_contributions_query(),
         "tree_contribution_summary": tree_summary_query(), "focal_grad_hess": focal_query(), "predict_class": PREDICT,
         "binary_metrics": METRICS, "roc_auc": AUC, "weighted_f1": WEIGHTED,
         "metrics_text": METRIC_TEXT.format(inner=METRICS),
