@@ -78,6 +78,25 @@ def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(bounded, schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches put together up to ``limit`` bytes, for work that lists what is different in each."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.chunk(0) for c in table.columns], table.schema.names)
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held and sum(b.nbytes for b in held) + batch.nbytes > limit:
+            yield whole()
+            held = []
+        held.append(batch)
+    if held:
+        yield whole()
+
+
 def place(df: DataFrame, name: str) -> int:
     """Where a column stands: the one of exactly that name, else the one that differs in case only."""
     exact = [i for i, c in enumerate(df.columns) if c == name] or [

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urlspark.llm.common import codes, column, find_packages, map_batches, slices, texts, words, written
+from urlspark.llm.common import codes, column, find_packages, gathered, map_batches, slices, texts, words, written
 
 CHUNK_WORDS = 3_000_000  # words whose different ones are listed once; texts are never cut
 SMOOTHING = 0.5  # added to the count of every piece
@@ -111,7 +111,7 @@ def _chunks(docs: DataFrame, key: str, text: str, held: Column) -> DataFrame:
     ])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, 8 * CHUNK_WORDS):
             strings, keys = pc.ascii_lower(texts(batch)), column(batch, "key")
             away = column(batch, "held").to_numpy(zero_copy_only=False).astype(bool)
             sizes = pc.binary_length(strings).to_numpy(zero_copy_only=False) // 6 + 1

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from urlspark.llm.common import codes, column, map_batches, slices, texts, utf8, words
+from urlspark.llm.common import codes, column, gathered, map_batches, slices, texts, utf8, words
 
 # fixed values of the format: ids per word and bits per id, by selector; the last one points to an exception
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1], np.int32)
@@ -279,7 +279,7 @@ def write_tokens(docs: DataFrame, settings: str, path: str, end_id: int, key: st
                  pa.array([make_page(keys, lengths, ids)], pa.binary())],
                 ["part", "page", "part_start", "n_texts", "n_ids", "payload"])
 
-        for batch in batches:
+        for batch in gathered(batches, ENCODE_BYTES):
             strings = texts(batch)
             keys = pc.fill_null(column(batch, "key"), NULL_KEY).to_numpy(zero_copy_only=False)
             for a, b in slices(np.diff(utf8(strings)[1]), ENCODE_BYTES):
