@@ -8,11 +8,16 @@ the number of texts, so a gram found in every row is no hot key.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from urlspark import constants as K
 from urlspark.functions import text as X
@@ -123,19 +128,28 @@ def gram_vectors(df: DataFrame, grams: DataFrame, text: str = "url", keep: tuple
     hits = lookup_join(counts, grams.select("gram", "idx"), ["gram"], "inner", max_rows)
     slots = hits.groupBy("_text_key").agg(F.sort_array(F.collect_list(F.struct("idx", "tf"))).alias("_slots"))
     full = df.join(slots, df[text] == slots["_text_key"], "left")
-    return full.select(*[df[c] for c in keep], _sparse(size)(F.col("_slots.idx"), F.col("_slots.tf")).alias("vector"))
-
-
-def _sparse(size: int):
-    """Sparse vectors from slots and counts, in Arrow batches."""
-    from pyspark.ml.linalg import Vectors, VectorUDT
-
-    def build(idx, tf):
-        if idx is None or not len(idx):
-            return Vectors.sparse(size, [], [])
-        return Vectors.sparse(size, [int(i) for i in idx], [float(v) for v in tf])
-
-    return F.udf(build, VectorUDT(), useArrow=True)
+    staged = full.select(*[df[c] for c in keep], F.col("_slots.idx").alias("_idx"), F.col("_slots.tf").alias("_tf"))
+    return _sparse(staged, size)
+
+
+def _sparse(staged: DataFrame, size: int) -> DataFrame:
+    """The last two columns, slots and counts (null: none), as one column of sparse vectors: whole Arrow arrays at a time."""
+    def build(batches):
+        for batch in batches:
+            slots, counts = batch.columns[-2:]
+            sizes = pc.fill_null(pc.list_value_length(slots), 0).to_numpy(zero_copy_only=False)
+            ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            n = len(batch)
+            vectors = pa.StructArray.from_arrays(
+                [pa.array(np.zeros(n), pa.int8()), pa.array(np.full(n, size), pa.int32()),
+                 pa.ListArray.from_arrays(ends, slots.flatten().cast(pa.int32())),
+                 pa.ListArray.from_arrays(ends, counts.flatten().cast(pa.float64()))],
+                names=["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], vectors], names)
+
+    names = [*staged.columns[:-2], "vector"]
+    schema = T.StructType([*staged.schema.fields[:-2], T.StructField("vector", VectorUDT())])
+    return staged.mapInArrow(build, schema)
 
 
 def number_grams(vocab: DataFrame) -> DataFrame:
