@@ -78,8 +78,8 @@ def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(bounded, schema)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive batches put together up to ``limit`` bytes, for work that lists what is different in each."""
+def gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches put together to ``least`` bytes or little more, for work that lists what is different in each."""
     held: list[pa.RecordBatch] = []
 
     def whole() -> pa.RecordBatch:
@@ -87,12 +87,11 @@ def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Recor
         return pa.RecordBatch.from_arrays([c.chunk(0) for c in table.columns], table.schema.names)
 
     for batch in batches:
-        if not len(batch):
-            continue
-        if held and sum(b.nbytes for b in held) + batch.nbytes > limit:
+        if len(batch):
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= least:
             yield whole()
             held = []
-        held.append(batch)
     if held:
         yield whole()
 
