@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 from collections import defaultdict
@@ -19,30 +20,54 @@ def brute(urls):
         rule, verdict = max(fits, key=lambda f: len(f[0]), default=(None, None))
         shape = [("*" + "".join(re.findall(r"\.[A-Za-z]+$", s))) if re.search("[0-9]", s) else s for s in path.split("/")]
         rows.append((host, path, rule, verdict, shape))
-    nodes, templates, shapes = defaultdict(list), defaultdict(list), defaultdict(list)
-    for h, _, _, v, s in rows:
-        for d in range(1, min(len(s), 7) + 1):
-            nodes[h, d, "/".join(s[:d])].append(v)
-
-    def mark(vs):
-        known = [v for v in vs if v]
-        if len(vs) < 5:
-            return "*"
-        return "?" if not known else str(min(int(5 * ((known.count("block") + 1) / (len(known) + 2))), 4))
-
-    names = ["/".join(mark(nodes[h, d, "/".join(s[:d])]) for d in range(1, min(len(s), 7) + 1)) for h, _, _, _, s in rows]
-    for (h, _, _, v, s), t in zip(rows, names):
-        templates[h, t].append(v)
-        shapes["/".join(s)].append(v)
-    known = [r[3] for r in rows if r[3]]
-    overall = (known.count("block") + 1) / (len(known) + 2) if known else 0.0
+    segs = [tuple(r[4]) for r in rows]
+    below = defaultdict(list)
+    for (h, *_), s in zip(rows, segs):
+        for d, name in enumerate(s):
+            if name and not name.startswith("*"):
+                below[h, s[:d]].append(name)
+    varied = {k for k, names in below.items() if len(set(names)) >= 20 and len(names) < 5 * len(set(names))}
+    segs = [tuple("*" + "".join(re.findall(r"\.[A-Za-z]+$", x)) if (r[0], s[:d]) in varied and x and x[0] != "*" else x
+                  for d, x in enumerate(s)) for r, s in zip(rows, segs)]
+
+    def counts(paths):
+        got = defaultdict(lambda: [0, 0])
+        for (h, _, _, v, _), s in zip(rows, paths):
+            for d in range(len(s)):
+                got[h, s[:d + 1]][0] += v == "block"
+                got[h, s[:d + 1]][1] += v is not None
+        return got
 
-    def share(vs, prior):
-        got = [v for v in vs if v]
-        return (got.count("block") + 10.0 * prior) / (len(got) + 10.0)
+    nodes, families = counts(segs), defaultdict(lambda: [0, 0])
+    for (h, s), (b, n) in nodes.items():
+        families[h, s[:-1]][0] += b
+        families[h, s[:-1]][1] += n
 
-    return [(h, p, r, v or ("block" if share(templates[h, t], share(shapes["/".join(s)], overall)) > 0.5 else "allow"))
-            for (h, p, r, v, s), t in zip(rows, names)]
+    def alone(h, s):
+        b, n = nodes[h, s]
+        c, m = families[h, s[:-1]][0] - b, families[h, s[:-1]][1] - n
+        if not n or not m:
+            return False
+        b, n, c, m = b + 1, n + 2, c + 1, m + 2
+        pooled = (b + c) / (n + m)
+        return (b / n - c / m) ** 2 / (pooled * (1 - pooled) * (1 / n + 1 / m)) > 3.84
+
+    kept = {k: k[1][-1] if alone(*k) else "~" for k in nodes}
+    marks = [("",) + tuple(kept[r[0], s[:d + 1]] for d in range(1, len(s))) for r, s in zip(rows, segs)]
+    templates, forms = counts(marks), defaultdict(list)
+    for r in rows:
+        forms["/".join(r[4])].append(r[3])
+    known = [r[3] for r in rows if r[3]]
+    share = (known.count("block") + 1) / (len(known) + 2) if known else 0.0
+    found = []
+    for (h, p, r, v, s), m in zip(rows, marks):
+        got = [x for x in forms["/".join(s)] if x]
+        now = (got.count("block") + 10 * share) / (len(got) + 10)
+        for d in range(len(m)):
+            b, n = templates[h, m[:d + 1]]
+            now = (b + 10 * now) / (n + 10)
+        found.append((h, p, r, v or ("block" if now > 0.5 else "allow")))
+    return found
 
 
 def test_brute_force(spark):
@@ -50,13 +75,64 @@ def test_brute_force(spark):
     urls = URLS * 2
     for _ in range(600):
         host = rng.choice(["www.", "m.", ""]) + rng.choice(["example.com", "b.net", "c.org", "d.org"])
-        urls.append(f"http://{host}/{rng.choice(['en', 'es', 'fr', 'de', 'x1'])}/{rng.choice(['7', '8.html', 'about', ''])}")
+        name = "".join(rng.choices("abcdefgh", k=4)) + rng.choice(["", ".php"])  # many different ones
+        last = rng.choice(["7", "8.html", "about", "", name, name + "/more"])
+        urls.append(f"http://{host}/{rng.choice(['en', 'es', 'fr', 'de', 'x1'])}/{last}")
     rows = [(i, u, "h", "p") for i, u in enumerate(urls)]
     pages = spark.createDataFrame(rows, "page_id int, url string, host string, shape string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in U.judge_urls(pages).collect()}
     assert [got[i] for i in range(len(urls))] == brute(urls)
 
 
+def judged(spark, urls, rules):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    return [(r["verdict"], r["template"], r["elsewhere"])
+            for r in U.judge_urls(pages, rules=rules).orderBy("page_id").collect()]
+
+
+def test_the_tree_alone_decides(spark):
+    """One shape on all hosts, whose share elsewhere says allow; the host's branches say what is blocked."""
+    rules = [("a.org", "/shop/x/", "block"), ("a.org", "/news/", "allow"), ("b.org", "/", "allow")]
+    urls = [f"http://a.org/shop/x/{i}" for i in range(40)] + [f"http://a.org/news/{i}" for i in range(40)]
+    urls += [f"http://b.org/shop/{i}" for i in range(60)]
+    got = judged(spark, [*urls, "http://a.org/shop/9", "http://a.org/shop/y/9", "http://a.org/9", "http://c.org/shop/9"], rules)[-4:]
+    assert [g[0] for g in got] == ["block", "block", "allow", "allow"]
+    assert got[0][1] == "/shop/~" and got[0][2] < 0.5 and got[1][2] < 0.5
+
+
+def test_similar_branches_merge_and_others_do_not(spark):
+    """Shares of 0 and 1 in 5 can't be told apart, 0.2 and 0.39 of 4,000 can; unlabelled branches join the merged one."""
+    def share(h, n, per_mille):
+        return [f"http://{h}/{'bad' if i % 1000 < per_mille else 'ok'}/{i}" for i in range(n)]
+
+    few = [f"http://f.org/p/ok/{i}" for i in range(5)] + [f"http://f.org/q/ok/{i}" for i in range(4)] + ["http://f.org/q/bad/1"]
+    many = [u.replace("g.org/", "g.org/p/") for u in share("g.org", 4000, 200)]
+    many += [u.replace("g.org/", "g.org/q/") for u in share("g.org", 4000, 390)] + ["http://g.org/r/none/1"]
+    rules = [(h, f"/{p}/{kind}/", v) for h in ("f.org", "g.org") for p in "pq" for kind, v in (("bad", "block"), ("ok", "allow"))]
+    asked = ["http://f.org/p/n/1", "http://f.org/q/n/1", "http://g.org/p/n/1", "http://g.org/q/n/1"]
+    got = [g[1] for g in judged(spark, few + many + asked, rules)]
+    assert got[-4:] == ["/~/~/~", "/~/~/~", "/p/~/~", "/q/~/~"] and got[-5] == "/~/~/~"
+
+
+def test_branches_that_differ_only_far_below(spark):
+    """No depth ends the tree: 30 equal levels, then one blocked and one allowed branch."""
+    deep = "http://d.org/" + "/".join("abcdefghijklmnopqrstuvwxyzabcd") + "/"
+    path = deep[len("http://d.org"):]
+    rules = [("d.org", path + "bad/k/", "block"), ("d.org", path + "ok/k/", "allow")]
+    urls = [f"{deep}{kind}/k/{i}" for kind in ("bad", "ok") for i in range(30)]
+    got = judged(spark, [*urls, deep + "bad/n", deep + "ok/n", deep + "bad/n"], rules)[-3:]
+    assert [g[0] for g in got] == ["block", "allow", "block"]
+
+
+def test_many_different_segments_are_a_wildcard(spark):
+    names = ["".join(c) for c in itertools.product("abcde", repeat=2)]
+    rules = [("w.org", "/u/", "block"), ("v.org", "/", "allow")]
+    urls = [f"http://w.org/u/{n}/pics" for n in names] + [f"http://w.org/{n}.htm" for n in names] + ["http://v.org/"] * 20
+    got = judged(spark, urls, rules)
+    assert {g[0] for g in got[:25]} == {"block"} and len({g[1] for g in got[25:50]}) == 1
+    assert len({g[0] for g in got[25:50]}) == 1
+
+
 def test_no_python_and_no_rows(spark, capsys):
     pages = spark.createDataFrame([(1, "http://o.org/a")], "page_id int, url string")
     judged = U.judge_urls(pages)

@@ -63,7 +63,7 @@ def op9_pii(spark, sf_dir):
 
 
 def op10_url_templates(spark, sf_dir):
-    return urltree.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("template")
+    return urltree.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("template", "elsewhere")
 
 
 def op11_importance_resampling(spark, sf_dir):

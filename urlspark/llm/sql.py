@@ -93,33 +93,64 @@ labelled AS (
         CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS v
     FROM rows_
 ),
-branches AS (
-    SELECT page_id, host, shape, v, depth, array_to_string(segs[1:depth], '/') AS branch
-    FROM (SELECT *, unnest(range(1, least(len(segs), 7) + 1)) AS depth FROM labelled)
+levels AS (
+    SELECT page_id, host, v, depth, segs[depth] AS seg, array_to_string(segs[1:depth - 1], '/') AS up
+    FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS depth FROM labelled)
+),
+variable AS (
+    SELECT host, depth, up FROM levels WHERE seg <> '' AND seg NOT LIKE '*%'
+    GROUP BY ALL HAVING count(DISTINCT seg) >= 20 AND count(*) < 5 * count(DISTINCT seg)
+),
+general AS (
+    SELECT page_id, list(CASE WHEN x.host IS NOT NULL AND seg <> '' AND seg NOT LIKE '*%'
+        THEN '*' || regexp_extract(seg, '(\.[A-Za-z]+)$', 1) ELSE seg END ORDER BY l.depth) AS g
+    FROM levels l LEFT JOIN variable x ON l.host = x.host AND l.depth = x.depth AND l.up = x.up GROUP BY page_id
+),
+tree AS (
+    SELECT page_id, host, v, depth, g[depth] AS seg, array_to_string(g[1:depth - 1], '/') AS up
+    FROM (SELECT *, unnest(range(1, len(g) + 1)) AS depth FROM general JOIN labelled USING (page_id))
+),
+nodes AS (
+    SELECT host, depth, up, seg, (count(*) FILTER (v = 'block'))::DOUBLE AS b, count(v)::DOUBLE AS n FROM tree GROUP BY ALL
+),
+siblings AS (
+    SELECT *, sum(b) OVER family - b AS c, sum(n) OVER family - n AS m FROM nodes WINDOW family AS (PARTITION BY host, depth, up)
+),
+tested AS (
+    SELECT host, depth, up, seg, depth > 1 AND n > 0 AND m > 0
+        AND ((b + 1) * (m + 2) - (c + 1) * (n + 2)) * ((b + 1) * (m + 2) - (c + 1) * (n + 2)) * (n + m + 4)
+            > 3.84::DOUBLE * ((n + 2) * (m + 2) * (b + c + 2) * (n + m + 2 - b - c)) AS alone
+    FROM siblings
 ),
 marks AS (
-    SELECT host, depth, branch, CASE WHEN count(*) < 5 THEN '*' WHEN count(v) = 0 THEN '?'
-        ELSE CAST(CAST(least(floor(5 * ((count(*) FILTER (v = 'block') + 1) / (count(v) + 2))), 4) AS INTEGER) AS VARCHAR)
-        END AS mark
-    FROM branches GROUP BY ALL
+    SELECT page_id, list(CASE WHEN alone THEN seg WHEN depth = 1 THEN '' ELSE '~' END ORDER BY depth) AS ms
+    FROM tree JOIN tested USING (host, depth, up, seg) GROUP BY page_id
 ),
-templates AS (
-    SELECT page_id, host, shape, v, string_agg(mark, '/' ORDER BY depth) AS template
-    FROM branches JOIN marks USING (host, depth, branch) GROUP BY ALL
+steps AS (
+    SELECT page_id, host, v, depth, array_to_string(ms[1:depth], '/') AS template
+    FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS depth FROM marks JOIN labelled USING (page_id))
+),
+counted AS (
+    SELECT page_id, list({'s': 0.0::DOUBLE, 'b': b, 'l': l} ORDER BY depth) AS path FROM (
+        SELECT page_id, depth, (count(*) FILTER (v = 'block') OVER template_)::DOUBLE AS b, (count(v) OVER template_)::DOUBLE AS l
+        FROM steps WINDOW template_ AS (PARTITION BY host, depth, template))
+    GROUP BY page_id
 ),
 overall AS (
     SELECT CASE WHEN count(v) = 0 THEN 0.0::DOUBLE ELSE (count(*) FILTER (v = 'block') + 1) / (count(v) + 2) END AS o
     FROM labelled
 ),
+priors AS (
+    SELECT page_id, (count(*) FILTER (v = 'block') OVER (PARTITION BY shape) + 10.0::DOUBLE * o)
+        / (count(v) OVER (PARTITION BY shape) + 10.0::DOUBLE) AS prior
+    FROM labelled, overall
+),
 shares AS (
-    SELECT page_id, count(*) FILTER (v = 'block') OVER (PARTITION BY host, template) AS tb,
-        count(v) OVER (PARTITION BY host, template) AS tl,
-        (count(*) FILTER (v = 'block') OVER (PARTITION BY shape) + 10.0::DOUBLE * o)
-            / (count(v) OVER (PARTITION BY shape) + 10.0::DOUBLE) AS prior
-    FROM templates, overall
+    SELECT page_id, list_reduce(list_prepend({'s': prior, 'b': 0.0::DOUBLE, 'l': 0.0::DOUBLE}, path),
+        lambda a, x: {'s': (x.b + 10.0::DOUBLE * a.s) / (x.l + 10.0::DOUBLE), 'b': 0.0::DOUBLE, 'l': 0.0::DOUBLE}).s AS share
+    FROM counted JOIN priors USING (page_id)
 )
-SELECT l.page_id, host, path, rule,
-    coalesce(v, CASE WHEN (tb + 10.0::DOUBLE * prior) / (tl + 10.0::DOUBLE) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+SELECT l.page_id, host, path, rule, coalesce(v, CASE WHEN share > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM labelled l JOIN shares USING (page_id)"""
 
 TERMS = r"regexp_extract_all({text}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')".replace("{text}", LOWERED.replace("{text}", "text"))
