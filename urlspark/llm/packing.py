@@ -14,6 +14,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -227,6 +228,12 @@ class WordTokenizer:
         return ids, np.diff(sums[starts + np.arange(len(starts))])
 
 
+@lru_cache(maxsize=1)
+def word_tokenizer(settings: str) -> WordTokenizer:
+    """The last used tokenizer of this worker, which its tasks share with the pieces that it remembers."""
+    return WordTokenizer(settings)
+
+
 def _without_marks(flat_words: pa.Array, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Words with their closing marks as words of their own, if a Latin letter stands in front of them."""
     stems = pc.ascii_rtrim(flat_words, MARKS)
@@ -265,7 +272,7 @@ def write_tokens(docs: DataFrame, settings: str, path: str, end_id: int, key: st
     dealt = pairs.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordTokenizer(sent.value), TaskContext.get().partitionId()
+        encoder, part = word_tokenizer(sent.value), TaskContext.get().partitionId()
         number, before = 0, 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
