@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from urlspark import constants as K
+from urlspark import session
 from urlspark.functions import text as X
 from urlspark.operators import suffix
 from urlspark.operators.features import FEATURES, feature_table, url_features
@@ -134,17 +135,35 @@ def test_suffix_rules(spark):
     }
     df = frame(spark, hosts)
     table = suffix.default_rules_table(spark)
-    for rules in (None, suffix.SuffixRules.from_table(table), suffix.SuffixRules.from_table(table, max_inline=3)):
+    for rules in (None, suffix.SuffixRules.from_table(table), suffix.SuffixRules.from_table(table, max_inline=3),
+                  suffix.SuffixRules.from_table(table, max_inline=3, max_broadcast=3)):
         rows = suffix.split_registrable(df, rules=rules).collect()
         assert {r.url: (r.subdomain, r.domain, r.tld) for r in rows} == hosts
 
 
-def test_big_rule_table_joins_salted(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "MAX_INLINE_RULES", 3)
-    rules = suffix.SuffixRules.from_table(suffix.default_rules_table(spark), max_inline=3)
-    df = frame(spark, ["http://a.com"] * 50 + ["http://b.co.uk", None])
-    rows = suffix.split_registrable(df, rules=rules).collect()
-    assert Counter(r.tld for r in rows) == {"com": 50, "co.uk": 1, None: 1}
+def test_rule_table_beyond_memory_joins_hosts_once(spark):
+    rules = SuffixRules.from_table(default_rules_table(spark), max_inline=3, max_broadcast=3)
+    assert not rules.broadcast
+    urls = ["http://a.com"] * 50 + ["http://b.co.uk", None, None, "1.2.3.4", "http://x.unknownsuffix", "http://[::1]/", ""]
+    df = frame(spark, urls).withColumn("tld", F.lit("of the input"))
+    split = split_registrable(df, rules=rules, known="known")
+    rows = split.collect()
+    assert split.columns == [*df.columns, "known", "domain", "subdomain"]
+    assert Counter((r.tld, r.known) for r in rows) == {("com", True): 50, ("co.uk", True): 1, (None, None): 2, ("", False): 4}
+    assert split_registrable(df.limit(0), rules=rules).count() == 0
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    asked = [line for line in plan.splitlines() if "Join" in line and "suffix#" in line]
+    assert len(asked) == 1 and "Cartesian" not in plan  # the rules meet the different hosts once
+
+
+def test_frequent_keys_are_dealt_and_nothing_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(session, "FREQUENT", 2)
+    keys = ["hot"] * 500 + [f"k{i % 50}" for i in range(300)] + [None] * 200
+    left = spark.createDataFrame(list(enumerate(keys)), "id int, key string")
+    right = left.groupBy("key").agg(F.count("*").alias("n")).withColumn("value", F.upper("key"))
+    got = session.frequent_join(left, right, "key", "n")
+    assert got.columns == ["key", "id", "value"]
+    assert sorted((r.id, r.key, r.value) for r in got.collect()) == [(i, k, k and k.upper()) for i, k in enumerate(keys)]
 
 
 def test_term_lists_have_the_expected_sizes():

@@ -3,7 +3,8 @@
 The suffix rules are a table argument ``(suffix, is_wildcard, is_exception)``; a default of
 common suffixes is built in. Up to a checked number of rules they travel inside the plan as
 hash sets, so the split is a plain projection: no join, no shuffle, usable on streams.
-A larger table is broadcast up to a second limit and beyond that joined, salted on the (very skewed) suffix.
+A larger table is broadcast up to a second limit. Beyond that the different hosts are joined with it once, salted on the
+(very skewed) suffix, and URLs get their host's suffix; streams are joined label by label.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from urlspark import constants as K
 from urlspark.functions.url import lookup_host
-from urlspark.session import fits_broadcast, salted_join
+from urlspark.session import BROADCAST_ROWS, fits_broadcast, frequent_join, salted_join
 
 MAX_INLINE_RULES = 20_000
 _OCTET = r"(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -39,7 +40,7 @@ class SuffixRules:
         return SuffixRules(_depth(plain, K.WILDCARD_SUFFIXES), plain, K.WILDCARD_SUFFIXES, K.EXCEPTION_SUFFIXES)
 
     @staticmethod
-    def from_table(rules: DataFrame, max_inline: int = MAX_INLINE_RULES) -> "SuffixRules":
+    def from_table(rules: DataFrame, max_inline: int = MAX_INLINE_RULES, max_broadcast: int = BROADCAST_ROWS) -> "SuffixRules":
         flags = rules.groupBy(F.lower("suffix").alias("suffix")).agg(
             F.bool_or(~F.col("is_wildcard") & ~F.col("is_exception")).alias("is_plain"),
             F.bool_or("is_wildcard").alias("is_wildcard"),
@@ -54,7 +55,7 @@ class SuffixRules:
         labels = F.size(F.split("suffix", r"\.")) + F.col("is_wildcard").cast("int")
         # Read once per rule set: the split asks it once per label of a host.
         flags = flags.persist()
-        return SuffixRules(flags.agg(F.max(labels)).first()[0], table=flags, broadcast=fits_broadcast(flags))
+        return SuffixRules(flags.agg(F.max(labels)).first()[0], table=flags, broadcast=fits_broadcast(flags, max_broadcast))
 
     def as_table(self, spark: SparkSession) -> DataFrame:
         """The rules in the form that ``from_table`` takes."""
@@ -112,6 +113,24 @@ def _choose(host: Column, tails: dict[int, Column], plain, wildcard, exception)
     return out.when(host.isNotNull(), F.lit(""))
 
 
+def _host_suffixes(hosts: DataFrame, host: str, rules: SuffixRules, out: str) -> DataFrame:
+    """``hosts`` (unique) with the longest suffix that a rule gives, null without one: one join of their tails."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    named = hosts.where(~(F.col(host).rlike(IPV4) | F.startswith(host, F.lit("[")))).select(host, labels.alias("_labels"))
+    tails = named.select("*", F.explode(F.sequence(F.lit(1), F.least("_labels", F.lit(rules.depth + 1)))).alias("_k"))
+    tails = tails.withColumn("suffix", F.expr(f"substring_index(`{host}`, '.', -_k)"))
+    k = F.col("_k")
+
+    def gives(flag: str, at: Column, exception: int, length: Column) -> Column:
+        fits = F.col(flag) & (F.col("_labels") >= at)
+        return F.when(fits, F.struct(at.alias("at"), F.lit(exception).alias("exception"), length.alias("length")))
+
+    best = F.greatest(gives("is_plain", k, 0, k), gives("is_wildcard", k + 1, 0, k + 1), gives("is_exception", k, 1, k - 1))
+    chosen = salted_join(tails, rules.table, ["suffix"], "inner").groupBy(host).agg(F.max(best).alias("_best"))
+    given = chosen.select(host, F.expr(f"substring_index(`{host}`, '.', -_best.length)").alias(out))
+    return hosts.join(given, host, "left")
+
+
 def with_suffix(df: DataFrame, host: str, out: str, rules: SuffixRules) -> DataFrame:
     """Add column ``out``: the public suffix of ``host`` ('' when unknown or an IP address)."""
     depth = rules.depth + 1  # an exception name is one label longer than its suffix
@@ -123,6 +142,11 @@ def with_suffix(df: DataFrame, host: str, out: str, rules: SuffixRules) -> DataF
         return df.withColumn(
             out, _choose(F.col(host), tails, among(rules.plain), among(rules.wildcard), among(rules.exception))
         )
+    if not rules.broadcast and not df.isStreaming:
+        hosts = df.groupBy(F.col(host).alias(host)).agg(F.count("*").alias("_rows"))
+        found = frequent_join(df, _host_suffixes(hosts, host, rules, "_suffix"), host, "_rows")
+        found = found.withColumn(out, F.when(F.col(host).isNotNull(), F.coalesce("_suffix", F.lit(""))))
+        return found.select(*dict.fromkeys([*df.columns, out]))
     joined = df
     for k in range(1, depth + 1):
         flags = rules.table.select(
@@ -142,11 +166,16 @@ def with_suffix(df: DataFrame, host: str, out: str, rules: SuffixRules) -> DataF
     return joined.withColumn(out, chosen).select(*df.columns, out)
 
 
-def split_registrable(df: DataFrame, url: str = "url", rules: SuffixRules | None = None) -> DataFrame:
-    """Add subdomain, domain and tld of the URL's host (lower-cased)."""
+def split_registrable(df: DataFrame, url: str = "url", rules: SuffixRules | None = None, known: str | None = None) -> DataFrame:
+    """Add subdomain, domain and tld of the URL's host (lower-cased), and as ``known`` whether a rule gave the tld.
+
+    ``known`` is false for IP addresses and unknown suffixes, null for null URLs.
+    """
     rules = rules or SuffixRules.default()
     out = with_suffix(df.withColumn("_host", lookup_host(F.col(url))), "_host", "tld", rules)
     host, tld = F.col("_host"), F.col("tld")
+    if known:
+        out = out.withColumn(known, tld != "")
     whole = host.rlike(IPV4) | host.startswith("[")
     out = out.withColumn(
         "_rest",

@@ -104,3 +104,22 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
     salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+
+
+FREQUENT = 1_000  # keys that are salted; any other has less than a thousandth of the rows
+
+
+def frequent_join(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
+    """``left`` joined to ``right``, which has one row per key and knows how many ``rows`` of ``left`` each key has.
+
+    Only the most frequent keys and null are spread over several tasks, so a right side as large as the left one is not
+    copied per salt. Those keys are broadcast, at most ``FREQUENT`` of them.
+    """
+    top = right.where(F.col(key).isNotNull()).orderBy(F.desc(rows), key).limit(FREQUENT)
+    top = F.broadcast(top.select(F.col(key), F.lit(True).alias("_often")))
+    often = F.coalesce("_often", F.lit(False))
+    drawn = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    dealt = left.join(top, key, "left").withColumn("_salt", F.when(often | F.col(key).isNull(), drawn).otherwise(0)).drop("_often")
+    salts = F.sequence(F.lit(0), F.when(often, SALTS - 1).otherwise(0))
+    copies = right.join(top, key, "left").withColumn("_salt", F.explode(salts)).drop("_often", rows)
+    return dealt.join(copies, [key, "_salt"], "left").drop("_salt")

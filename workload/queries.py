@@ -57,6 +57,13 @@ def url_suffix_table(spark, sf):
     return suffix.split_registrable(data.url_variants(spark, sf), rules=rules).select("row_id", "subdomain", "domain", "tld")
 
 
+def url_suffix_joined(spark, sf):
+    """The same on the way of a table beyond memory: different hosts are joined with it, URLs with their host's suffix."""
+    rules = suffix.SuffixRules.from_table(suffix.default_rules_table(spark), max_inline=0, max_broadcast=0)
+    split = suffix.split_registrable(data.url_variants(spark, sf), rules=rules, known="suffix_known")
+    return split.select("row_id", "subdomain", "domain", "tld", "suffix_known")
+
+
 def url_host_naive(spark, sf):
     good, _ = quarantine(parse_urls(data.url_variants(spark, sf)))
     return split_host_naive(good).select("row_id", "naive_subdomain", "naive_domain", "naive_tld")
@@ -551,6 +558,7 @@ def waterfall(spark, sf):
 
 QUERIES = {
     "url_parse": url_parse, "url_suffix": url_suffix, "url_suffix_table": url_suffix_table,
+    "url_suffix_joined": url_suffix_joined,
     "url_host_naive": url_host_naive, "url_quarantine": url_quarantine,
     **{f"url_{name}": family(name) for name in FAMILIES},
     "url_stream": url_stream, "url_feature_vectors": url_feature_vectors,

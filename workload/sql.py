@@ -315,8 +315,8 @@ def parse_query() -> str:
             f"feature_error FROM parsed")
 
 
-def suffix_query() -> str:
-    return (f"WITH {variants_cte()}, {registrable_cte('variants')} SELECT row_id, subdomain, domain, tld FROM split_url")
+def suffix_query(more: str = "") -> str:
+    return (f"WITH {variants_cte()}, {registrable_cte('variants')} SELECT row_id, subdomain, domain, tld{more} FROM split_url")
 
 
 def naive_query() -> str:
@@ -748,6 +748,7 @@ def tree_summary_query() -> str:
 def all_queries(names: list[str], top: int = 500) -> dict[str, str]:
     return {
         "url_parse": parse_query(), "url_suffix": suffix_query(), "url_suffix_table": suffix_query(),
+        "url_suffix_joined": suffix_query(", tld <> '' AS suffix_known"),
         "url_host_naive": naive_query(), "url_quarantine": quarantine_query(),
         **{f"url_{f}": family_query(f) for f in FAMILIES},
         "url_stream": family_query("lexical"), "url_feature_vectors": vector_query(),
