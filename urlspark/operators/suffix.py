@@ -3,8 +3,9 @@
 The suffix rules are a table argument ``(suffix, is_wildcard, is_exception)``; a default of
 common suffixes is built in. Up to a checked number of rules they travel inside the plan as
 hash sets, so the split is a plain projection: no join, no shuffle, usable on streams.
-A larger table is broadcast up to a second limit. Beyond that the different hosts are joined with it once, salted on the
-(very skewed) suffix, and URLs get their host's suffix; streams are joined label by label.
+A larger table is broadcast up to a second limit. Beyond that it is neither grouped, kept nor copied as a whole: the tails
+of the different hosts pick the rules that some host needs, and URLs get their host's suffix; streams are joined label by
+label.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 
 from urlspark import constants as K
 from urlspark.functions.url import lookup_host
-from urlspark.session import BROADCAST_ROWS, fits_broadcast, frequent_join, salted_join
+from urlspark.session import BROADCAST_ROWS, cut_lineage, fits_broadcast, frequent_join, salted_join
 
 MAX_INLINE_RULES = 20_000
+CLEARLY_MORE = 1.2  # twenty deviations of the estimated count
 _OCTET = r"(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 RULE_SCHEMA = "suffix string, is_wildcard boolean, is_exception boolean"
 IPV4 = rf"^(?:{_OCTET}\.){{3}}{_OCTET}\z"
@@ -33,6 +35,7 @@ class SuffixRules:
     exception: list[str] | None = None
     table: DataFrame | None = None  # set only when there are too many rules to inline
     broadcast: bool = False  # whether that table was found small enough to be sent to every executor
+    listed: DataFrame | None = None  # the rows behind a table that is not, a suffix as often as it was given
 
     @staticmethod
     def default() -> "SuffixRules":
@@ -41,21 +44,23 @@ class SuffixRules:
 
     @staticmethod
     def from_table(rules: DataFrame, max_inline: int = MAX_INLINE_RULES, max_broadcast: int = BROADCAST_ROWS) -> "SuffixRules":
-        flags = rules.groupBy(F.lower("suffix").alias("suffix")).agg(
-            F.bool_or(~F.col("is_wildcard") & ~F.col("is_exception")).alias("is_plain"),
-            F.bool_or("is_wildcard").alias("is_wildcard"),
-            F.bool_or("is_exception").alias("is_exception"),
-        )
+        listed = rules.select(F.lower("suffix").alias("suffix"), "is_wildcard", "is_exception")
+        flags = _flags(listed)
+        labels = F.size(F.split("suffix", r"\.")) + F.coalesce(F.col("is_wildcard").cast("int"), F.lit(0))
+        # One scan and no shuffle of rows; beyond CLEARLY_MORE times the limit no exact count is needed.
+        about, depth = listed.agg(F.approx_count_distinct("suffix", 0.01), F.max(labels)).first()
+        if about > CLEARLY_MORE * max(max_inline, max_broadcast):
+            return SuffixRules(depth, table=flags, listed=listed)
         if fits_broadcast(flags, max_inline):
             rows = flags.collect()  # at most max_inline rows
             plain = [r.suffix for r in rows if r.is_plain]
             wildcard = [r.suffix for r in rows if r.is_wildcard]
             return SuffixRules(_depth(plain, wildcard), plain, wildcard,
                                [r.suffix for r in rows if r.is_exception])
-        labels = F.size(F.split("suffix", r"\.")) + F.col("is_wildcard").cast("int")
+        if not fits_broadcast(flags, max_broadcast):
+            return SuffixRules(depth, table=flags, listed=listed)
         # Read once per rule set: the split asks it once per label of a host.
-        flags = flags.persist()
-        return SuffixRules(flags.agg(F.max(labels)).first()[0], table=flags, broadcast=fits_broadcast(flags, max_broadcast))
+        return SuffixRules(depth, table=flags.persist(), broadcast=True)
 
     def as_table(self, spark: SparkSession) -> DataFrame:
         """The rules in the form that ``from_table`` takes."""
@@ -98,6 +103,15 @@ def default_rules_table(spark: SparkSession) -> DataFrame:
     return SuffixRules.default().as_table(spark)
 
 
+def _flags(listed: DataFrame) -> DataFrame:
+    """One row per suffix: which kinds of rules it has."""
+    return listed.groupBy("suffix").agg(
+        F.bool_or(~F.col("is_wildcard") & ~F.col("is_exception")).alias("is_plain"),
+        F.bool_or("is_wildcard").alias("is_wildcard"),
+        F.bool_or("is_exception").alias("is_exception"),
+    )
+
+
 def _depth(plain: list[str], wildcard: list[str]) -> int:
     return max([s.count(".") + 1 for s in plain] + [s.count(".") + 2 for s in wildcard])
 
@@ -114,7 +128,11 @@ def _choose(host: Column, tails: dict[int, Column], plain, wildcard, exception)
 
 
 def _host_suffixes(hosts: DataFrame, host: str, rules: SuffixRules, out: str) -> DataFrame:
-    """``hosts`` (unique) with the longest suffix that a rule gives, null without one: one join of their tails."""
+    """``hosts`` (unique) with the longest suffix that a rule gives, null without one: one join of their tails.
+
+    Only rules of a suffix that is some host's tail are grouped and joined, so what is moved goes by the hosts. Where their
+    tails can be sent to every executor the rules are read where they are.
+    """
     labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
     named = hosts.where(~(F.col(host).rlike(IPV4) | F.startswith(host, F.lit("[")))).select(host, labels.alias("_labels"))
     tails = named.select("*", F.explode(F.sequence(F.lit(1), F.least("_labels", F.lit(rules.depth + 1)))).alias("_k"))
@@ -126,7 +144,14 @@ def _host_suffixes(hosts: DataFrame, host: str, rules: SuffixRules, out: str) ->
         return F.when(fits, F.struct(at.alias("at"), F.lit(exception).alias("exception"), length.alias("length")))
 
     best = F.greatest(gives("is_plain", k, 0, k), gives("is_wildcard", k + 1, 0, k + 1), gives("is_exception", k, 1, k - 1))
-    chosen = salted_join(tails, rules.table, ["suffix"], "inner").groupBy(host).agg(F.max(best).alias("_best"))
+    wanted = cut_lineage(tails.groupBy("suffix").agg(F.count("*").alias("_tails")))
+    asked = rules.listed.join(F.broadcast(wanted) if fits_broadcast(wanted) else wanted, "suffix", "left_semi")
+    needed = cut_lineage(_flags(asked).join(wanted, "suffix"))
+    if fits_broadcast(needed):
+        hits = tails.join(F.broadcast(needed.drop("_tails")), "suffix")
+    else:
+        hits = frequent_join(tails, needed, "suffix", "_tails").where("is_plain IS NOT NULL")
+    chosen = hits.groupBy(host).agg(F.max(best).alias("_best"))
     given = chosen.select(host, F.expr(f"substring_index(`{host}`, '.', -_best.length)").alias(out))
     return hosts.join(given, host, "left")
 
@@ -147,9 +172,9 @@ def with_suffix(df: DataFrame, host: str, out: str, rules: SuffixRules) -> DataF
         found = frequent_join(df, _host_suffixes(hosts, host, rules, "_suffix"), host, "_rows")
         found = found.withColumn(out, F.when(F.col(host).isNotNull(), F.coalesce("_suffix", F.lit(""))))
         return found.select(*dict.fromkeys([*df.columns, out]))
-    joined = df
+    joined, table = df, rules.table.persist()  # a stream asks it in every batch
     for k in range(1, depth + 1):
-        flags = rules.table.select(
+        flags = table.select(
             F.col("suffix").alias(f"_tail{k}"),
             *[F.col(c).alias(f"_{c}{k}") for c in ("is_plain", "is_wildcard", "is_exception")],
         )
