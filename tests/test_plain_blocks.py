@@ -6,7 +6,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from urlspark import constants as K
-from urlspark.operators import blocks, boost, split
+from urlspark.operators import blocks, boost, l1, split
 from workload import data, queries
 
 
@@ -47,3 +47,15 @@ def test_subsample_runs_write_no_row_per_run(spark, sf):
     cuts = split.subsample_cuts(rows, K.STABILITY_RUNS, K.STABILITY_FRACTION)
     tagged = rows.crossJoin(cuts).where(split.order_hash("row_id", F.col("run") + K.SEED) <= F.col("last_hash"))
     assert plan.exceptAll(tagged.groupBy("row_id").agg(F.count("*").alias("runs"))).count() == 0 < plan.count()
+
+
+def test_blocks_are_read_a_few_at_a_time(mixed, monkeypatch):
+    asked, total = [], l1.total
+
+    def seen(found, *rest):
+        asked.append(found.sparkSession.conf.get("spark.sql.parquet.columnarReaderBatchSize"))
+        return total(found, *rest)
+
+    monkeypatch.setattr(l1, "total", seen)
+    l1.fit_l1(mixed.where("label IS NOT NULL").limit(40), 0.1, max_iter=1)
+    assert set(asked) == {str(blocks.BLOCKS_AT_ONCE)}
