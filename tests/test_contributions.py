@@ -7,6 +7,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 
 from urlspark.operators import boost, explain
+from workload import queries
 
 
 def made_tree(rng, number, depth, width, rows=1000.0):
@@ -117,3 +118,66 @@ def test_without_splits_and_rows(spark):
     one = explain.contributions(df, boost.Ensemble(nodes), ["a"]).collect()
     assert [(r.idx, r.contribution, r.base) for r in one] == [(-1, 0.0, 0.5)]
     assert explain.contributions(df.limit(0), boost.Ensemble(nodes), ["a"]).count() == 0
+
+
+def test_a_tree_is_computed_once_a_cell(monkeypatch):
+    """Of 20,000 rows only one for each cell of a tree's grid goes through its paths, in one batch or several."""
+    rng = np.random.default_rng(3)
+    nodes = pd.DataFrame([n for i in range(3) for n in made_tree(rng, i, 4, 4)])
+    x = rng.normal(size=(20_000, 4))
+    seen, reduceat = [], np.add.reduceat
+    prepare = explain._explainer(explain.NODE, 128, explain.TABLE_BYTES)
+    values = prepare(explain.node_bytes(nodes), [0, 1, 2, 3])
+    once = explain._explainer(explain.NODE, 128, 0)(explain.node_bytes(nodes), [0, 1, 2, 3])
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(np.add, name)
+
+        def reduceat(self, a, *args, **named):
+            seen.append(len(a))
+            return reduceat(a, *args, **named)
+
+    class Numpy:
+        add = Counted()
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+    monkeypatch.setattr(explain, "np", Numpy())
+    got = np.vstack([values(x[a:a + 5_000]) for a in range(0, len(x), 5_000)])
+    assert 0 < sum(seen) < 5_000
+    assert np.array_equal(got, once(x))
+    one_by_one = np.vstack([once(r[None]) for r in x[:20]])
+    assert np.array_equal(got[:20], one_by_one)
+
+
+def test_a_grid_of_more_than_64_bits():
+    rng = np.random.default_rng(4)
+    nodes = pd.DataFrame(chain(0, rng, 49, 80) + chain(1, rng, 70, 80))
+    x = np.repeat(rng.normal(size=(5, 80)), 3, axis=0)
+    values = explain._explainer(explain.NODE, 128, explain.TABLE_BYTES)(explain.node_bytes(nodes), list(range(80)))
+    assert np.allclose(values(x), np.vstack([values(r[None]) for r in x]), atol=1e-12)
+
+
+def test_missing_and_infinite_values_add_up(spark):
+    """They go the way they go when a row is scored."""
+    rng = np.random.default_rng(6)
+    nodes = pd.DataFrame([n for i in range(3) for n in made_tree(rng, i, 4, 4)])
+    x = np.array([[np.nan, 0.1, -np.inf, 2.0], [np.inf, np.nan, 0.0, -np.inf], [0.0, 0.0, 0.0, 0.0]])
+    df = spark.createDataFrame([(i, Vectors.dense(r)) for i, r in enumerate(x)], ["row_id", "features"])
+    model = boost.Ensemble(nodes)
+    raw = {r.row_id: r.raw for r in boost.predict_raw(df, model).collect()}
+    total = {i: 0.0 for i in raw}
+    for r in explain.contributions(df, model, list("abcd")).collect():
+        total[r.row_id] += r.contribution
+        base = r.base
+    assert [base + total[i] for i in sorted(raw)] == pytest.approx([raw[i] for i in sorted(raw)], abs=1e-9)
+
+
+def test_additivity_needs_no_shuffle(spark, sf, monkeypatch):
+    nodes = pd.DataFrame(made_tree(np.random.default_rng(7), 0, 4, 6))
+    monkeypatch.setattr(queries, "_fitted", lambda app, folder: boost.Ensemble(nodes))
+    gaps = queries.contributions_additivity(spark, sf)
+    assert {r.gap for r in gaps.select("gap").distinct().collect()} == {0.0}
+    assert "SortMergeJoin" not in gaps._jdf.queryExecution().executedPlan().toString()

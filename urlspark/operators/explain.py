@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +18,7 @@ from urlspark.operators.scale import pick_columns
 NODE = np.dtype([("tree", "<i4"), ("feature", "<i4"), ("threshold", "<f8"), ("left", "<i4"), ("right", "<i4"),
                  ("value", "<f8"), ("cover", "<f8")])
 SENT_BYTES = 16 << 20  # of packed trees in one broadcast
+TABLE_BYTES = 64 << 20  # of values that a task keeps
 ROWS_AT_ONCE = 128  # x leaves of a tree x features of a path x 8 bytes are held at once
 
 
@@ -73,7 +77,7 @@ def expected_score(nodes: pd.DataFrame) -> float:
     return float((leaves.value * leaves.cover / leaves.tree.map(top)).sum())
 
 
-def _explainer(node_type: np.dtype, chunk: int):
+def _explainer(node_type: np.dtype, chunk: int, table_bytes: int):
     """Function from packed trees and used slots to a function from rows of those slots to their Shapley values.
 
     On the way to a leaf each distinct feature j either lets a row through (o_j = 1) or not (0); z_j is the share of rows
@@ -116,27 +120,68 @@ def _explainer(node_type: np.dtype, chunk: int):
             points, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
             order = np.argsort(cols.ravel(), kind="stable")
             heads = np.flatnonzero(np.append(True, np.diff(cols.ravel()[order]) > 0))
+            split = tree[tree["left"] >= 0]
+            cuts = [(slot[int(f)], np.unique(split["threshold"][split["feature"] == f])) for f in np.unique(split["feature"])]
             yield (cols, lo, hi, z, filler, np.array([p[4] for p in paths]), (points + 1) / 2, weights / 2, order, heads,
-                   cols.ravel()[order][heads])
+                   cols.ravel()[order][heads]), cuts
+
+    def one_tree(rows: np.ndarray, cols, lo, hi, z, filler, value, points, weights, order, heads, slots) -> np.ndarray:
+        out = np.empty((len(rows), len(slots)))
+        for begin in range(0, len(rows), chunk):
+            v = rows[begin:begin + chunk][:, cols]
+            through = (v > lo) & (v <= hi) | filler
+            whole = np.zeros(v.shape)
+            for t, w in zip(points, weights):
+                factor = z * (1.0 - t) + through * t
+                product = w * factor.prod(axis=2, keepdims=True)
+                # a factor of 0 makes the product 0, and its own difference is 0 too
+                whole += product / np.where(factor == 0.0, 1.0, factor)
+            whole *= (through - z) * value[:, None]
+            out[begin:begin + chunk] = np.add.reduceat(whole.reshape(len(v), -1)[:, order], heads, axis=1)
+        return out
+
+    def numbered(x: np.ndarray, cuts: list) -> np.ndarray:
+        """The cell of each row in a grid, numbered anew before numbers grow beyond 64 bits."""
+        code, size = np.zeros(len(x), np.int64), 1
+        for f, own in cuts:
+            if size * (len(own) + 1) >= 1 << 62:
+                different, code = np.unique(code, return_inverse=True)
+                size = len(different)
+            code = code * (len(own) + 1) + np.searchsorted(own, x[:, f], side="left")
+            size *= len(own) + 1
+        return code
 
     def prepare(packed: bytes, used: list[int]):
-        trees = list(unpack(packed, used))
+        """Rows that no threshold of a tree tells apart lie in one cell of its grid and have the same values there.
+
+        Values are made once a cell that has rows, and kept for the task while all grids have at most ``table_bytes`` of
+        them; of further trees they are made once a cell and batch.
+        """
+        trees, tables, held = list(unpack(packed, used)), {}, 0
+        for i, (arrays, cuts) in enumerate(trees):
+            size = math.prod(len(own) + 1 for _, own in cuts)
+            if held + size * (len(arrays[-1]) * 8 + 1) <= table_bytes:
+                held += size * (len(arrays[-1]) * 8 + 1)
+                tables[i] = np.zeros(size, bool), np.zeros((size, len(arrays[-1])))
+
+        def of_tree(x: np.ndarray, i: int) -> np.ndarray:
+            arrays, cuts = trees[i]
+            code = numbered(x, cuts)
+            if i not in tables:
+                _, first, back = np.unique(code, return_index=True, return_inverse=True)
+                return one_tree(x[first], *arrays)[back]
+            known, table = tables[i]
+            missing = np.flatnonzero(~known[code])
+            if len(missing):
+                new, first = np.unique(code[missing], return_index=True)
+                table[new], known[new] = one_tree(x[missing[first]], *arrays), True
+            return table[code]
 
         def values(x: np.ndarray) -> np.ndarray:
-            phi = np.zeros_like(x)
-            for begin in range(0, len(x), chunk):
-                rows, out = x[begin:begin + chunk], phi[begin:begin + chunk]
-                for cols, lo, hi, z, filler, value, points, weights, order, heads, slots in trees:
-                    v = rows[:, cols]
-                    through = (v > lo) & (v <= hi) | filler
-                    whole = np.zeros(v.shape)
-                    for t, w in zip(points, weights):
-                        factor = z * (1.0 - t) + through * t
-                        product = w * factor.prod(axis=2, keepdims=True)
-                        # a factor of 0 makes the product 0, and its own difference is 0 too
-                        whole += product / np.where(factor == 0.0, 1.0, factor)
-                    whole *= (through - z) * value[:, None]
-                    out[:, slots] += np.add.reduceat(whole.reshape(len(rows), -1)[:, order], heads, axis=1)
+            # as trees are walked: NaN is above and minus infinity below every threshold
+            x, phi = np.nan_to_num(x, nan=np.inf, posinf=np.inf, neginf=np.finfo(float).min), np.zeros_like(x)
+            for i, (arrays, _) in enumerate(trees):
+                phi[:, arrays[-1]] += of_tree(x, i)
             return phi
 
         return values
@@ -152,37 +197,42 @@ def contributions(df: DataFrame, model: Ensemble, names: list[str], vector: str
     on are listed; the others contribute 0. Rows are handled in Arrow batches where they are, by the
     packed trees, broadcast in groups of at most ``SENT_BYTES``; a larger model takes one narrow pass a group.
     """
-    used = model.used_features
-    base = expected_score(model.nodes)
+    used, base = model.used_features, expected_score(model.nodes)
     named = F.array(*[F.lit(names[i]) for i in used]) if used else F.array(F.lit(""))
-    prepare, context = _explainer(NODE, ROWS_AT_ONCE), df.sparkSession.sparkContext
+    zipped = F.arrays_zip(
+        F.array(*[F.lit(i) for i in used] or [F.lit(-1)]).alias("idx"), named.alias("feature"),
+        F.col("slots").alias("value"), F.col("phi").alias("contribution"),
+    )
+    return row_contributions(df, model, vector, (key,)).select(key, F.explode(zipped).alias("c")).select(
+        key, F.col("c.idx").alias("idx"), F.col("c.feature").alias("feature"), F.col("c.value").alias("value"),
+        F.col("c.contribution").alias("contribution"), F.lit(base).alias("base"),
+    )
+
+
+def row_contributions(df: DataFrame, model: Ensemble, vector: str = "features", keep: tuple[str, ...] = ("row_id",)) -> DataFrame:
+    """(keep..., slots, phi): per row the values and contributions of the used slots, in their order; narrow."""
+    used = model.used_features
+    prepare, context = _explainer(NODE, ROWS_AT_ONCE, TABLE_BYTES), df.sparkSession.sparkContext
 
     def explain_with(sent):
         def explain(batches):
-            values = prepare(sent.value, used)
+            values, width = prepare(sent.value, used), max(len(used), 1)
             for batch in batches:
-                if not batch.empty:
-                    phi = np.vstack(batch["phi"]) + values(np.vstack(batch["slots"]))
-                    yield pd.DataFrame({key: batch[key], "slots": batch["slots"], "phi": list(phi)})
+                if len(batch):
+                    x, phi = (c.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), width) for c in batch.columns[-2:])
+                    ends = pa.array(np.arange(0, (len(batch) + 1) * width, width, dtype=np.int32))
+                    phi = pa.ListArray.from_arrays(ends, pa.array((phi + values(x)).ravel()))
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], phi], batch.schema.names)
 
         return explain
 
     # sliced as vectors first, so that wide sparse rows are never spelled out
     slots = vector_to_array(F.col("_picked")) if used else F.array(F.lit(0.0))
-    picked = pick_columns(df.select(key, vector), used, vector, "_picked") if used else df.select(key)
-    per_row = picked.select(key, slots.alias("slots")).withColumn("phi", F.array_repeat(F.lit(0.0), max(len(used), 1)))
-    key_type = df.schema[key].dataType.simpleString()
+    picked = pick_columns(df.select(*keep, vector), used, vector, "_picked") if used else df.select(*keep)
+    per_row = picked.select(*keep, slots.alias("slots")).withColumn("phi", F.array_repeat(F.lit(0.0), max(len(used), 1)))
     for group in _tree_groups(model.nodes):
-        per_row = per_row.mapInPandas(
-            explain_with(context.broadcast(node_bytes(group))), f"{key} {key_type}, slots array<double>, phi array<double>")
-    zipped = F.arrays_zip(
-        F.array(*[F.lit(i) for i in used] or [F.lit(-1)]).alias("idx"), named.alias("feature"),
-        F.col("slots").alias("value"), F.col("phi").alias("contribution"),
-    )
-    return per_row.select(key, F.explode(zipped).alias("c")).select(
-        key, F.col("c.idx").alias("idx"), F.col("c.feature").alias("feature"), F.col("c.value").alias("value"),
-        F.col("c.contribution").alias("contribution"), F.lit(base).alias("base"),
-    )
+        per_row = per_row.mapInArrow(explain_with(context.broadcast(node_bytes(group))), per_row.schema)
+    return per_row
 
 
 def contribution_summary(contribs: DataFrame, k: int = K.SUMMARY_TOP) -> DataFrame:
