@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -65,3 +66,32 @@ def test_files(spark, tmp_path, monkeypatch, page_ids):
 def test_no_rows(spark, tmp_path):
     K.write_tokens(odd_docs(spark).limit(0), SETTINGS, f"{tmp_path}/t", end_id=2)
     assert K.read_tokens(spark.read.parquet(f"{tmp_path}/t")).count() == 0
+
+
+def test_words_are_chosen_for_all_blocks_at_once():
+    """The choice of words is the greedy one of each block, and its calls do not grow with the words of a page."""
+    rng = np.random.default_rng(8)
+    ids = np.minimum(rng.geometric(0.001, 1 << 18), 49_000).astype(np.uint64)
+    ids[rng.random(len(ids)) < 0.3] = 1
+    ids[[5, 2_000]] = 1 << 61
+    calls = [0]
+
+    def count(frame, event, arg):
+        calls[0] += event == "c_call"
+
+    sys.setprofile(count)
+    try:
+        words, offsets, exceptions = K.pack(ids)
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 10_000 < len(words)
+    sizes = []
+    for begin in range(0, 8 * K.BLOCK, K.BLOCK):
+        block, at, n = ids[begin:begin + K.BLOCK].tolist(), 0, 0
+        while at < len(block):
+            fits = [c for c, w in zip(K.COUNTS[:-1].tolist(), K.WIDTHS.tolist()) if max(block[at:at + c]) < 1 << w]
+            at, n = at + (fits[0] if fits else 1), n + 1
+        sizes.append(n)
+    assert np.diff(offsets)[:8].tolist() == sizes
+    assert exceptions.tolist() == [1 << 61] * 2
+    assert np.array_equal(K.unpack(words, len(ids), exceptions, offsets), ids)

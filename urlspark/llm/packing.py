@@ -52,20 +52,28 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     choice = np.full(n, ESCAPE, np.int8)
     follow = place + 1
     wider = np.zeros(n + 1, np.int32)
-    for s in range(ESCAPE - 1, -1, -1):
-        able = np.flatnonzero(need <= s)
+    widest = int(need.max(initial=0))
+    able = place  # where one word does not fit, no word of more and narrower ids does
+    for s in range(min(widest, ESCAPE - 1), -1, -1):
+        able = able[need[able] <= s]
         if not len(able):
             break
-        np.cumsum(need > s, dtype=np.int32, out=wider[1:])
-        end = np.minimum(place[able] + COUNTS[s], block_end[able])
-        fits = wider[end] == wider[able]  # a block's last word may hold fewer ids than its selector says
-        able = able[fits]
-        choice[able], follow[able] = s, end[fits]
-    starts, at, jumps = [], 0, follow.tolist()
-    while at < n:
-        starts.append(at)
-        at = jumps[at]
-    begin = np.array(starts, np.int64)
+        end = np.minimum(able + COUNTS[s], block_end[able])
+        if widest > s:
+            np.cumsum(need > s, dtype=np.int32, out=wider[1:])
+            fits = wider[end] == wider[able]  # a block's last word may hold fewer ids than its selector says
+            able, end = able[fits], end[fits]
+        choice[able], follow[able] = s, end
+    # the words of all blocks at once, one more of each block a step
+    starts = np.zeros(n, bool)
+    at = np.arange(blocks) * BLOCK
+    stop = np.minimum(at + BLOCK, n)
+    while len(at):
+        starts[at] = True
+        at = follow[at]
+        left = at < stop
+        at, stop = at[left], stop[left]
+    begin = np.flatnonzero(starts)
     chosen = choice[begin]
     size = follow[begin] - begin
     value = ids
