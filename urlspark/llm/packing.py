@@ -32,6 +32,7 @@ COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1], np.int32)
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60], np.uint64)
 ESCAPE = 14
 LIMITS = np.uint64(1) << WIDTHS[:ESCAPE]
+NEED = np.searchsorted(LIMITS, np.arange(1 << 16), side="right").astype(np.int8)  # of the ids that vocabularies have
 BLOCK = 1024  # ids whose words begin anew
 MAGIC = b"S8BP"
 HEADER = struct.Struct("<4sIQQQQ")  # magic, block size, texts, ids, words, exceptions
@@ -47,7 +48,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # narrowest word that starts at each id: all of its ids fit, and it does not leave the block
     place = np.arange(n, dtype=np.int32)
     block_end = np.minimum((place // BLOCK + 1) * BLOCK, n).astype(np.int32)
-    need = np.searchsorted(LIMITS, ids, side="right").astype(np.int8)
+    need = NEED[ids] if ids.max(initial=0) < len(NEED) else np.searchsorted(LIMITS, ids, side="right").astype(np.int8)
     large = np.flatnonzero(need == ESCAPE)
     choice = np.full(n, ESCAPE, np.int8)
     follow = place + 1
@@ -60,8 +61,13 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             break
         end = np.minimum(able + COUNTS[s], block_end[able])
         if widest > s:
-            np.cumsum(need > s, dtype=np.int32, out=wider[1:])
-            fits = wider[end] == wider[able]  # a block's last word may hold fewer ids than its selector says
+            # a block's last word may hold fewer ids than its selector says
+            if len(able) > n >> 4:
+                np.cumsum(need > s, dtype=np.int32, out=wider[1:])
+                fits = wider[end] == wider[able]
+            else:
+                bad = np.append(np.flatnonzero(need > s), n)
+                fits = bad[np.searchsorted(bad, able)] >= end
             able, end = able[fits], end[fits]
         choice[able], follow[able] = s, end
     # the words of all blocks at once, one more of each block a step
@@ -231,7 +237,9 @@ class WordTokenizer:
         flat = np.append(flat, np.int32(end))
         taken = sizes[code]
         ends = np.cumsum(taken)
-        ids = flat[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - taken - first[code], taken)]
+        at = np.repeat((first[code] - (ends - taken)).astype(np.int32), taken)  # a batch has fewer ids than bytes and texts
+        at += np.arange(len(at), dtype=np.int32)
+        ids = flat[at]
         sums = np.concatenate([[0], ends])
         return ids, np.diff(sums[starts + np.arange(len(starts))])
 
@@ -245,11 +253,14 @@ def word_tokenizer(settings: str) -> WordTokenizer:
 def _without_marks(flat_words: pa.Array, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Words with their closing marks as words of their own, if a Latin letter stands in front of them."""
     stems = pc.ascii_rtrim(flat_words, MARKS)
-    cut = pc.and_(pc.not_equal(pc.binary_length(stems), pc.binary_length(flat_words)),
-                  pc.match_substring_regex(stems, "[a-z]$"))
-    at = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+    shorter = pc.not_equal(pc.binary_length(stems), pc.binary_length(flat_words)).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(shorter)
+    at = at[pc.match_substring_regex(stems.take(pa.array(at)), "[a-z]$").to_numpy(zero_copy_only=False)]
     if not len(at):
         return flat_words, starts
+    cut = np.zeros(len(flat_words), bool)
+    cut[at] = True
+    cut = pa.array(cut)
     marked, stem = flat_words.take(pa.array(at)), stems.take(pa.array(at))
     raw, ends = utf8(marked)
     sizes = np.diff(ends) - pc.binary_length(stem).to_numpy(zero_copy_only=False)
