@@ -1,8 +1,8 @@
 """Character-level text expressions.
 
-Everything here is a row-local Column built from JVM functions. Counting is done with
-regular expressions over whole strings rather than per-character lambdas: lambdas are
-interpreted per element, while one regex pass is a tight loop.
+Everything here is a row-local Column. Counting is done with regular expressions over whole
+strings rather than per-character lambdas: lambdas are interpreted per element, while one
+regex pass is a tight loop. Entropies sort the characters of whole Arrow arrays of texts.
 
 Java's ``.`` matches a whole code point under ``(?s)``, so lengths and grams agree with
 code-point based text handling.
@@ -10,10 +10,11 @@ code-point based text handling.
 
 from __future__ import annotations
 
-import itertools
 import math
-import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,145 +73,161 @@ def grams(text: Column, k: int) -> Column:
     return passes[0] if k == 1 else F.concat(*passes)
 
 
-def gram_runs(text: Column, k: int) -> Column:
-    """One string per distinct k-gram: the gram repeated as often as it occurs.
+CHARS_AT_ONCE = 2_000_000  # of texts whose grams are sorted together, some 100 MB; one longer text goes alone
 
-    Sorting brings equal grams together and joining keeps them aligned to k characters,
-    so a back-reference finds each run: the gram is the first k characters of the run
-    and its count is ``length / k``. Needs O(n log n) work and no shuffle, so one long
-    text is never spread into a per-row group.
-    """
-    sorted_grams = F.array_join(F.sort_array(grams(text, k)), "")
-    return F.regexp_extract_all(sorted_grams, F.lit(f"(?s)(.{{{k}}})\\1*"), F.lit(0))
-
-
-def _repeat_runs(text: Column) -> Column:
-    """Runs of length >= 2 of the sorted characters; single characters add no c*log2(c)."""
-    sorted_chars = F.array_join(F.sort_array(F.split(text, "")), "")
-    return F.regexp_extract_all(sorted_chars, F.lit(r"(?s)(.)\1+"), F.lit(0))
-
-
-def _count_log_sum(runs: Column, k: int) -> Column:
-    def step(acc: Column, run: Column) -> Column:
-        c = F.length(run) / k
-        return acc + c * F.log2(c)
-
-    return F.aggregate(runs, F.lit(0.0), step)
 
+def gram_counter(limit: int):
+    """Function from an Arrow array of texts and a size k to (row, first character of a place with the gram, count).
 
-def char_entropy(text: Column) -> Column:
-    """Shannon entropy in bits over characters; empty text gives 0.
-
-    Uses H = log2(n) - sum(c*log2(c))/n over the counts c.
+    Characters are numbers of 21 bits, so a gram of up to three is one number; the grams of each row are sorted and equal
+    ones lie together. Nested like all that goes to the workers, so that they need only numpy and pyarrow.
     """
-    n = F.length(text)
-    return F.when(n > 1, F.log2(n) - _count_log_sum(_repeat_runs(text), 1) / n).when(
-        n.isNotNull(), F.lit(0.0)
-    )
+    def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(code points of all texts in a row, where each text begins and the last one ends)."""
+        raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+        try:
+            points = np.frombuffer(b"".join(raw).decode().encode("utf-32-le"), np.uint32)
+            sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+        except UnicodeDecodeError:  # as the JVM reads them
+            shown = [t.decode(errors="replace") for t in raw]
+            points, sizes = np.frombuffer("".join(shown).encode("utf-32-le"), np.uint32), [len(t) for t in shown]
+        return points, np.append(0, np.cumsum(sizes, dtype=np.int64))
+
+    def runs(points: np.ndarray, ends: np.ndarray, k: int):
+        """(row, gram, count) of every different gram of every row, by row and gram."""
+        n, sizes = len(points), np.maximum(np.diff(ends) - (k - 1), 0)
+        total = int(sizes.sum())
+        if not total:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        gram = np.zeros(n - k + 1, np.int64)
+        for i in range(k):
+            gram = gram << 21 | points[i:n - k + 1 + i]
+        starts = np.append(0, np.cumsum(sizes))
+        gram = gram[np.arange(total) + np.repeat(ends[:-1] - starts[:-1], sizes)]
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            gram[a:b].sort()
+        new = np.append(True, gram[1:] != gram[:-1])
+        new[starts[:-1][sizes > 0]] = True
+        at = np.flatnonzero(new)
+        return np.searchsorted(starts, at, side="right") - 1, gram[at], np.diff(np.append(at, total))
+
+    def named(gram: np.ndarray, k: int) -> pa.Array:
+        """Grams as strings, each different one spelled out once."""
+        different, code = np.unique(gram, return_inverse=True)
+        points = np.stack([different >> 21 * (k - 1 - i) & 0x1FFFFF for i in range(k)], axis=1).astype("<u4")
+        text = points.tobytes().decode("utf-32-le")
+        words = pa.array([text[i:i + k] for i in range(0, len(text), k)], pa.string())
+        return words.take(pa.array(code))
+
+    def slices(texts: pa.Array):
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        begin, total = 0, 0
+        for i, size in enumerate(sizes.tolist()):
+            if total and total + size > limit:
+                yield begin, i
+                begin, total = i, 0
+            total += size
+        if begin < len(sizes):
+            yield begin, len(sizes)
+
+    return characters, runs, named, slices
+
+
+def entropy_measure():
+    """Function from (code points, where each text begins and the last one ends, k) to the entropy of each text's k-grams.
+
+    H = log2(n) - sum(c*log2(c))/n over the counts c; one gram or none give 0. Nested for the workers, too.
+    """
+    _, runs, _, _ = gram_counter(CHARS_AT_ONCE)
 
+    def entropy(points: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+        total = np.maximum(np.diff(ends) - (k - 1), 1).astype(float)
+        row, _, n = runs(points, ends, k)
+        sums = np.bincount(row, weights=n * np.log2(n), minlength=len(total))
+        return np.where(total > 1, np.log2(total) - sums / total, 0.0)
 
-def gram_entropy(text: Column, k: int) -> Column:
-    """Shannon entropy in bits over overlapping k-grams; fewer than k characters give 0."""
-    total = F.length(text) - (k - 1)
-    return F.when(
-        total > 1, F.log2(total) - _count_log_sum(gram_runs(text, k), k) / total
-    ).when(total.isNotNull(), F.lit(0.0))
+    return entropy
 
 
-def _window_shapes() -> dict[tuple[int, ...], list[str]]:
-    """Regexes for every way five characters can coincide, grouped by block sizes.
+def _measured(text: Column, measure) -> Column:
+    """``measure`` of (code points, where each text begins and the last one ends) for whole Arrow arrays; null for null.
 
-    Each set partition of the five positions becomes one alternative: a position that
-    opens a block is a capture that must differ from the blocks before it, any other
-    position is a back-reference to its block.
+    Spark hands all measures of a projection to Python together.
     """
-    shapes: dict[tuple[int, ...], list[tuple[int, ...]]] = {}
-    for codes in itertools.product(range(WINDOW), repeat=WINDOW):
-        is_canonical = all(c <= max(codes[:i], default=-1) + 1 for i, c in enumerate(codes))
-        if is_canonical:
-            sizes = tuple(sorted((codes.count(b) for b in set(codes)), reverse=True))
-            shapes.setdefault(sizes, []).append(codes)
-    out: dict[tuple[int, ...], list[str]] = {}
-    for sizes, partitions in shapes.items():
-        alternatives = []
-        for codes in partitions:
-            pattern, blocks, group = "", {}, 0
-            for code in codes:
-                if code in blocks:
-                    pattern += f"\\{blocks[code]}"
-                else:
-                    differs = "|".join(f"\\{g}" for g in blocks.values())
-                    group += 1
-                    blocks[code] = group
-                    pattern += (f"(?!{differs})" if differs else "") + "(.)"
-            alternatives.append(pattern)
-        out[sizes] = alternatives
-    return out
-
+    characters, _, _, slices = gram_counter(CHARS_AT_ONCE)
 
-def _shape_entropy(sizes: tuple[int, ...]) -> float:
-    return math.log2(WINDOW) - sum(s * math.log2(s) for s in sizes) / WINDOW
+    @F.arrow_udf("double")
+    def value(texts: pa.Array) -> pa.Array:
+        out = [measure(*characters(texts.slice(a, b - a))) for a, b in slices(texts)]
+        return pa.array(np.concatenate([np.zeros(0), *out]), mask=texts.is_null().to_numpy(zero_copy_only=False))
 
+    return value(text)
 
-def _spread(elements: str, gaps: int) -> list[str]:
-    """Regexes for characters that recur in the order of ``elements`` ('ABBA'), with ``gaps`` others between them.
 
-    The first use of a letter is a capture, later uses are back-references.
-    """
-    out = []
-    for places in itertools.combinations_with_replacement(range(1, len(elements)), gaps):
-        pattern, groups = "", {}
-        for i, letter in enumerate(elements):
-            pattern += ".?" * places.count(i)
-            if letter in groups:
-                pattern += f"\\{groups[letter]}"
-            else:
-                groups[letter] = len(groups) + 1
-                pattern += "(.)"
-        out.append(pattern)
-    return out
+def char_entropy(text: Column) -> Column:
+    """Shannon entropy in bits over characters; empty text gives 0."""
+    return gram_entropy(text, 1)
 
 
-def _any_of(patterns: list[str]) -> str:
-    """Alternation followed by one more character (the last window is left out); groups renumbered."""
-    out, used = [], 0
-    for p in patterns:
-        out.append(re.sub(r"\\(\d+)", lambda m, base=used: f"\\{int(m[1]) + base}", p))
-        used += p.count("(.)")
-    return "(?s)(?:" + "|".join(out) + ")."
+def gram_entropy(text: Column, k: int) -> Column:
+    """Shannon entropy in bits over overlapping k-grams (k up to 3); fewer than k characters give 0."""
+    entropy = entropy_measure()
+    return _measured(text, lambda points, ends: entropy(points, ends, k))
+
+
+def piece_entropy_variance(text: Column, separator: str = "/") -> Column:
+    """Population variance of the character entropies of the non-empty pieces; fewer than two give 0."""
+    entropy, mark = entropy_measure(), ord(separator)
+
+    def measure(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        texts, cut = np.arange(len(ends) - 1), points == mark
+        text_of = np.repeat(texts, np.diff(ends))
+        # a piece begins with each text and behind each separator
+        owner = np.repeat(texts, np.bincount(text_of[cut], minlength=len(texts)) + 1)
+        sizes = np.bincount((np.cumsum(cut) + text_of)[~cut], minlength=len(owner))
+        owner, sizes = owner[sizes > 0], sizes[sizes > 0]
+        h = entropy(points[~cut], np.append(0, np.cumsum(sizes)), 1)
+        n, s, ss = (np.bincount(owner, weights=w, minlength=len(texts)) for w in (None, h, h * h))
+        few = np.maximum(n, 1)
+        return np.where(n >= 2, np.maximum(ss / few - (s / few) ** 2, 0.0), 0.0)
+
+    return _measured(text, measure)
+
+
+def _pair_entropies() -> np.ndarray:
+    """Entropy of a window by the number of pairs of equal characters in it, which tells its seven shapes apart."""
+    shapes = [(1, 1, 1, 1, 1), (2, 1, 1, 1), (2, 2, 1), (3, 1, 1), (3, 2), (4, 1), (5,)]
+    out = np.zeros(WINDOW * (WINDOW - 1) // 2 + 1)
+    for sizes in shapes:
+        out[sum(s * (s - 1) // 2 for s in sizes)] = math.log2(WINDOW) - sum(s * math.log2(s) for s in sizes) / WINDOW
+    return out
 
 
 def window_entropy_range(text: Column) -> Column:
     """Max minus min character entropy over sliding 5-character windows.
 
     The last window is left out, as the feature is defined; five or fewer characters
-    give 0. A window's entropy depends only on how its characters coincide (seven
-    shapes), so each extreme is found by asking which shapes occur. Asking first for a
-    character seen three times splits the shapes, and recurrences are searched from
-    their first character, which fails fast.
+    give 0. More pairs of equal characters in a window mean less entropy.
     """
-    shapes = _window_shapes()
-
-    def has(*patterns: str) -> Column:
-        return F.regexp_like(text, F.lit(_any_of(list(patterns))))
-
-    def value(*sizes: int) -> Column:
-        return F.lit(_shape_entropy(sizes))
-
-    three = has(*_spread("AAA", 2))
-    with_three = (
-        F.when(~has(*_spread("AAAA", 1), *shapes[(3, 2)]), value(3, 1, 1))
-        .when(has("(.)\\1\\1\\1\\1"), value(5)).when(has(*_spread("AAAA", 1)), value(4, 1)).otherwise(value(3, 2))
-    )
-    without = F.when(has(*_spread("AABB", 1), *_spread("ABAB", 1), *_spread("ABBA", 1)), value(2, 2, 1)).when(
-        has("(.).{0,3}\\1"), value(2, 1, 1, 1)
-    ).otherwise(value(1, 1, 1, 1, 1))
-    lowest = F.when(three, with_three).otherwise(without)
-    highest = None
-    for sizes in sorted(shapes, key=_shape_entropy, reverse=True):
-        hit = has(*shapes[sizes])
-        highest = F.when(hit, value(*sizes)) if highest is None else highest.when(hit, value(*sizes))
-    return F.when(F.length(text) > WINDOW, highest - lowest).when(text.isNotNull(), F.lit(0.0))
+    by_pairs, window = _pair_entropies(), WINDOW
+
+    def measure(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        sizes, out = np.maximum(np.diff(ends) - window, 0), np.zeros(len(ends) - 1)
+        total, n = int(sizes.sum()), len(points) - window + 1
+        if not total:
+            return out
+        pairs = np.zeros(n, np.int8)
+        for gap in range(1, window):
+            same = points[gap:] == points[:-gap]
+            for i in range(window - gap):
+                pairs += same[i:i + n]
+        starts = np.append(0, np.cumsum(sizes))
+        pairs = pairs[np.arange(total) + np.repeat(ends[:-1] - starts[:-1], sizes)]
+        heads = starts[:-1][sizes > 0]
+        out[sizes > 0] = by_pairs[np.minimum.reduceat(pairs, heads)] - by_pairs[np.maximum.reduceat(pairs, heads)]
+        return out
+
+    return _measured(text, measure)
 
 
 def window_distinct_mean(text: Column) -> Column:

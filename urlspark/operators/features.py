@@ -72,28 +72,12 @@ def _ratios(u, h, d, s, p, q) -> list[Column]:
     ]
 
 
-def _segment_entropy_variance(path: Column) -> Column:
-    entropies = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), T.char_entropy)
-
-    def add(acc: Column, e: Column) -> Column:
-        return F.struct(
-            (acc["n"] + 1).alias("n"), (acc["s"] + e).alias("s"), (acc["ss"] + e * e).alias("ss")
-        )
-
-    def variance(acc: Column) -> Column:
-        mean = acc["s"] / acc["n"]
-        return F.when(acc["n"] >= 2, F.greatest(acc["ss"] / acc["n"] - mean * mean, F.lit(0.0))).otherwise(0.0)
-
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"))
-    return F.aggregate(entropies, start, add, variance)
-
-
 def _entropy(u, h, d, s, p, q, session_text) -> list[Column]:
     gradient = T.char_entropy(F.substring_index(s, ".", 1)) - T.char_entropy(F.substring_index(s, ".", -1))
     return [
         T.char_entropy(h), T.char_entropy(p), T.char_entropy(q),
         T.gram_entropy(u, 2), T.gram_entropy(u, 3), T.gram_entropy(h, 2), T.char_entropy(d),
-        _segment_entropy_variance(p), T.window_entropy_range(u),
+        T.piece_entropy_variance(p), T.window_entropy_range(u),
         F.when(s.contains("."), gradient).otherwise(0.0),
         F.coalesce(T.char_entropy(session_text), F.lit(0.0)),
     ]

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from urlspark import constants as K
 from urlspark.functions import text as X
+from urlspark.functions.text import CHARS_AT_ONCE, entropy_measure, gram_counter
 from urlspark.operators.metrics import weighted_f1
 from urlspark.session import BROADCAST_ROWS, fits_broadcast, lookup_join
 
@@ -30,72 +31,14 @@ def normalize(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]{2,}", " "))
 
 
-CHARS_AT_ONCE = 2_000_000  # of texts whose grams are sorted together, some 100 MB; one longer text goes alone
 OUT_BYTES = 16 << 20  # of counts handed back at once
 
 
-def _gram_counter(limit: int):
-    """Function from an Arrow array of texts and a size k to (row, first character of a place with the gram, count).
-
-    Characters are numbers of 21 bits, so a gram of up to three is one number; the grams of each row are sorted and equal
-    ones lie together. Nested like all that goes to the workers, so that they need only numpy and pyarrow.
-    """
-    def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(code points of all texts in a row, where each text begins and the last one ends)."""
-        raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
-        try:
-            points = np.frombuffer(b"".join(raw).decode().encode("utf-32-le"), np.uint32)
-            sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
-        except UnicodeDecodeError:  # as the JVM reads them
-            shown = [t.decode(errors="replace") for t in raw]
-            points, sizes = np.frombuffer("".join(shown).encode("utf-32-le"), np.uint32), [len(t) for t in shown]
-        return points, np.append(0, np.cumsum(sizes, dtype=np.int64))
-
-    def runs(points: np.ndarray, ends: np.ndarray, k: int):
-        """(row, gram, count) of every different gram of every row, by row and gram."""
-        n, sizes = len(points), np.maximum(np.diff(ends) - (k - 1), 0)
-        total = int(sizes.sum())
-        if not total:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        gram = np.zeros(n - k + 1, np.int64)
-        for i in range(k):
-            gram = gram << 21 | points[i:n - k + 1 + i]
-        starts = np.append(0, np.cumsum(sizes))
-        gram = gram[np.arange(total) + np.repeat(ends[:-1] - starts[:-1], sizes)]
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            gram[a:b].sort()
-        new = np.append(True, gram[1:] != gram[:-1])
-        new[starts[:-1][sizes > 0]] = True
-        at = np.flatnonzero(new)
-        return np.searchsorted(starts, at, side="right") - 1, gram[at], np.diff(np.append(at, total))
-
-    def named(gram: np.ndarray, k: int) -> pa.Array:
-        """Grams as strings, each different one spelled out once."""
-        different, code = np.unique(gram, return_inverse=True)
-        points = np.stack([different >> 21 * (k - 1 - i) & 0x1FFFFF for i in range(k)], axis=1).astype("<u4")
-        text = points.tobytes().decode("utf-32-le")
-        words = pa.array([text[i:i + k] for i in range(0, len(text), k)], pa.string())
-        return words.take(pa.array(code))
-
-    def slices(texts: pa.Array):
-        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        begin, total = 0, 0
-        for i, size in enumerate(sizes.tolist()):
-            if total and total + size > limit:
-                yield begin, i
-                begin, total = i, 0
-            total += size
-        if begin < len(sizes):
-            yield begin, len(sizes)
-
-    return characters, runs, named, slices
-
-
 def ngram_counts(df: DataFrame, text: str = "url", keep: tuple[str, ...] = ("row_id",),
                  sizes: tuple[int, ...] = K.NGRAM_SIZES) -> DataFrame:
     """(keep..., gram, tf): every distinct k-gram (k up to 3) of every text with its count; narrow, no shuffle."""
     staged = df.select(*keep, normalize(F.col(text)).alias("_text"))
-    characters, runs, named, slices = _gram_counter(CHARS_AT_ONCE)
+    characters, runs, named, slices = gram_counter(CHARS_AT_ONCE)
 
     def count(batches):
         for batch in batches:
@@ -128,7 +71,8 @@ def ngram_counts(df: DataFrame, text: str = "url", keep: tuple[str, ...] = ("row
 def text_entropies(df: DataFrame, text: str, keep: tuple[str, ...] = ("row_id",), sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """(keep..., h1, h2, ...): Shannon entropy in bits over each text's k-grams as it stands; one gram or none give 0, null null."""
     staged = df.select(*keep, F.col(text).alias("_text"))
-    characters, runs, _, slices = _gram_counter(CHARS_AT_ONCE)
+    characters, _, _, slices = gram_counter(CHARS_AT_ONCE)
+    entropy = entropy_measure()
 
     def measure(batches):
         for batch in batches:
@@ -138,10 +82,7 @@ def text_entropies(df: DataFrame, text: str, keep: tuple[str, ...] = ("row_id",)
                 points, ends = characters(part)
                 gone, out = part.is_null().to_numpy(zero_copy_only=False), []
                 for k in sizes:
-                    total = np.maximum(np.diff(ends) - (k - 1), 1).astype(float)
-                    row, _, n = runs(points, ends, k)
-                    sums = np.bincount(row, weights=n * np.log2(n), minlength=b - a)
-                    out.append(pa.array(np.where(total > 1, np.log2(total) - sums / total, 0.0), mask=gone))
+                    out.append(pa.array(entropy(points, ends, k), mask=gone))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), *out], names)
 
     names = [*keep, *[f"h{k}" for k in sizes]]
@@ -153,7 +94,7 @@ def gram_cells(df: DataFrame, text: str = "url", label: str | None = None, class
                sizes: tuple[int, ...] = K.NGRAM_SIZES) -> DataFrame:
     """``contingency`` of the ``ngram_counts`` of ``df``: each slice of texts is summed up before anything is shuffled."""
     staged = df.select(*([F.col(label).cast("long").alias("_label")] if label else []), normalize(F.col(text)).alias("_text"))
-    characters, runs, named, slices = _gram_counter(CHARS_AT_ONCE)
+    characters, runs, named, slices = gram_counter(CHARS_AT_ONCE)
 
     def count(batches):
         for batch in batches:
