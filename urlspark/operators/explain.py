@@ -282,21 +282,23 @@ def waterfall(contribs: DataFrame, labelled: DataFrame, bars: int = K.WATERFALL_
               key: str = "row_id") -> DataFrame:
     """Per row at most ``bars`` bars, largest first; what does not fit is one bar ``other``.
 
-    ``labelled`` has (key, prediction, label).
+    ``labelled`` has (key, prediction, label); ``base`` is the same for all features of a row. One sort by key serves the
+    ranks, the sums and the join: there are no groups to keep in memory.
     """
     by_size = Window.partitionBy(key).orderBy(F.desc(F.abs("contribution")), F.asc("feature"))
-    ranked = contribs.withColumns({
-        "rank": F.row_number().over(by_size), "_n": F.count(F.lit(1)).over(Window.partitionBy(key)),
+    whole = Window.partitionBy(key)
+    ranked = contribs.withColumn("bar", F.row_number().over(by_size)).withColumns({
+        "_n": F.count(F.lit(1)).over(whole),
+        "_rest": F.sum(F.when(F.col("bar") >= bars, F.col("contribution"))).over(whole),
     })
-    single = (F.col("_n") <= bars) | (F.col("rank") < bars)
-    grouped = ranked.groupBy(
-        key, "base", F.when(single, F.col("rank")).otherwise(bars).alias("bar"),
-        F.when(single, F.col("feature")).otherwise("other").alias("feature"),
-    ).agg(
-        F.max(F.when(single, F.col("value"))).alias("value"), F.sum("contribution").alias("contribution"),
-        F.count(F.lit(1)).alias("features"),
+    lumped = (F.col("bar") == bars) & (F.col("_n") > bars)
+    shown = ranked.filter(F.col("bar") <= bars).select(
+        key, "base", "bar", F.when(lumped, "other").otherwise(F.col("feature")).alias("feature"),
+        F.when(~lumped, F.col("value")).alias("value"),
+        F.when(lumped, F.col("_rest")).otherwise(F.col("contribution")).alias("contribution"),
+        F.when(lumped, F.col("_n") - (bars - 1)).otherwise(F.lit(1)).cast("long").alias("features"),
     )
-    return grouped.join(labelled.select(key, "prediction", "label"), key)
+    return shown.join(labelled.select(key, "prediction", "label"), key)
 
 
 def scatter(contribs: DataFrame, feature: str, key: str = "row_id") -> DataFrame:
