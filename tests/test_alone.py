@@ -53,3 +53,20 @@ def test_equal_rows_are_one_group(spark, monkeypatch, limit):
     monkeypatch.setattr(boost, "DENSE_SLOTS", 0)  # no groups
     plain = boost.fit_focal_boost(df, rounds=2, max_leaves=5, min_child=70).nodes
     assert np.allclose(grown, plain) and grown.cover[0] == 2_100
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_blocks_leave_out_the_usual_bin(spark, monkeypatch, dense):
+    """Slots that mostly are 2 or, centred, -0.3: few entries are held, and zeros that a sparse vector leaves out are told."""
+    monkeypatch.setattr(boost, "DENSE_SLOTS", 0)
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random((600, 4)) < 0.9, [2.0, -0.3, 0.0, 7.0], rng.integers(0, 4, (600, 4)))
+    rows = [(i % 2, Vectors.dense(r) if dense or i % 3 else Vectors.sparse(4, np.flatnonzero(r), r[r != 0])) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, ["label", "features"]).coalesce(1)
+    edges = boost.feature_edges(df)
+    read, blocks = boost._block_reader(edges), boost.binned(df, edges, "features", "label").toArrow().combine_chunks().to_batches()[0]
+    assert len(blocks) == 1
+    n, *_, rows_held, bins, column = read(blocks, 0)
+    assert n == 600 and len(rows_held) < 600 and not len(blocks.column("dense")[0].as_buffer())
+    for j in range(4):
+        assert column(j).tolist() == np.searchsorted(edges[j], x[:, j], side="left").tolist()

@@ -9,6 +9,7 @@ from pyspark.ml.linalg import Vectors
 
 from urlspark import constants as K
 from urlspark.operators import boost
+from urlspark.plans.train import Settings
 from workload import queries
 
 
@@ -30,6 +31,18 @@ def test_focal_boost_scores_runs_all_rounds(spark, sf, monkeypatch):
     assert found.value.args == (K.BOOST_ROUNDS, K.BOOST_LEAVES)
 
 
+def test_train_run_has_the_sizes_of_the_full_job(spark, sf, monkeypatch):
+    def seen(urls, settings=None, **_):
+        raise Seen(settings or Settings())
+
+    monkeypatch.setattr(queries, "train", seen)
+    with pytest.raises(Seen) as found:
+        queries.train_run(spark, sf)
+    full = found.value.args[0]
+    assert full == Settings() and (full.gram_count, full.stability_runs, full.importance_trees, full.rounds) == (
+        K.NGRAM_TOP, K.STABILITY_RUNS, K.IMPORTANCE_TREES, K.BOOST_ROUNDS)
+
+
 def random_tree(rng, number, leaves, width):
     rows = []
 
