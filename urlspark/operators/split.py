@@ -8,11 +8,17 @@ a handful of cut values.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlspark import constants as K
+from urlspark.functions.digest import md5_of
+from urlspark.session import bound_batches, scratch_path
 
+MAX_RUNS = 63  # bits of a long
+WINDOW = 10.0  # deviations around the hash where a cut is looked for first
 PREFIX = 4  # hex digits: 16^4 hash ranges per class; 10^11 rows leave about 10^6 to rank in a range
 
 
@@ -120,3 +126,64 @@ def subsample_cuts(df: DataFrame, runs: int, fraction: float, key: str = "row_id
     cuts = hash_cuts(hashed, ranges, quotas)
     ranges.unpersist()
     return cuts.select(F.col("stratum").alias("run"), "last_hash")
+
+
+def subsample_counts(df: DataFrame, runs: int, fraction: float, key: str = "row_id", seed: int = K.SEED) -> DataFrame:
+    """(key, runs): of how many subsamples each row is part, as ``subsample_cuts`` has them; rows of none are left out.
+
+    Each hash is made once. Hashes lie evenly, so a cut lies within a few deviations of the quota's share of all hashes: a row
+    below that window is in, one above is out, and only the hashes inside are kept and ranked, some sqrt(n) a run. Where a
+    window misses its cut, the cuts are found by ``subsample_cuts``.
+    """
+    n = df.count()
+    quota = int(fraction * n)
+    share, room = quota / max(n, 1), WINDOW * (quota * (1 - quota / max(n, 1))) ** 0.5 / max(n, 1) + 10 / max(n, 1)
+    low, high = (np.uint64(min(max(int(s * 2.0 ** 64), 0), 2 ** 64 - 1)) for s in (share - room, share + room))
+    if runs <= MAX_RUNS:
+        rows = _hashed_once(df, runs, key, seed, low, high)
+        cuts = _window_cuts(rows, runs, quota)
+        if cuts is not None:
+            last = F.array(*[F.lit(c) for c in cuts])
+            inside = F.size(F.filter("near", lambda x: x["h"] <= F.get(last, x["run"])))
+            return rows.select(key, (F.bit_count("sure") + inside).cast("long").alias("runs")).where("runs > 0")
+    cuts = subsample_cuts(df, runs, fraction, key, seed).collect()  # one per run
+    inside = [(order_hash(key, seed + c.run) <= c.last_hash).cast("long") for c in cuts]
+    return df.select(key, sum(inside, F.lit(0).cast("long")).alias("runs")).where("runs > 0")
+
+
+def _hashed_once(df: DataFrame, runs: int, key: str, seed: int, low: np.uint64, high: np.uint64) -> DataFrame:
+    """(key, sure, near), written: a bit for each run whose hash lies below the window, and the hashes inside it."""
+    bound_batches(df.sparkSession)
+    alone = [str(seed + r).encode() for r in range(runs)]
+    prefixes = [a + b"|" for a in alone]
+
+    def measure(batches):
+        for batch in batches:
+            first, rest = md5_of(batch.column(1), prefixes, alone)
+            sure = np.zeros(len(batch), np.int64)
+            for r in range(runs):
+                sure |= (first[r] < low).astype(np.int64) << r
+            row, run = np.nonzero(((first >= low) & (first <= high)).T)
+            names = [f"{a:016x}{b:016x}" for a, b in zip(first[run, row].tolist(), rest[run, row].tolist())]
+            ends = np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32)
+            near = pa.StructArray.from_arrays([pa.array(run, pa.int32()), pa.array(names, pa.string())], ["run", "h"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sure), pa.ListArray.from_arrays(pa.array(ends), near)], [key, "sure", "near"])
+
+    path, kind = scratch_path(df.sparkSession, "subsamples"), df.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, sure long, near array<struct<run: int, h: string>>"
+    df.select(key, F.col(key).cast("string").alias("_text")).mapInArrow(measure, schema).write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def _window_cuts(rows: DataFrame, runs: int, quota: int) -> list[str] | None:
+    """Per run the hash of its last row, the empty string where it has none; None if a cut lies outside its window."""
+    if not quota:
+        return [""] * runs
+    below = rows.agg(*[F.sum(F.expr(f"shiftright(sure, {r}) & 1")) for r in range(runs)]).first()
+    wanted = [quota - (b or 0) for b in below]
+    inside = rows.where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*")
+    ranked = inside.withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy("h")))
+    last = F.get(F.array(*[F.lit(w) for w in wanted]), F.col("run"))
+    found = {r.run: r.h for r in ranked.where(F.col("rank") == last).collect()}  # one per run
+    return [found[r] for r in range(runs)] if len(found) == runs else None
