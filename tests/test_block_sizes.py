@@ -53,3 +53,17 @@ def test_one_task_makes_all_passes(spark, monkeypatch):
     monkeypatch.setattr(l1, "total", lambda *a: (jobs.append(1), total(*a))[1])
     df = spark.createDataFrame([(int(i % 7 > 3), Vectors.dense(float(i % 5 + i % 7), 1.0)) for i in range(50)], ["label", "features"])
     assert l1.fit_l1(df, 1.0).passes > 1 and len(jobs) == 1
+
+
+def test_tables_of_blocks_have_small_row_groups(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    big = F.randstr(F.lit(1 << 20), F.lit(1)).cast("binary") if hasattr(F, "randstr") else F.unhex(F.repeat(F.lit("a7"), 1 << 20))
+    names = [c.split()[0] for c in blocks.BLOCK_SCHEMA.split(", ")]
+    rows = spark.range(40, numPartitions=1).select(F.lit(1).alias("n"), *[(big if c == "vals" else F.lit(b"")).alias(c) for c in names[1:]])
+    blocks.write_blocks(rows, str(tmp_path / "blocks"))
+    meta = pq.ParquetFile(glob.glob(str(tmp_path / "blocks" / "*.parquet"))[0]).metadata
+    assert meta.num_rows == 40 and meta.num_row_groups > 1
+    assert max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 20 << 20
